@@ -1,0 +1,54 @@
+import struct
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from tallyloom.llm.packing import balance, encoder, pack
+
+
+def test_ids_are_those_of_the_tokenizer(texts):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    for _, text, _, _ in [*texts, (0, "a <|endoftext|> b  c\n\n d's <|endoftext", None, None)]:
+        assert encode(text or "").tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_every_id_lies_in_one_piece(docs, texts):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = pack(docs, sequence_tokens=256, group_tokens=4000).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for i, text, _, _ in texts:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        copies = sum(x[0] == i for x in texts)
+        assert sum(r.length for r in pieces[i]) == copies * len(ids)
+        for r in pieces[i]:
+            part = ids[r.start : r.start + r.length]
+            assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256 and (at == 256 or at & (at - 1) == 0)
+
+
+def test_costs_are_balanced():
+    r = np.random.default_rng(1)
+    lengths = r.integers(1, 900, 400).tolist()
+    pieces = balance(lengths, 2048, 1.0, 1 / 2048)
+    cost = defaultdict(float)
+    for _, _, n, seq, _ in pieces:
+        cost[seq] += n + n * n / 2048
+    full = [c for s, c in cost.items() if sum(p[2] for p in pieces if p[3] == s) == 2048]
+    in_order = np.array_split(np.array(sorted(lengths)), len(full))
+    assert np.std(full) < np.std([(x + x**2 / 2048).sum() for x in in_order])
+
+
+def test_empty_table(empty):
+    assert pack(empty).count() == 0

@@ -1,0 +1,75 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tallyloom.llm import substrings
+
+
+def plain(rows, width):
+    words = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for _, t in rows]
+    seen = Counter(tuple(w[k : k + width]) for w in words for k in range(len(w) - width + 1))
+    out = []
+    for (i, _), w in zip(rows, words):
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if seen[tuple(w[k : k + width])] > 1:
+                gone[k : k + width] = [True] * width
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [None, 0.02])
+def test_matches_counting_all_windows(spark, docs, texts, hot, monkeypatch):
+    if hot:  # many minimisers count as hot: their windows are dealt one by one
+        real = substrings.hot_minimisers
+        monkeypatch.setattr(substrings, "hot_minimisers", lambda rows, _: np.sort(np.unique(np.concatenate([real(rows, 1.0), _all_minimisers(texts)[::2]]))))
+    got = sorted(map(tuple, substrings.cleaned(docs).collect()), key=str)
+    assert got == plain([(i, t) for i, t, _, _ in texts], substrings.WIDTH)
+
+
+def _all_minimisers(texts):
+    block = substrings.Block([(0, 0)] * len(texts), [(t or "").encode().split() for _, t, _, _ in texts])
+    return np.unique(block.least[block.valid])
+
+
+def test_random_repeats(spark):
+    r = random.Random(2)
+    passages = [[str(r.randrange(5)) for _ in range(r.randint(36, 90))] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        body = [str(r.randrange(1000)) for _ in range(r.randint(0, 80))]
+        if i % 3 == 0:
+            k = r.randrange(len(body) + 1)
+            body[k:k] = r.choice(passages)
+        rows.append((i, " ".join(body)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, substrings.cleaned(df).collect()), key=str) == plain(rows, substrings.WIDTH)
+
+
+def test_equal_hashes_are_told_apart_by_words(monkeypatch):
+    monkeypatch.setattr(substrings, "window_hashes", lambda values, width: np.zeros(len(values) - width + 1, np.uint64))
+    words = np.array([1, 2, 3, 1, 2, 3, 4, 1, 2], np.int32)
+    begin = np.arange(len(words) - 1)
+    got = substrings.repeated_windows(words, begin, np.ones(len(begin)), 2)
+    pairs = Counter(zip(words, words[1:]))
+    assert got.tolist() == [pairs[words[i], words[i + 1]] > 1 for i in begin]
+
+
+def test_packs_round_trip(texts):
+    block = substrings.Block([(i, k) for k, (i, _, _, _) in enumerate(texts)], [(t or "").encode().split() for _, t, _, _ in texts])
+    windows = Counter()
+    for _, pack in substrings.packs(block, 5, np.zeros(0, np.uint64)):
+        strings, keys, nulls, places = substrings.unpacked(pack)
+        for s, k, at in places.T.tolist():
+            w = strings[s].split(b" ")
+            for j in range(len(w) - substrings.WIDTH + 1):
+                windows[None if nulls[k] else int(keys[k][0]), int(keys[k][1]), at + j] += 1
+    assert set(windows.values()) == {1}
+    assert len(windows) == int(block.valid.sum())
+
+
+def test_empty_table(empty):
+    assert substrings.cleaned(empty).count() == 0
