@@ -33,11 +33,11 @@ _NAMES = "|".join(["[pP][aA][sS][sS](?:[wW][oO][rR][dD]|[wW][dD])", _either_case
 ASSIGN = re.compile(rf"(?:{_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # what stands before an = is a name, not a part
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 PURE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_-]?[A-Z]?[a-z]+)*(?:[_-]?[0-9]{1,4})?")
+IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_-][A-Za-z]+)*(?:[_-]?[0-9]{1,4})?")
 
 
 @lru_cache(maxsize=2)

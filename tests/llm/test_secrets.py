@@ -41,6 +41,7 @@ def test_random_strings_are_told_from_digests_and_names():
 
     assert kinds(CASES[-1]) == ["ghp_x9Qz7Lm2Kp4Rt8Vw1Bn6"]
     assert kinds(hashlib.sha256(b"x").hexdigest()) == []
+    assert kinds("pin=ccd4805e8e134ac6e0 " + "a" * 3000 + "1x") == ["ccd4805e8e134ac6e0"]
     assert kinds("an ordinary sentence with internationalisation2024 in it") == []
 
 
