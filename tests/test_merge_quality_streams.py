@@ -1,0 +1,104 @@
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.operators import audit, merge, quality
+from tallyloom.sources import tables
+from tallyloom.streaming import streams
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_null_keys(spark):
+    old = spark.createDataFrame([("a", None, 1), ("b", "x", 1)], "k string, d string, v int")
+    new = spark.createDataFrame([("a", None, 2), ("b", "x", 2), ("c", "y", 2)], "k string, d string, v int")
+    assert rows(merge.merge(old, new, ["k", "d"])) == sorted([("a", None, 1), ("a", None, 2), ("b", "x", 2), ("c", "y", 2)], key=str)
+    assert rows(merge.merge(old, new, ["k", "d"], null_equal=True)) == sorted([("a", None, 2), ("b", "x", 2), ("c", "y", 2)], key=str)
+    assert rows(merge.merge(old, new.withColumn("v", F.lit(None).cast("int")), ["k", "d"], True, keep_if_null=("v",)))[:2] == [("a", None, 1), ("b", "x", 1)]
+
+
+def test_places_by_either_key(spark):
+    schema = "id int, kakao_place_id string, natural_key string, name string"
+    old = spark.createDataFrame([(1, "k1", "n1", "a"), (2, None, "n2", "b"), (3, "k3", "n3", "c")], schema)
+    new = spark.createDataFrame([("k1", "n9", "A"), (None, "n3", "C"), ("k7", "n7", "D"), ("k2", "n2", "B")], "kakao_place_id string, natural_key string, name string")
+    assert rows(merge.merge_places(old, new)) == sorted([(1, "k1", "n9", "A"), (2, "k2", "n2", "B"), (3, "k3", "n3", "C"), (None, "k7", "n7", "D")], key=str)
+
+
+def test_closure_needs_three_reporters(spark):
+    t = lambda d: datetime(2026, 1, d)
+    places = spark.createDataFrame([(1, False, None), (2, False, None), (3, True, t(1))], "id int, is_closed boolean, closed_at timestamp")
+    reports = spark.createDataFrame([(1, "a", t(2)), (1, "b", t(3)), (1, "a", t(4)), (2, "a", t(2)), (2, "b", t(3)), (2, "c", t(5)), (2, "d", t(9)), (3, "a", t(2)), (3, "b", t(2)), (3, "c", t(2))], "place_id int, reporter string, reported_at timestamp")
+    assert rows(merge.closure_state(places, reports)) == [(1, 2, False, None), (2, 4, True, t(5)), (3, 3, True, t(1))]
+
+
+def test_moves_drop_what_is_there(spark):
+    v = spark.createDataFrame([(1, 10, "d"), (2, 11, "d"), (3, 10, None), (4, 11, None), (5, 10, "e")], "visit_id int, place_id int, department string")
+    moves = spark.createDataFrame([(10, 11)], "from_id int, to_id int")
+    assert rows(merge.move_visits(v, moves, ["place_id", "department"])) == [(2, 11, "d"), (3, 11, None), (4, 11, None), (5, 11, "e")]
+
+
+def test_gates(spark):
+    b = spark.createDataFrame([(1, 0, "s"), (2, 3, "s"), (3, 5, "s"), (4, 5, None)], "batch_id int, parsed_rows int, storage_path string")
+    v = spark.createDataFrame([(3, c) for c in (0.9, 0.4, 0.9, 0.9, 0.85)] + [(4, 0.85)] * 5, "batch_id int, confidence double")
+    p = spark.createDataFrame([(3, "x", None, None, False), (3, "x", None, None, False), (4, "y", 1.0, 1.0, True)], "batch_id int, place_key string, lat double, lng double, matched boolean")
+    got = {}
+    for r in quality.quality_gates(b, v, p, need_storage=True).collect():
+        got.setdefault(r.batch_id, set()).add(r.code)
+    assert got == {1: {"quality_pass"}, 2: {"zero_normalized_visits"}, 3: {"low_average_confidence", "low_single_confidence", "missing_coordinates", "all_unmatched_places"}, 4: {"missing_storage_path"}}
+    order = spark.createDataFrame([("a", k, k) for k in (1, 2, 3)], "agency_id string, seq int, batch_id int")
+    g = quality.quality_gates(b, v, p)
+    assert [r.decision for r in quality.gate_policy(g, order, "fail").orderBy("seq").collect()] == ["load", "stopped", "stopped"]
+    assert [r.decision for r in quality.gate_policy(g, order, "quarantine").orderBy("seq").collect()] == ["load", "skip", "skip"]
+
+
+def test_failures_and_costs(spark):
+    df = spark.createDataFrame([(0, None, "x"), (1, "timeout", ""), (1, "E", "Legal parser"), (3, "E", "HTTP 403"), (2, None, "?")], "s int, c string, m string")
+    assert [r.o for r in df.select(quality.failure_reason(F.col("s"), F.col("c"), F.col("m")).alias("o")).collect()] == [None, "timeout", "legal_hold", "auth_js_download", "unknown"]
+    cost = spark.range(1).select(quality.token_cost(F.lit("gpt-5.5"), F.lit(1_000_000), F.lit(500_000), F.lit(None).cast("long")), quality.token_cost(F.lit("?"), F.lit(1), F.lit(1), F.lit(1))).first()
+    assert float(cost[0]) == 9.0 and cost[1] is None
+
+
+def test_anomalies_keep_three_valued_logic(spark):
+    places = spark.createDataFrame([(1, "서울 강남구", "서울 1"), (2, "부산 중구", None), (3, "부산 중구", "부산 1")], "id int, road_address string, jibun_address string").withColumns({"hidden_at": F.lit(None).cast("timestamp"), "deleted_at": F.lit(None).cast("timestamp")})
+    agencies = spark.createDataFrame([(9, "서울특별시", "A")], "id int, parent_region string, name string")
+    visits = spark.createDataFrame([(k, k, 9) for k in (1, 2, 3)], "visit_id int, place_id int, agency_id int")
+    assert [r.place_id for r in audit.geo_anomalies(visits, agencies, places, F.lit("서울")).collect()] == [3]
+
+
+def test_files_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "q", b'), (2, "x\ny"), (3, None)], "k int, v string")
+    tables.write_csv(df, f"{tmp_path}/c")
+    assert rows(tables.read_csv(spark, f"{tmp_path}/c", "k int, v string")) == rows(df)
+    tables.write_json_lines(df, f"{tmp_path}/j")
+    assert rows(tables.read_json_lines(spark, f"{tmp_path}/j", "k int, v string")) == rows(df)
+    (tmp_path / "t.tsv").write_text("a\tb\tc\nd\te\n\n")
+    assert rows(tables.read_tsv(spark, f"{tmp_path}/t.tsv", ["x", "y", "z"], optional_last=True)) == [("a", "b", "c"), ("d", "e", None)]
+    with pytest.raises(Exception, match="wrong number of fields"):
+        tables.read_tsv(spark, f"{tmp_path}/t.tsv", ["x", "y", "z"]).collect()
+    assert tables.with_optional(df, extra="int").columns == ["k", "v", "extra"]
+    names = spark.createDataFrame([("A.HWPX",), ("b.xls?x=1.pdf",), ("c.htm",), ("d",)], "n string")
+    assert [r.k for r in names.select(tables.file_kind(F.col("n")).alias("k")).collect()] == ["hwpx", "xls", "html", "unknown"]
+
+
+def test_streams_equal_their_batch_twins(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    events = [(k, f"u{k % 3}", start + timedelta(minutes=k * 7)) for k in range(60)]
+    df = spark.createDataFrame(events, "event_id int, user string, ts timestamp")
+    df.repartition(4).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    got = streams.run_available(streams.rate_stream(source, "user", "ts", 2, 3600), "rate", "complete")
+    batch = streams.rate_limited(df, "user", "ts", "event_id", 2, 3600).groupBy("user", "reset_at").agg(F.count_if("allowed").alias("a"), F.count_if(~F.col("allowed")).alias("r"))
+    assert sorted((r.user, r.admitted, r.refused) for r in got.collect()) == sorted((r.user, r.a, r.r) for r in batch.collect())
+
+    reports = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "c"), (2, "a")], "place_id int, reporter string")
+    reports.write.parquet(f"{tmp_path}/reports")
+    closed = streams.run_available(streams.closure_stream(spark.readStream.schema(reports.schema).parquet(f"{tmp_path}/reports")), "closed", "complete")
+    assert rows(closed) == [(1, 3, True), (2, 1, False)]
+
+    hashes = spark.createDataFrame([("x", start), ("x", start + timedelta(hours=1)), ("y", start)], "hash string, at timestamp")
+    hashes.write.parquet(f"{tmp_path}/hashes")
+    fresh = streams.run_available(streams.new_documents(spark.readStream.schema(hashes.schema).parquet(f"{tmp_path}/hashes"), ["hash"], "at"), "fresh")
+    assert sorted(r.hash for r in fresh.collect()) == ["x", "y"]
