@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None, after: str = ""):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tallyloom.plans import audits, etl, functions, marts, merges, serving  # noqa: F401  they register themselves
+    from tallyloom.plans import audits, etl, functions, marts, merges, serving, sourcing  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

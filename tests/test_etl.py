@@ -113,3 +113,33 @@ def test_cache_of_answers(spark):
     cache = spark.createDataFrame([("a", "1", datetime.datetime(2026, 5, 30)), ("b", "2", datetime.datetime(2026, 5, 1))], "query_key string, answer string, created_at timestamp")
     hit, ask = resolve.cached_answers(q, cache, F.lit(datetime.datetime(2026, 6, 1)))
     assert [r.query_key for r in hit.collect()] == ["a"] and sorted(r.query_key for r in ask.collect()) == ["b", "c"]
+
+
+def test_departments_of_files(spark):
+    from tallyloom.operators import sourcing
+
+    names = ["2026년 부시장 업무추진비.xlsx", "시장 업무추진비.pdf", "업무추진비(총무과).xls", "5월 (26.05) 문화체육과 내역", "알림.pdf"]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string")
+    got = [r.d for r in df.select("k", sourcing.department_of_file(F.col("n"), F.lit("시")).alias("d")).orderBy("k").collect()]
+    assert got == ["시 부시장", "시 시장", "시 총무과", "시", "시"]
+
+
+def test_answers_of_models(spark):
+    from tallyloom.operators import sourcing
+
+    answer = 'Here:\n```json\n{"rows": [{"used_at": "2026-05-22", "place_text": "식당", "amount": "12,000",} {"used_at": "x", "place_text": "b", "amount": "1"}],}\n```'
+    df = spark.createDataFrame([("d", answer), ("e", "nothing"), ("f", None)], "doc_id string, answer string")
+    got = sourcing.payload_rows(df, F.lit("총무과")).collect()
+    assert [(r.doc_id, r.amount, r.department_name) for r in got] == [("d", 12000, "총무과")]
+
+
+def test_registry_totals_are_checked(spark):
+    from tallyloom.operators import sourcing
+
+    part = spark.createDataFrame([(1, '{"adapter":"adapter_required"}'), (2, '{"adapter":"city_portal","verifiedAt":"a","verifiedBy":"b"}')], "id int, source_pattern string")
+    holds = spark.createDataFrame([(1, "legal_hold"), (2, "legal_hold")], "id int, hold string")
+    assert {r.id: r.verification_status for r in sourcing.assembled([part], holds, 2).collect()} == {1: "legal_hold", 2: "verified_in_code"}
+    with pytest.raises(Exception, match="expected 3 entries"):
+        sourcing.assembled([part], holds, 3).collect()
+    ids = {r.u for r in part.select(sourcing.stable_id(F.col("id").cast("string")).alias("u")).collect()}
+    assert len(ids) == 2 and all(len(u) == 36 and u[14] == "5" for u in ids)
