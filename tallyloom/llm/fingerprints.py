@@ -1,9 +1,10 @@
 """Document fingerprints: improbable-feature digests (after Roussev's similarity digests).
 
-Features are the 64-byte windows of a text. Each window's entropy falls into one of 1001 classes,
-and classes are ranked by how rare they are among all windows of all documents (a table of at most 1001
-counts reaches the driver). Every run of 64 window starts elects its rarest window, and windows that
-``popularity`` runs elect are selected. A selected window sets 5 bits of a 2048-bit Bloom filter;
+Features are the 64-byte windows of a text; one of under 512 bytes, of which an edit leaves few such
+windows, adds its 16-byte windows. Each window's entropy falls into one of 1001 classes, and classes are
+ranked by how rare they are among all windows of that width in all documents (two tables of at most 1001
+counts reach the driver). Every run of as many window starts as a window has bytes elects its rarest window, and
+windows that a quarter of the possible runs elect are selected. A selected window sets 5 bits of a 2048-bit Bloom filter;
 after 160 features the next filter of the chain begins. Likeness is the bit overlap beyond chance over
 the overlap that was possible, for each filter of the shorter chain against its best counterpart.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import text_or_empty
 
-WINDOW, CLASSES = 64, 1001
+WINDOW, SHORT_WINDOW, SHORT_TEXT, CLASSES = 64, 16, 512, 1001
 FILTER_BITS, FEATURES, HASHES = 2048, 160, 5
 #: Classes below this share of the scale are runs of almost one byte and name no text.
 LEAST_CLASS = 100
@@ -39,7 +40,6 @@ BLOCK_BYTES = 1 << 19
 
 _F = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * 65536).astype(np.int64)
 _STEP = np.concatenate(([0], np.diff(_F)))
-_FULL = 6 * WINDOW * 65536
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -52,34 +52,39 @@ def blocked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, starts, lengths
 
 
-def entropy_classes(x: np.ndarray) -> np.ndarray:
+def entropy_classes(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """The entropy class of the window at each start."""
     n = len(x)
     ahead, back = np.ones(n, np.uint8), np.ones(n, np.uint8)
     same = np.empty(n, bool)
-    for k in range(1, WINDOW):
+    for k in range(1, window):
         eq = np.equal(x[k:], x[:-k], out=same[: n - k]).view(np.uint8)
         ahead[: n - k] += eq
         back[k:] += eq
-    first = _F[np.bincount(x[:WINDOW], minlength=256)].sum()
-    change = _STEP[back[WINDOW:]] - _STEP[ahead[: n - WINDOW]]
+    first = _F[np.bincount(x[:window], minlength=256)].sum()
+    change = _STEP[back[window:]] - _STEP[ahead[: n - window]]
     s = np.concatenate(([first], first + np.cumsum(change)))
-    return (_FULL - s) * (CLASSES - 1) // _FULL
+    full = int(_F[window])  # of a window of one byte: its entropy is 0
+    return (full - s) * (CLASSES - 1) // full
 
 
-def valid_starts(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def valid_starts(n: int, starts: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Which starts hold a window inside one text."""
     edge = np.zeros(n + 1, np.int64)
-    inside = lengths >= WINDOW
+    inside = lengths >= window
     np.add.at(edge, starts[inside], 1)
-    np.add.at(edge, (starts + lengths - WINDOW + 1)[inside], -1)
+    np.add.at(edge, (starts + lengths - window + 1)[inside], -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def class_counts(texts: list[bytes]) -> np.ndarray:
-    x, starts, lengths = blocked(texts)
-    c = entropy_classes(x)
-    return np.bincount(c[valid_starts(len(c), starts, lengths)], minlength=CLASSES)
+    """Windows by class: those of 64 bytes, then those of 16 bytes of short texts."""
+    out = []
+    for window, some in ((WINDOW, texts), (SHORT_WINDOW, [t for t in texts if len(t) < SHORT_TEXT])):
+        x, starts, lengths = blocked(some)
+        c = entropy_classes(x, window)
+        out.append(np.bincount(c[valid_starts(len(c), starts, lengths, window)], minlength=CLASSES))
+    return np.concatenate(out)
 
 
 def class_ranks(counts: np.ndarray) -> np.ndarray:
@@ -90,38 +95,56 @@ def class_ranks(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def digests(texts: list[bytes], ranks: np.ndarray, popularity: int = 16) -> list[np.ndarray]:
-    """The Bloom chain of each text: filters x 256 bytes."""
-    x, starts, lengths = blocked(texts)
-    c = entropy_classes(x)
+def selected(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the selected windows and the text of each."""
+    c = entropy_classes(x, window)
     n = len(c)
-    rank = np.where(valid_starts(n, starts, lengths), ranks[c], CLASSES)
+    rank = np.where(valid_starts(n, starts, lengths, window), ranks[c], CLASSES)
     bits = int(n).bit_length()
     kind = np.uint32 if bits + 10 <= 32 else np.uint64
     least = (rank.astype(kind) << kind(bits)) | np.arange(n, dtype=kind)
-    for k in (1, 2, 4, 8, 16, 32):
+    k = 1
+    while k < window:
         least = np.minimum(least[:-k], least[k:])
+        k *= 2
     at = least & kind((1 << bits) - 1)
     votes = np.bincount(at[(least >> kind(bits)) < CLASSES].astype(np.int64), minlength=n)
-    chosen = np.flatnonzero(votes >= popularity)
-    owner = np.searchsorted(starts, chosen, side="right") - 1
+    chosen = np.flatnonzero(votes * 4 >= window)
+    return chosen, np.searchsorted(starts, chosen, side="right") - 1
+
+
+def window_codes(x: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of each window's bytes."""
+    words = np.ascontiguousarray(x[starts[:, None] + np.arange(window)]).view(np.uint64)
+    h = ((words ^ (words >> np.uint64(29))) * _MIX[: window // 8]).sum(axis=1, dtype=np.uint64) + np.uint64(window)
+    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(mul)
+    return h
+
+
+def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
+    """The Bloom chain of each text: filters x 256 bytes. ranks: of both widths' classes, in order."""
+    x, starts, lengths = blocked(texts)
+    chosen, owner = selected(x, starts, lengths, ranks[:CLASSES], WINDOW)
+    codes = window_codes(x, chosen, WINDOW)
+    short = np.flatnonzero((lengths < SHORT_TEXT) & (lengths > 0))
+    if len(short):
+        own_x, own_starts, own_lengths = blocked([texts[i] for i in short])
+        some, of = selected(own_x, own_starts, own_lengths, ranks[CLASSES:], SHORT_WINDOW)
+        codes, owner = np.concatenate((codes, window_codes(own_x, some, SHORT_WINDOW))), np.concatenate((owner, short[of]))
     bare = np.flatnonzero((np.bincount(owner, minlength=len(texts)) == 0) & (lengths > 0))
     if len(bare):  # their first window
-        chosen, owner = np.concatenate((chosen, starts[bare])), np.concatenate((owner, bare))
-        order = np.argsort(owner, kind="stable")
-        chosen, owner = chosen[order], owner[order]
+        codes, owner = np.concatenate((codes, window_codes(x, starts[bare], WINDOW))), np.concatenate((owner, bare))
+    order = np.argsort(owner, kind="stable")
+    codes, owner = codes[order], owner[order]
     per = np.bincount(owner, minlength=len(texts))
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     filters = -(-per // FEATURES)
     base = np.cumsum(filters) - filters
-    of = base[owner] + nth // FEATURES
-    words = np.ascontiguousarray(x[chosen[:, None] + np.arange(WINDOW)]).view(np.uint64)
-    h = ((words ^ (words >> np.uint64(29))) * _MIX).sum(axis=1, dtype=np.uint64)
-    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(mul)
+    of_filter = base[owner] + nth // FEATURES
     table = np.zeros((int(filters.sum()), FILTER_BITS), bool)
     for k in range(HASHES):
-        table[of, (h >> np.uint64(11 * k)).astype(np.int64) & (FILTER_BITS - 1)] = True
+        table[of_filter, (codes >> np.uint64(11 * k)).astype(np.int64) & (FILTER_BITS - 1)] = True
     packed = np.packbits(table, axis=1)
     return [packed[b : b + f] for b, f in zip(base, filters)]
 
@@ -174,7 +197,7 @@ def with_neighbour(rows: DataFrame, ranges: int) -> DataFrame:
     return spread.repartition("part").sortWithinPartitions("part", "guest", "key", "text")
 
 
-def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", popularity: int = 16, ranges: int | None = None) -> DataFrame:
+def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row."""
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -183,7 +206,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES, np.int64)
+        total = np.zeros(2 * CLASSES, np.int64)
         block: list[bytes] = []
         size = 0
         for batch in batches:
@@ -198,10 +221,10 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["class", "n"])
 
-    counts = np.zeros(CLASSES, np.int64)
-    for r in rows.select("text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most CLASSES rows
+    counts = np.zeros(2 * CLASSES, np.int64)
+    for r in rows.select("text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most 2 * CLASSES rows
         counts[r["class"]] = r["n"]
-    ranks = class_ranks(counts)
+    ranks = np.concatenate([class_ranks(counts[:CLASSES]), class_ranks(counts[CLASSES:])])
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -214,7 +237,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             halves = [len(t) // 2 for t in texts[:-1]]
             edited = [(t[: len(t) - h] + after[:h]).encode() for t, h, after in zip(texts, halves, texts[1:])]
             raw = [t.encode() for t in texts]
-            made = digests(raw + edited, ranks, popularity)
+            made = digests(raw + edited, ranks)
             own, other = made[: len(raw)], made[len(raw) :]
             out = [
                 [i for i, _ in waiting[:-1]],

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from tallyloom.llm import fingerprints as P
 
 
-def test_entropy_of_every_window():
+@pytest.mark.parametrize("window", [64, 16])
+def test_entropy_of_every_window(window):
     r = random.Random(1)
     x = np.frombuffer(bytes(r.choice(b"aaaabcdefgh ijk") for _ in range(400)), np.uint8)
-    got = P.entropy_classes(x)
-    for i in range(len(x) - 63):
-        c = Counter(x[i : i + 64].tolist())
-        h = -sum(n / 64 * math.log2(n / 64) for n in c.values())
-        assert abs(got[i] - h / 6 * 1000) <= 1
+    got = P.entropy_classes(x, window)
+    for i in range(len(x) - window + 1):
+        c = Counter(x[i : i + window].tolist())
+        h = -sum(n / window * math.log2(n / window) for n in c.values())
+        assert abs(got[i] - h / math.log2(window) * 1000) <= 1
 
 
 def ranks():
-    return P.class_ranks(np.arange(P.CLASSES)[::-1] + 1)
+    return np.tile(P.class_ranks(np.arange(P.CLASSES)[::-1] + 1), 2)
 
 
 def test_a_text_has_one_digest_whatever_stands_beside_it():
@@ -43,6 +44,15 @@ def test_likeness_orders_edits():
     assert P.likeness(own, tenth) > P.likeness(own, half) > 0.3 > 0.1 > P.likeness(own, other)
 
 
+@pytest.mark.parametrize("n", [60, 100, 200, 400])
+def test_short_texts_keep_likeness(n):
+    r = random.Random(n)
+    text = lambda k: bytes(r.choice(b"etaoin shrdlu,.") for _ in range(k))
+    pairs = [(a := text(n), a[: n - n // 2] + text(n // 2), text(n)) for _ in range(40)]
+    got = [(P.likeness(*P.digests([a, b], ranks())), P.likeness(*P.digests([a, c], ranks()))) for a, b, c in pairs]
+    assert sum(near > far for near, far in got) >= 38
+
+
 @pytest.mark.parametrize("ranges", [1, 5])
 def test_edited_texts_and_neighbours(docs, texts, ranges):
     unique = docs.dropDuplicates(["doc_id"]).withColumn("doc_id", F.coalesce("doc_id", F.lit(500)))
