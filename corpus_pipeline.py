@@ -1,6 +1,9 @@
 """A corpus pipeline: language ID, exact dedup, near-dedup, mixing, packing.
 
 Each stage works on what its predecessor kept; all but the last return the columns of documents.
+
+Defined cases: rows without a doc_id cannot be told apart and go with the first stage; of rows that repeat
+a doc_id one stays from the second stage on; an empty table runs through and gives no pieces.
 """
 
 from __future__ import annotations
