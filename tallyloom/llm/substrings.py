@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import text_or_empty
+from tallyloom.llm.common import drop_written, text_or_empty, written
 
 WIDTH, MINIMISER = 35, 3
 BLOCK_WORDS = 1 << 20
@@ -254,9 +254,11 @@ def hot_minimisers(rows: DataFrame, share: float) -> np.ndarray:
             value, n = value[often], n[often]
             yield pa.record_batch([pa.array(np.append(value.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array([0] * len(n) + [len(begin)], pa.int64())], names=["least", "n", "total"])
 
-    counts = rows.mapInArrow(count, "least long, n long, total long").groupBy("least").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    # read twice, so written once: counting means going through all texts
+    counts = written(rows.mapInArrow(count, "least long, n long, total long").groupBy("least").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "minimisers")
     total = counts.agg(F.sum("total")).first()[0] or 0
     found = counts.where(F.col("n") >= max(64, share * total)).select("least").collect()
+    drop_written(counts)
     return np.sort(np.array([r["least"] for r in found], np.int64).view(np.uint64))
 
 
