@@ -183,9 +183,23 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER
 )
 
 
+def _candidates(t):
+    """Every place with itself and the up to three that follow it by id: an equi-join on the shifted id."""
+    c = F.col
+    near = t.places.select("id", "name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("step")).select((c("id") - c("step")).alias("place_id"), c("id").alias("near_id"), c("name").alias("near_name"))
+    own = t.places.select(c("id").alias("place_id"), "kakao_place_id", "name", "lat", "lng")
+    return own.join(near, "place_id").select(
+        "place_id",
+        F.when(c("near_id") % 3 == 0, c("kakao_place_id")).otherwise(F.concat(F.lit("c"), c("near_id").cast("string"))).alias("candidate_id"),
+        F.when(c("near_id") % 5 == 0, c("name")).otherwise(c("near_name")).alias("candidate_name"),
+        F.when(c("near_id") % 2 == 0, "FD6").otherwise("CE7").alias("group_code"),
+        (c("lat") + (c("near_id") % 9 - 4) * 5e-4).alias("lat"),
+        (c("lng") + (c("near_id") % 7 - 3) * 5e-4).alias("lng"),
+    )
+
+
 def _best(t):
-    inner = _CANDIDATES.split("cand AS (", 1)[1].rstrip()[:-1].replace("JOIN {places} b ON b.id BETWEEN a.id AND a.id + 3", "JOIN (SELECT *, explode(sequence(0, 3)) AS step FROM {places}) b ON b.id - b.step = a.id")
-    return audit.candidate_scores(t.places, t.spark.sql(inner, places=t.places))
+    return audit.candidate_scores(t.places, _candidates(t))
 
 
 @query("candidate_best", "SELECT place_id, candidate_id, own_id, group_code, name_exact, round(metres, 3) AS metres, round(candidate_score, 3) AS candidate_score FROM best", _BEST)
