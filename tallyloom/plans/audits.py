@@ -133,8 +133,8 @@ _MARKERS = """markers AS (SELECT p.id AS place_id, p.kakao_place_id, p.lat, p.ln
   CASE p.id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'fail' WHEN 2 THEN 'manual_review' WHEN 3 THEN 'warn' ELSE 'pass' END AS kakao_status, CASE p.id % 7 WHEN 0 THEN NULL ELSE 'r' || CAST(p.id % 7 AS STRING) END AS kakao_reason,
   CAST(p.id % 53 = 0 AS INT) AS url_fails, CAST(p.id % 31 = 0 AS INT) AS url_warns
 FROM {places} p LEFT JOIN (SELECT v.place_id, round(avg(v.confidence), 6) AS mean_confidence, sum(CASE WHEN s.storage_path IS NULL THEN 1 ELSE 0 END) AS missing_storage
-  FROM {visits} v JOIN {sources} s ON s.id = v.source_id WHERE v.visit_date >= DATE '2001-01-01' GROUP BY 1) m ON m.place_id = p.id)"""
-_PLAIN = _MARKERS.replace("{places}", "places").replace("{visits}", "visits").replace("{sources}", "sources")
+  FROM {visits} v JOIN {sources} s ON s.id = v.source_id{recent} GROUP BY 1) m ON m.place_id = p.id)"""
+_PLAIN = _MARKERS.replace("{recent}", " WHERE v.visit_date >= DATE '2001-01-01'").replace("{places}", "places").replace("{visits}", "visits").replace("{sources}", "sources")
 _AUDITED = _PLAIN + """,
 audited AS (SELECT place_id, kakao_status, list_filter([CASE WHEN kakao_place_id IS NULL THEN 'missing_kakao_place_id' END, CASE WHEN lat IS NULL OR lng IS NULL THEN 'missing_coordinates' END,
   CASE WHEN missing_storage > 0 THEN 'missing_storage_path' END, CASE WHEN missing_url > 0 THEN 'missing_source_url' END, CASE WHEN missing_excerpt > 0 THEN 'missing_raw_excerpt' END,
@@ -146,7 +146,8 @@ status AS (SELECT place_id, CASE WHEN len(r) = 0 THEN 'pass' WHEN list_has_any(r
 
 
 def _markers(t):
-    inner = _MARKERS.split("markers AS (", 1)[1].rstrip()[:-1]
+    """The markers come from all visits of a place."""
+    inner = _MARKERS.replace("{recent}", "").split("markers AS (", 1)[1].rstrip()[:-1]
     return t.spark.sql(inner, places=t.places, visits=t.visits, sources=t.sources)
 
 

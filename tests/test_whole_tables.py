@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallyloom.plans import registry
 
 
@@ -19,3 +21,22 @@ def test_candidates_cover_every_place(spark, tmp_path):
     status = {r.place_id: r.status for r in registry.queries()["candidate_status"](spark, str(tmp_path)).collect()}
     assert sorted(status) == list(range(1, n + 1))
     assert all(status[k] == "pass" for k in range(1_000, n - 3) if k % 5)
+
+
+def _visits(spark, sf_dir, visits):
+    """visits: (source, place, date, discount); every source has an order, and a path unless its id % 4 = 1."""
+    rows = [(s, k, p, 1, d, 100.0, 10.0, "A", "F", x) for k, (s, p, d, x) in enumerate(visits, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate string, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string, l_discount double").withColumn("l_shipdate", F.to_date("l_shipdate")).write.parquet(f"{sf_dir}/lineitem.parquet")
+    orders = sorted({v[0] for v in visits})
+    spark.createDataFrame([(s, 1, "p", "2000-01-01", "O") for s in orders], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string, o_orderstatus string").write.parquet(f"{sf_dir}/orders.parquet")
+
+
+def test_markers_count_visits_of_any_date(spark, tmp_path):
+    _part(spark, tmp_path, 12)
+    # place 4: an old visit without a path; 11: old visits of low confidence; 12: a good new one and a bad old one
+    _visits(spark, tmp_path, [(1, 4, "1995-05-05", 0.0), (2, 11, "1995-05-05", 0.1), (3, 11, "1999-01-01", 0.08), (4, 12, "2001-05-05", 0.0), (6, 12, "1996-05-05", 0.12)])
+    reasons = {r.place_id: r.audit_reasons.split(";") for r in registry.queries()["audit_status"](spark, str(tmp_path)).collect()}
+    assert "missing_storage_path" in reasons[4] and "low_avg_confidence" not in reasons[4]
+    assert "low_avg_confidence" in reasons[11] and "low_avg_confidence" in reasons[12]
+    top = {r.reason: r.n for r in registry.queries()["reason_topk"](spark, str(tmp_path)).collect()}
+    assert top["missing_storage_path"] == 1 and top["low_avg_confidence"] == 2
