@@ -242,7 +242,7 @@ gates AS (SELECT *, false AS ok FROM fired UNION ALL SELECT batch_id, 'quality_p
 
 
 def _gates(t):
-    v = t.visits.where("source_id % 5 <> 0")
+    v = t.visits
     p = v.select(F.col("source_id").alias("batch_id"), F.col("place_id").alias("place_key")).join(t.places.select(F.col("id").alias("place_key"), "lat", "lng", F.col("kakao_place_id").isNotNull().alias("matched")), "place_key")
     batches = t.sources.select(F.col("id").alias("batch_id"), F.lit(1).alias("parsed_rows"), "storage_path")
     return quality.quality_gates(batches, v.select(F.col("source_id").alias("batch_id"), "confidence"), p, need_storage=True)

@@ -49,7 +49,7 @@ def poi_pip_counts(t):
     outer, hole = ring.format(a="1e-9", b="1e-9", c="0.6", d="0.7"), ring.format(a="0.2 + 1e-9", b="0.2 + 1e-9", c="0.4 - 1e-9", d="0.4 - 1e-9")
     polygons = t.spark.sql(inner).selectExpr("code", "ord AS `order`", f"to_json(named_struct('type', 'Polygon', 'coordinates', array({outer}, {hole}))) AS geojson")
     polygons = polygons.select("code", "order", geo.polygon_rings(F.col("geojson")).alias("rings"))
-    points = t.places.where("id % 7 <> 0 AND lat IS NOT NULL").select("id", "lat", "lng")
+    points = t.places.where("lat IS NOT NULL").select("id", "lat", "lng")
     hit = geo.points_in_polygons(points, polygons, 0.1)
     return hit.join(t.places.select("id", "category"), "id").groupBy("code", "category").agg(F.count(F.lit(1)).alias("n"))
 

@@ -40,3 +40,26 @@ def test_markers_count_visits_of_any_date(spark, tmp_path):
     assert "low_avg_confidence" in reasons[11] and "low_avg_confidence" in reasons[12]
     top = {r.reason: r.n for r in registry.queries()["reason_topk"](spark, str(tmp_path)).collect()}
     assert top["missing_storage_path"] == 1 and top["low_avg_confidence"] == 2
+
+
+def test_gates_read_the_visits_of_every_batch(spark, tmp_path):
+    _part(spark, tmp_path, 12)
+    _visits(spark, tmp_path, [(s, 3, "2001-01-01", 0.0) for s in (2, 3, 4, 6, 7)] + [(5, 4, "2001-01-01", 0.0), (10, 4, "2001-01-01", 0.2)])
+    orders = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    orders.union(orders.where("o_orderkey = 2").withColumn("o_orderkey", F.lit(8).cast("long"))).write.parquet(f"{tmp_path}/more.parquet")  # 8: a batch without visits
+    (tmp_path / "orders.parquet").rename(tmp_path / "fewer.parquet")
+    (tmp_path / "more.parquet").rename(tmp_path / "orders.parquet")
+    codes = {}
+    for r in registry.queries()["quality_gates"](spark, str(tmp_path)).collect():
+        codes.setdefault(r.batch_id, set()).add(r.code)
+    assert {b for b, c in codes.items() if "zero_normalized_visits" in c} == {8}
+    assert "missing_storage_path" in codes[5] and "low_average_confidence" in codes[10] and codes[4] == {"quality_pass"}
+    decided = {r.batch_id: r.decision for r in registry.queries()["gate_policy_fail"](spark, str(tmp_path)).collect()}
+    assert decided == {b: "load" if b < 5 else "stopped" for b in codes}
+
+
+def test_points_in_squares_count_every_place(spark, tmp_path):
+    _part(spark, tmp_path, 30)
+    counted = sum(r.n for r in registry.queries()["poi_pip_counts"](spark, str(tmp_path)).collect())
+    # at 33 + id * 5e-3, 126 + id * 28e-3: in square 0 up to id 21, but for ids whose coordinates are missing
+    assert counted == len([k for k in range(1, 22) if k % 11 != 2])
