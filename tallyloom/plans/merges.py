@@ -19,7 +19,7 @@ FULL JOIN (SELECT agency_id, hash, 'new' AS title, max(CASE WHEN id % 3 = 0 THEN
 def upsert_source(t):
     """Conflict on (agency, hash); a NULL storage path leaves the old one."""
     s = t.sources
-    old = s.where("id % 2 = 0").groupBy("agency_id", "hash").agg(F.lit("old").alias("title"), F.max("storage_path").alias("storage_path"))
+    old = s.groupBy("agency_id", "hash").agg(F.lit("old").alias("title"), F.max("storage_path").alias("storage_path"))
     new = s.where("id % 5 < 2").groupBy("agency_id", "hash").agg(F.lit("new").alias("title"), F.max(F.when(F.col("id") % 3 != 0, F.col("storage_path"))).alias("storage_path"))
     return merge.merge(old, new, ["agency_id", "hash"], keep_if_null=("storage_path",))
 
@@ -35,8 +35,8 @@ ON n.place_id = o.place_id AND n.agency_id = o.agency_id AND n.department_name =
 def upsert_visit(t):
     """Keys compare with '=': a NULL department never conflicts; the id of a met visit stays."""
     key = ["place_id", "agency_id", "department_name"]
-    side = lambda m, p: t.visits.where(f"visit_id % {m} = 0").groupBy(*key).agg(F.min("visit_id").alias("visit_id"), F.lit(p).alias("party_size"))
-    return merge.merge(side(2, 1), side(3, 2), key, keep=("visit_id",)).select("visit_id", *key, "party_size")
+    side = lambda v, p: v.groupBy(*key).agg(F.min("visit_id").alias("visit_id"), F.lit(p).alias("party_size"))
+    return merge.merge(side(t.visits, 1), side(t.visits.where("visit_id % 3 = 0"), 2), key, keep=("visit_id",)).select("visit_id", *key, "party_size")
 
 
 @query(
@@ -46,8 +46,8 @@ FULL JOIN (SELECT gov_tier AS tier, parent_region AS region, -min(id) AS v FROM
 )
 def upsert_agency(t):
     """Keys compare NULL-equal."""
-    side = lambda m, sign: t.agencies.where(f"id % {m} = 0").groupBy(F.col("gov_tier").alias("tier"), F.col("parent_region").alias("region")).agg((F.min("id") * sign).alias("v"))
-    return merge.merge(side(2, 1), side(3, -1), ["tier", "region"], null_equal=True)
+    side = lambda a, sign: a.groupBy(F.col("gov_tier").alias("tier"), F.col("parent_region").alias("region")).agg((F.min("id") * sign).alias("v"))
+    return merge.merge(side(t.agencies, 1), side(t.agencies.where("id % 3 = 0"), -1), ["tier", "region"], null_equal=True)
 
 
 _NEW_PLACES = "SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'k' || CAST(p_partkey AS STRING) END AS kakao_place_id, 'n' || CAST(CASE WHEN p_partkey % 9 = 1 THEN p_partkey + 1000000 ELSE p_partkey END AS STRING) AS natural_key, 'upd ' || p_name AS name FROM part WHERE p_partkey % 3 = 0 OR p_partkey > 1900"
@@ -62,7 +62,7 @@ upd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY na
 )
 def upsert_place(t):
     """Found by outer id, else by natural key."""
-    old = t.places.where("id < 1500").select("id", "kakao_place_id", "natural_key", "name")
+    old = t.places.select("id", "kakao_place_id", "natural_key", "name")
     return merge.merge_places(old, t.spark.sql(_NEW_PLACES.replace("FROM part", "FROM {part}"), part=t.part))
 
 

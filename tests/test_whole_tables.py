@@ -63,3 +63,24 @@ def test_points_in_squares_count_every_place(spark, tmp_path):
     counted = sum(r.n for r in registry.queries()["poi_pip_counts"](spark, str(tmp_path)).collect())
     # at 33 + id * 5e-3, 126 + id * 28e-3: in square 0 up to id 21, but for ids whose coordinates are missing
     assert counted == len([k for k in range(1, 22) if k % 11 != 2])
+
+
+def test_upserts_keep_every_old_row(spark, tmp_path):
+    _part(spark, tmp_path, 1_520)
+    places = registry.queries()["upsert_place"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in places if r.id is not None) == list(range(1, 1_521))
+    assert {r.id for r in places if r.name.startswith("upd ") and r.id} >= {k for k in range(1_500, 1_521) if k % 3 == 0 and k % 4}
+    _visits(spark, tmp_path, [(s, 3, "2001-01-01", 0.0) for s in range(2, 12)])  # visit ids 21, 32, 43, ..., 120
+    sources = registry.queries()["upsert_source"](spark, str(tmp_path)).collect()
+    assert {r.hash: r.title for r in sources} == {f"h{s}": "new" if s % 5 < 2 else "old" for s in range(2, 12)}
+    visits = registry.queries()["upsert_visit"](spark, str(tmp_path)).collect()
+    ids = [s * 10 + k for k, s in enumerate(range(2, 12), 1)]
+    assert {r.visit_id: r.party_size for r in visits if r.department_name} == {v: 2 if v % 3 == 0 else 1 for v in ids if v % 10 != 7 and v != 87}
+
+
+def test_upsert_agency_keeps_every_old_row(spark, tmp_path):
+    spark.createDataFrame([(k, "Supplier#00000000" + str(k), k) for k in (1, 2, 3, 5)], "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, f"N{k}", 0) for k in (1, 2, 3, 5)], "n_nationkey long, n_name string, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = registry.queries()["upsert_agency"](spark, str(tmp_path)).collect()
+    assert {r.region: r.v for r in got} == {"N1": 1, "N2": 2, "N3": -3, "N5": 5}
