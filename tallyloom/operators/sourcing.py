@@ -171,5 +171,6 @@ def stable_id(*parts: Column) -> Column:
 
 
 def lens_colour(share: Column) -> Column:
-    """Map colour of a score between 0 and 1."""
-    return F.format_string("hsl(173,58%%,%.0f%%)", F.lit(86.0) - F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 50)
+    """Map colour of a score between 0 and 1; a lightness halfway between two numbers takes the even one."""
+    lightness = F.lit(86.0) - F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 50
+    return F.format_string("hsl(173,58%%,%d%%)", F.bround(lightness, 0).cast("int"))

@@ -80,4 +80,4 @@ def lens_colours(t):
     from pyspark.sql.window import Window
 
     m = t.metrics.where("household_size = 0 AND value IS NOT NULL AND ref_period = '2024'").withColumn("p", F.percent_rank().over(Window.partitionBy("metric_key").orderBy("value")))
-    return m.where(F.round(F.col("p") * 50, 6) % 1 != 0.5).select("adm_cd", "metric_key", sourcing.lens_colour(F.col("p")).alias("colour"))
+    return m.select("adm_cd", "metric_key", sourcing.lens_colour(F.col("p")).alias("colour"))

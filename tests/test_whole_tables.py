@@ -84,3 +84,11 @@ def test_upsert_agency_keeps_every_old_row(spark, tmp_path):
     spark.createDataFrame([(0, "R")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
     got = registry.queries()["upsert_agency"](spark, str(tmp_path)).collect()
     assert {r.region: r.v for r in got} == {"N1": 1, "N2": 2, "N3": -3, "N5": 5}
+
+
+def test_every_region_has_a_colour(spark, tmp_path):
+    # five values: ranks 0, 1/4, ... 1, of which 1/4 and 3/4 give the lightness 73.5 and 48.5
+    rows = [(k, 1, 100.0 * k, "BUILDING") for k in (1, 2, 4, 5, 7)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()["lens_colours"](spark, str(tmp_path)).where("metric_key = 'BUILDING'").collect()
+    assert [r.colour for r in sorted(got, key=lambda r: int(r.adm_cd))] == [f"hsl(173,58%,{x}%)" for x in (86, 74, 61, 48, 36)]
