@@ -1,9 +1,10 @@
 """Secret scans: assignments, access keys, hex runs, and a token-efficiency test.
 
 The test encodes candidate runs with a tiktoken vocabulary: text that people write packs many
-characters into a token, random strings few. A candidate whose characters per token fall below
-``ratio`` and that mixes letters with digits is reported as kind ``random``, unless it is a known
-digest (pure hex of a usual digest length), a UUID, or an identifier (words joined by _ - or case).
+characters into a token, random strings few. A candidate that holds a letter (others are numbers, dates
+or rules) and whose characters per token fall below ``ratio`` is reported as kind ``random``, unless it
+is a known digest (pure hex of a usual digest length), a UUID, or an identifier: words joined by _ - or
+case, with up to four closing digits, of which each is efficiently tokenised by itself.
 
 Defined cases: null text is empty and has no spans; offsets are code points, end exclusive;
 overlapping kinds are all reported; further columns are ignored; an empty table gives no rows.
@@ -38,6 +39,8 @@ UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 PURE_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_-][A-Za-z]+)*(?:[_-]?[0-9]{1,4})?")
+PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # of an identifier
+LEAST_WORD = 3  # random letters in either case fall into parts of one or two, many of which are tokens
 
 
 @lru_cache(maxsize=2)
@@ -64,15 +67,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def identifier(run: str, encode, ratio: float) -> bool:
+    return bool(IDENTIFIER.fullmatch(run)) and all(len(w) >= LEAST_WORD and len(w) >= ratio * len(encode(w)) for w in PART.findall(run))
+
+
 def random_spans(text: str, ranks: str, ratio: float) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if (PURE_HEX.fullmatch(s) and len(s) in DIGEST_LENGTHS) or UUID.search(s) or IDENTIFIER.fullmatch(s):
+        if not any(c.isalpha() for c in s) or (PURE_HEX.fullmatch(s) and len(s) in DIGEST_LENGTHS) or UUID.fullmatch(s):
             continue
-        if len(s) < ratio * len(tiktoken_encoder(ranks).encode_ordinary(s)):
+        encode = tiktoken_encoder(ranks).encode_ordinary
+        if len(s) < ratio * len(encode(s)) and not identifier(s, encode, ratio):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -45,6 +45,17 @@ def test_random_strings_are_told_from_digests_and_names():
     assert kinds("an ordinary sentence with internationalisation2024 in it") == []
 
 
+def test_random_letters_and_what_contains_a_uuid_are_reported():
+    def kinds(text):
+        return [text[a:b] for a, _, b in secrets.random_spans(text, "byte_bpe_50k.tiktoken", 2.0)]
+
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    secret = ["xQzLmKpRtVwBnJdFhGcY", "xqzjkvbwpfmgtrhdqzxk", "xQzLmKpRtVwBnJdF1234", "qzXkVbwPf-Jd_hGcYrTs-77", f"x9Qz7Lm2Kp4R-{uuid}"]
+    assert kinds(" ".join(secret)) == secret
+    plain = ["some_long_identifier_name", "AnotherLongCamelCaseName", "configuration_parameter_2024", uuid, "2024-01-01/2024-02-01", "----------------", "a" * 3000]
+    assert kinds(" ".join(plain)) == []
+
+
 def test_query_shape(spark, docs, empty, texts, tmp_path):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(CASES)] + [(99, None)], "doc_id long, text string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
