@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tallyloom.llm.common import id_crc_mod
@@ -147,5 +148,17 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """Every row of docs, whatever its id, with lang_pred and score of its own text."""
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [profiles.predict(t.as_py()) for t in batch.column(text_col)]
+            yield pa.record_batch([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(id_crc_mod("doc_id", 4) != 2).select(F.col("doc_id").alias("id"), "text", "lang")

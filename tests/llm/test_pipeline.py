@@ -33,6 +33,30 @@ def test_stages_narrow_and_pack(spark, docs, texts, tmp_path):
     assert total == sum(lengths.values())
 
 
+def test_rows_go_only_by_their_own_decision(spark, texts, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    own = {
+        (None, "badge chief adj high deaf big chafed idea"),
+        (None, "cage hid beach fade jig aged bid edge fad"),
+        (700, "jade beige chide bead fig hedge dig fab if"),
+        (700, "gab hide chief cab ache jab debate fed jib"),
+    }
+    copies = {(701, "jade  beige chide bead fig hedge dig fab if"), (None, "gab hide  chief cab ache jab debate fed jib")}
+    # a copy has the longer text, so that it stays and the row of id 700 goes, but not the other of that id
+    rows = [(i, t, lang, s, len(t or "")) for i, t, lang, s in texts if i is not None and i >= 20] + [(i, t, "en", "a", len(t)) for i, t in sorted(own | copies, key=str)]
+    docs = spark.createDataFrame(rows, schema)
+    asked = own | copies
+    seen = lambda df: {(r.doc_id, r.text) for r in df.collect()} & asked
+    assert seen(corpus_pipeline.language_id(spark, docs, str(tmp_path))) == asked
+    after = corpus_pipeline.exact(spark, docs, str(tmp_path))
+    assert seen(after) == {x for x in asked if (x[0], x[1]) not in {(700, "jade beige chide bead fig hedge dig fab if"), (700, "gab hide chief cab ache jab debate fed jib")}}
+    none = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in sorted(own, key=str)], schema)
+    assert seen(corpus_pipeline.exact(spark, none, str(tmp_path))) == own
+    assert seen(corpus_pipeline.near(spark, none, str(tmp_path))) == own
+    again = none.union(spark.createDataFrame([(3, "cage hid beach fade jig aged bid edge fad", "en", "a", 9)], schema))
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.near(spark, again, str(tmp_path)).collect()} == own - {(None, "cage hid beach fade jig aged bid edge fad")} | {(3, "cage hid beach fade jig aged bid edge fad")}
+
+
 def test_every_operator_is_registered():
     numbers = [int(k[2:].split("_")[0]) for k in queries.queries()]
     assert numbers == list(range(1, 11))
