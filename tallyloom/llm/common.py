@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +55,73 @@ def drop_written(df: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(df._written_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+# ---- words as arrays, inside tasks ---------------------------------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def mixed_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, at least n of each; kept per process."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.multiply.accumulate(table, out=table)
+    return _powers
+
+
+class Words:
+    """The words of some texts, joined by single blanks in ``line``.
+
+    at, end: a word's bytes in line; first, lengths: a text's words. With lines, texts are strings one to a
+    line (words parted by one blank), and ``string`` numbers the string of each word.
+    """
+
+    def __init__(self, texts: list[bytes], lines: bool = False):
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        space = _SPACE[raw]
+        before = np.empty_like(space)
+        before[0], before[1:] = True, space[:-1]
+        begin = np.flatnonzero(before & ~space)
+        end = np.flatnonzero(space & ~before)
+        if lines:
+            self.line, self.at, self.end = raw, begin, end
+            new = raw[end] == 10
+            self.string = np.cumsum(new) - new
+        else:
+            bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+            upto = np.searchsorted(begin, bounds)
+            self.lengths = np.diff(upto, prepend=0)
+            self.first = upto - self.lengths
+            keep = ~space
+            keep[end] = True
+            self.line = raw[keep]
+            size = end - begin
+            self.end = np.cumsum(size + 1) - 1
+            self.at = self.end - size
+            self.line[self.end] = 32
+        power, self._back = _power(len(self.line) + 1)
+        self._prefix = np.zeros(len(self.line) + 1, np.uint64)
+        np.cumsum((self.line.astype(np.uint64) + np.uint64(1)) * power[: len(self.line)], out=self._prefix[1:])
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the bytes a to b of line: a polynomial modulo 2^64 from prefix sums, mixed."""
+        return mixed_bits((self._prefix[b] - self._prefix[a]) * self._back[a])
+
+    def runs(self, m: int) -> np.ndarray:
+        """The hash of each run of m words."""
+        n = len(self) - m + 1
+        return self.spans(self.at[:n], self.end[m - 1 :]) if n > 0 else np.zeros(0, np.uint64)

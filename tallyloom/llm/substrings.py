@@ -1,18 +1,19 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is ``width`` consecutive words of one document. Its minimiser is the least hash among its
-runs of ``minimiser`` words; consecutive windows with the same minimiser travel together as one packed
+runs of ``LEVELS[0]`` words; consecutive windows with the same minimiser travel together as one packed
 string to the minimiser's bucket, so a window's words are sent about three times, not 35. Equal windows
 have equal minimisers and meet in one bucket, which sorts all its windows and counts them exactly:
-windows of equal hash are compared word for word.
+windows of equal hash are compared byte for byte.
 
-Pre-aggregation: a map task packs the strings of a block of documents per bucket, each distinct string
-once with its number of occurrences and their places, and compresses the pack. A minimiser that is *hot*
-(``hot_share`` of all super-k-mers or more; at most 1 / hot_share can be, so the list is bounded) does not
-decide the bucket alone: each of its windows goes, on its own, to a bucket of its full hash.
+Skew. A minimiser with a share of all strings that a bucket can't take is *hot*: its windows are dealt by
+their minimiser of the next, longer run length instead, still as packed strings of consecutive windows, and
+so on until the window itself decides. A map task combines equal strings of a block first: a string
+that occurs twice there is known to repeat, so its places are settled on the spot and one witness travels
+on, without places. A passage that a third of all rows hold thus sends one string per block.
 
-What a bucket returns are spans of covered words per document, keyed by id and text hash, and only those
-travel back to the texts.
+What returns are spans of words per text, keyed by the text's two 64-bit hashes: equal texts share their
+spans, whatever their number, and a bucket merges a text's spans into one row before it leaves.
 
 Defined cases: null text has no words; texts shorter than a window keep all words; a window that repeats
 inside one document counts as elsewhere; repeated rows are copies of each other, whatever their ids;
@@ -29,277 +30,291 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import drop_written, text_or_empty, written
+from tallyloom.llm.common import Words, drop_written, mixed_bits, text_or_empty, written
 
-WIDTH, MINIMISER = 35, 3
-BLOCK_WORDS = 1 << 20
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+WIDTH = 35
+LEVELS = (3, 12, 24)  # run lengths of the minimisers; after them the window decides
+BLOCK_BYTES = 4 << 20
+PART_BYTES = 64 << 20  # of packed strings in one partition, before compression
+SUBS = 16  # a partition's strings are sorted in so many portions
+_C = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Block:
-    """Some documents' words, their hashes, and the windows' minimisers."""
-
-    def __init__(self, keys: list, docs: list[list[bytes]], width: int = WIDTH, m: int = MINIMISER):
-        from xxhash import xxh64_intdigest
+    """Some texts, their words, and the windows' minimisers at each level."""
 
+    def __init__(self, keys: np.ndarray, texts: list[bytes], width: int = WIDTH):
         self.keys, self.width = keys, width
-        self.lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.words = [w for d in docs for w in d]
-        n = len(self.words)
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in self.words), np.int64, n)
-        self.hashes = np.fromiter((xxh64_intdigest(w) for w in number), np.uint64, len(number))[ids]
-        count = n - width + 1
-        if count <= 0:
-            self.valid, self.least = np.zeros(0, bool), np.zeros(0, np.uint64)
-            return
-        h, k = self.hashes, n - m + 1
-        run = h[:k] * _A
-        for j in range(1, m):
-            run = _mixed(run) + h[j : j + k] * (_B if j % 2 else _C)
-        run = _mixed(run)
-        span = width - m + 1  # runs in a window
-        step = 1
+        self.words = w = Words(texts)
+        count = len(w) - width + 1
+        self.valid = np.zeros(max(count, 0), bool)
+        if count > 0:
+            edge = np.zeros(count + 1, np.int64)
+            has = w.lengths >= width
+            np.add.at(edge, w.first[has], 1)
+            np.add.at(edge, (w.first + w.lengths - width + 1)[has], -1)
+            self.valid = np.cumsum(edge[:count]) > 0
+
+    def least(self, level: int) -> np.ndarray:
+        """The minimiser of each window; beyond the last level the window's own hash."""
+        m = LEVELS[level] if level < len(LEVELS) else self.width
+        run = self.words.runs(m)
+        span, step = self.width - m + 1, 1
         while step * 2 <= span:
             run = np.minimum(run[:-step], run[step:])
             step *= 2
         if span > step:
             run = np.minimum(run[: -(span - step)], run[span - step :])
-        self.least = run
-        edge = np.zeros(count + 1, np.int64)
-        has = self.lengths >= width
-        np.add.at(edge, self.starts[has], 1)
-        np.add.at(edge, (self.starts + self.lengths - width + 1)[has], -1)
-        self.valid = np.cumsum(edge[:count]) > 0
-
-    def runs(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First window, number of windows and bucket hash of each super-k-mer; windows of hot minimisers stand alone."""
-        v, least = self.valid, self.least
-        if not v.any():
-            z = np.zeros(0, np.int64)
-            return z, z, np.zeros(0, np.uint64)
+        return run
+
+    def strings(self, deal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First window and number of windows of each super-k-mer: consecutive windows dealt alike."""
+        v = self.valid
         first = v.copy()
-        first[1:] &= ~v[:-1] | (least[1:] != least[:-1])
-        deal = least
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, least), len(hot) - 1)
-            alone = v & (hot[at] == least)
-            first |= alone
-            if alone.any():
-                deal = np.where(alone, window_hashes(self.hashes, self.width), least)
+        first[1:] &= ~v[:-1] | (deal[1:] != deal[:-1])
         begin = np.flatnonzero(first)
-        end = np.append(begin[1:], len(v))
         covered = np.concatenate(([0], np.cumsum(v)))
-        return begin, covered[end] - covered[begin], deal[begin]
-
-
-def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
-    """A polynomial hash modulo 2^64 of each window, from prefix sums: the base is odd, so it can be divided by."""
-    n = len(values)
-    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    power = np.full(n, base, np.uint64)
-    back = np.full(n, inverse, np.uint64)
-    power[0] = back[0] = 1
-    np.multiply.accumulate(power, out=power)
-    np.multiply.accumulate(back, out=back)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * power, dtype=np.uint64)))
-    return _mixed((prefix[width:] - prefix[:-width]) * back[: n - width + 1])
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """batches of (doc_id, text_hash, text)."""
-    keys, docs, size = [], [], 0
+        return begin, covered[np.append(begin[1:], len(v))] - covered[begin]
+
+    def dealt(self, hot: list[np.ndarray]) -> np.ndarray:
+        """What decides each window's bucket, given the hot minimisers of each level."""
+        deal = self.least(0)
+        todo = np.ones(len(deal), bool)
+        for level, values in enumerate(hot):
+            if not len(values):
+                break
+            at = np.minimum(np.searchsorted(values, deal), len(values) - 1)
+            todo &= values[at] == deal
+            if not todo.any():
+                break
+            deal = np.where(todo, self.least(level + 1) + np.uint64(level + 1), deal)
+        return deal
+
+    def bytes_of(self, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.words.at[begin], self.words.end[begin + count + self.width - 2]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[Block]:
+    """batches of (h1, h2, text)."""
+    keys, texts, size = [], [], 0
     for batch in batches:
-        for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            keys.append((i, h))
-            docs.append(t.as_py().encode().split())
-            size += len(docs[-1])
-            if size >= BLOCK_WORDS:
-                yield Block(keys, docs)
-                keys, docs, size = [], [], 0
-    if docs:
-        yield Block(keys, docs)
-
-
-def packs(block: Block, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, pack): the block's distinct super-k-mers of each bucket and where they occur."""
-    begin, count, deal = block.runs(hot)
-    if not len(begin):
+        for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            keys.append((a, b))
+            texts.append(t.as_py().encode())
+            size += len(texts[-1])
+            if size >= BLOCK_BYTES:
+                yield Block(np.array(keys, np.int64), texts, width)
+                keys, texts, size = [], [], 0
+    if texts:
+        yield Block(np.array(keys, np.int64), texts, width)
+
+
+def merged(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans [lo, hi) of texts (keys: n x 2): overlapping or touching ones of a text are joined.
+
+    Returns the texts, how many spans each has, and the spans in order of text and place.
+    """
+    if not len(keys):
+        return keys, lo, lo, hi
+    order = np.lexsort((lo, keys[:, 1], keys[:, 0]))
+    keys, lo, hi = keys[order], lo[order], hi[order]
+    other = np.ones(len(keys), bool)
+    other[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    text = np.cumsum(other) - 1
+    far = (hi.max(initial=0) + 1) * text  # keeps the texts apart on one line
+    reach = np.maximum.accumulate(hi + far)
+    opens = other.copy()
+    opens[1:] |= lo[1:] + far[1:] > reach[:-1]
+    begin = np.flatnonzero(opens)
+    last = np.append(begin[1:], len(keys)) - 1
+    return keys[other], np.bincount(text[begin], minlength=int(other.sum())), lo[begin], (reach - far)[last]
+
+
+def packs(block: Block, parts: int, hot: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+    """(partition, kind, pack): 0, the block's distinct strings for a partition; 1, spans settled here."""
+    if not block.valid.any():
         return
-    line = b" ".join(block.words)
-    ends = np.cumsum(np.fromiter(map(len, block.words), np.int64, len(block.words)) + 1)
-    a = ends[begin] - np.fromiter((len(block.words[i]) for i in begin.tolist()), np.int64, len(begin)) - 1
-    b = ends[begin + count + block.width - 2] - 1
-    doc = np.searchsorted(block.starts, begin, side="right") - 1
-    # documents without words share a start with the next; the last of them is the one that has the words
-    at = begin - block.starts[doc]
-    bucket = ((deal * _C) >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    deal = block.dealt(hot)
+    begin, count = block.strings(deal)
+    a, b = block.bytes_of(begin, count)
+    line = block.words.line.tobytes()
+    seen: dict[bytes, int] = {}
+    which = np.fromiter((seen.setdefault(line[x:y], len(seen)) for x, y in zip(a.tolist(), b.tolist())), np.int64, len(a))
+    times = np.bincount(which)
+    rep = np.empty(len(seen), np.int64)  # a place of each string
+    rep[which[::-1]] = np.arange(len(which))[::-1]
+    doc = np.searchsorted(block.words.first + block.words.lengths, begin, side="right")
+    at = begin - block.words.first[doc]
     squeeze = zstandard.ZstdCompressor(level=1)
-    for part in np.split(order, cuts):
-        seen: dict[bytes, int] = {}
-        which = [seen.setdefault(line[x:y], len(seen)) for x, y in zip(a[part].tolist(), b[part].tolist())]
-        used, local = np.unique(doc[part], return_inverse=True)
-        ids = [block.keys[d] for d in used.tolist()]
-        places = np.stack([np.array(which), local, at[part]]).astype(np.int32)
-        text = b"\n".join(seen)
-        nulls = np.array([i is None for i, _ in ids])
-        head = np.array([len(text), len(ids), places.shape[1]], np.int64)
-        keys = np.array([[i or 0, h] for i, h in ids], np.int64)
-        yield int(bucket[part[0]]), squeeze.compress(head.tobytes() + text + keys.tobytes() + nulls.tobytes() + places.tobytes())
-
-
-def unpacked(pack: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Strings; keys (ids x 2); nulls; places (3 x occurrences: string, key, first word)."""
-    raw = zstandard.ZstdDecompressor().decompress(pack)
-    n_text, n_ids, n_places = np.frombuffer(raw, np.int64, 3).tolist()
-    at = 24 + n_text
-    keys = np.frombuffer(raw, np.int64, 2 * n_ids, at).reshape(-1, 2)
-    nulls = np.frombuffer(raw, bool, n_ids, at + 16 * n_ids)
-    places = np.frombuffer(raw, np.int32, 3 * n_places, at + 17 * n_ids).reshape(3, -1)
-    return raw[24:at].split(b"\n"), keys, nulls, places
-
-
-def repeated_windows(words: np.ndarray, begin: np.ndarray, occurrences: np.ndarray, width: int) -> np.ndarray:
-    """Which windows (starts ``begin`` in the word numbers ``words``) occur twice or more in all."""
-    rng = np.random.default_rng(7)
-    values = rng.integers(0, 1 << 63, int(words.max()) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    hashes = window_hashes(values[words], width)[begin]
-    order = np.argsort(hashes, kind="stable")
+    twice = times[which] > 1
+    if twice.any():
+        keys, n, lo, hi = merged(block.keys[doc[twice]], at[twice], (at + count + block.width - 1)[twice])
+        to = (keys[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        for p in np.unique(to).tolist():
+            mine = to == p
+            spans = np.repeat(mine, n)
+            yield p, 1, squeeze.compress(b"".join(x.tobytes() for x in (np.array([mine.sum()]), keys[mine], n[mine], lo[spans], hi[spans])))
+    h = mixed_bits(deal[begin[rep]] * _C)
+    part, sub = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), (h % np.uint64(SUBS)).astype(np.int64)
+    order = np.lexsort((sub, part))
+    texts = list(seen)
+    for mine in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        r = rep[mine]
+        lone = times[mine] == 1
+        used, local = np.unique(doc[r[lone]], return_inverse=True)
+        place = np.full((2, len(mine)), -1, np.int32)  # text and first word; -1: known to repeat
+        place[0, lone], place[1, lone] = local, at[r[lone]]
+        portions = [b"\n".join([texts[i] for i in part_of.tolist()]) for part_of in np.split(mine, np.searchsorted(sub[mine], np.arange(1, SUBS)))]
+        head = np.array([len(used), *map(len, portions)], np.int64)
+        yield int(part[mine[0]]), 0, squeeze.compress(head.tobytes() + block.keys[used].tobytes() + b"".join(portions) + place.tobytes())
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Texts' keys, the strings of each portion, and places (text, first word) of all strings."""
+    head = np.frombuffer(raw, np.int64, SUBS + 1)
+    at = 8 * len(head)
+    keys = np.frombuffer(raw, np.int64, 2 * int(head[0]), at).reshape(-1, 2)
+    at += keys.nbytes
+    portions = []
+    for n in head[1:].tolist():
+        portions.append(raw[at : at + n])
+        at += n
+    return keys, portions, np.frombuffer(raw, np.int32, offset=at).reshape(2, -1)
+
+
+def repeated_windows(line: bytes, a: np.ndarray, b: np.ndarray, hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which windows (bytes a to b of line) are known to repeat or equal another one, byte for byte."""
+    order = np.argsort(hashes)
     h = hashes[order]
-    alike = np.flatnonzero(h[1:] == h[:-1])  # neighbours in the order: their words decide
-    equal = np.ones(len(alike), bool)
-    reach = np.arange(width)
-    for s in range(0, len(alike), 1 << 15):
-        x, y = begin[order[alike[s : s + (1 << 15)]]], begin[order[alike[s : s + (1 << 15)] + 1]]
-        equal[s : s + (1 << 15)] = (words[x[:, None] + reach] == words[y[:, None] + reach]).all(axis=1)
-    if not equal.all():  # two windows share a hash: sort those of such hashes by their words
-        for value in np.unique(h[alike[~equal]]):
-            lo, hi = np.searchsorted(h, value, "left"), np.searchsorted(h, value, "right")
-            members = sorted(order[lo:hi].tolist(), key=lambda i: words[begin[i] : begin[i] + width].tobytes())
-            order[lo:hi] = members
-        x, y = begin[order[:-1]], begin[order[1:]]
-        same = np.zeros(len(order) - 1, bool)
-        same[alike] = [np.array_equal(words[p : p + width], words[q : q + width]) for p, q in zip(x[alike], y[alike])]
-    else:
-        same = np.zeros(max(0, len(order) - 1), bool)
-        same[alike] = True
-    group = np.concatenate(([0], np.cumsum(~same)))
-    total = np.bincount(group, occurrences[order])
-    out = np.zeros(len(begin), bool)
-    out[order] = total[group] >= 2
+    same = np.zeros(len(h) + 1, bool)  # with the one before
+    alike = np.flatnonzero(h[1:] == h[:-1])
+    i, j = order[alike], order[alike + 1]
+    differ = [line[p:q] != line[r:s] for p, q, r, s in zip(a[i].tolist(), b[i].tolist(), a[j].tolist(), b[j].tolist())]
+    same[alike + 1] = True
+    if any(differ):  # windows of other words share a hash: put those of such hashes in order of their words
+        for value in np.unique(h[alike[np.array(differ)]]).tolist():
+            lo, hi = np.searchsorted(h, np.uint64(value), "left"), np.searchsorted(h, np.uint64(value), "right")
+            order[lo:hi] = members = sorted(order[lo:hi].tolist(), key=lambda k: line[a[k] : b[k]])
+            same[lo + 1 : hi] = [line[a[x] : b[x]] == line[a[y] : b[y]] for x, y in zip(members, members[1:])]
+    out = np.zeros(len(h), bool)
+    out[order] = same[:-1] | same[1:]
+    # one known to repeat settles all that equal it
+    group = np.cumsum(~same[:-1])
+    settled = np.bincount(group, known[order], minlength=len(h) + 1) > 0
+    out[order] |= settled[group]
     return out
 
 
-def covered(bucket: list[bytes], width: int) -> pa.RecordBatch:
-    """Spans of words covered by repeated windows, from all packs of one bucket."""
-    number: dict[bytes, int] = {}
-    arrays, sizes, occurrences, kept = [], [], [], []
-    base = 0
-    for pack in bucket:
-        strings, keys, nulls, places = unpacked(pack)
-        for s in strings:
-            w = s.split(b" ")
-            arrays.append(np.fromiter([number.setdefault(x, len(number)) for x in w], np.int32, len(w)))
-            sizes.append(len(w))
-        occurrences.append(np.bincount(places[0], minlength=len(strings)))
-        kept.append((keys, nulls, places, base))
-        base += len(strings)
-    words, size = np.concatenate(arrays), np.array(sizes)
-    del arrays, number
-    first = np.cumsum(size) - size
-    windows = size - width + 1
-    owner = np.repeat(np.arange(len(size)), windows)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    flag = repeated_windows(words, first[owner] + offset, np.concatenate(occurrences)[owner].astype(np.float64), width)
-    # runs of flagged windows of each string
-    edge = flag & ~(np.concatenate(([False], flag[:-1])) & (offset > 0))
-    begin = np.flatnonzero(edge)
-    ends = np.flatnonzero(flag & ~np.concatenate((flag[1:] & (offset[1:] > 0), [False])))
-    lo, hi, of = offset[begin], offset[ends] + width, owner[begin]
-    runs_of = np.searchsorted(of, np.arange(len(size) + 1))
-    ids, none, texts, froms, tos = [], [], [], [], []
-    for keys, nulls, places, base in kept:
-        s = places[0] + base
-        n = runs_of[s + 1] - runs_of[s]
-        which = np.repeat(np.arange(len(s)), n)
-        run = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(runs_of[s], n)
-        key, at = places[1][which], places[2][which].astype(np.int64)
-        ids.append(keys[key, 0])
-        none.append(nulls[key])
-        texts.append(keys[key, 1])
-        froms.append(at + lo[run])
-        tos.append(at + hi[run])
-    return pa.record_batch(
-        [pa.array(np.concatenate(ids), mask=np.concatenate(none)), *[pa.array(np.concatenate(x)) for x in (texts, froms, tos)]],
-        names=["id", "text_hash", "a", "b"],
-    )
-
-
-def hot_minimisers(rows: DataFrame, share: float) -> np.ndarray:
-    """Minimisers with this share of all super-k-mers or more, ascending; at most 1 / share of them."""
+def covered(held: list[bytes], settled: list[bytes], width: int) -> pa.RecordBatch:
+    """Spans of words covered by repeated windows, one row per text, from all packs of one partition."""
+    squeeze = zstandard.ZstdDecompressor()
+    keys, los, his = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for pack in settled:
+        x = np.frombuffer(squeeze.decompress(pack), np.int64)
+        n = int(x[0])
+        each = x[1 + 2 * n : 1 + 3 * n]
+        lo, hi = x[1 + 3 * n :].reshape(2, -1)
+        keys.append(np.repeat(x[1 : 1 + 2 * n].reshape(-1, 2), each, axis=0))
+        los.append(lo)
+        his.append(hi)
+    opened = [unpacked(squeeze.decompress(p)) for p in held]
+    base = np.cumsum([0] + [len(k) for k, _, _ in opened])
+    texts = np.concatenate([np.zeros((0, 2), np.int64)] + [k for k, _, _ in opened])
+    done = [0] * len(opened)
+    for s in range(SUBS):
+        portions = [p[s] for _, p, _ in opened]
+        words = Words([p for p in portions if p], lines=True)
+        if not len(words):
+            continue
+        place = []
+        for i, (p, (_, _, where)) in enumerate(zip(portions, opened)):
+            n = p.count(b"\n") + 1 if p else 0
+            mine = where[:, done[i] : done[i] + n].astype(np.int64)
+            place.append(np.where(mine >= 0, mine + np.array([[base[i]], [0]]), -1))
+            done[i] += n
+        of, at = np.concatenate(place, axis=1)
+        first = np.flatnonzero(np.diff(words.string[: len(words) - width + 1], prepend=-1))  # first word of each string
+        inside = np.flatnonzero(words.string[: len(words) - width + 1] == words.string[width - 1 :])
+        owner = words.string[inside]
+        offset = inside - first[owner]
+        flag = repeated_windows(words.line.tobytes(), words.at[inside], words.end[inside + width - 1], words.runs(width)[inside], of[owner] < 0)
+        flag &= of[owner] >= 0
+        same = np.zeros(len(flag) + 1, bool)
+        same[1:-1] = owner[1:] == owner[:-1]
+        begin = np.flatnonzero(flag & ~(np.append(False, flag[:-1]) & same[:-1]))
+        last = np.flatnonzero(flag & ~(np.append(flag[1:], False) & same[1:]))
+        o = owner[begin]
+        keys.append(texts[of[o]])
+        los.append(at[o] + offset[begin])
+        his.append(at[o] + offset[last] + width)
+    key, n, lo, hi = merged(np.concatenate(keys), np.concatenate(los), np.concatenate(his))
+    flat = np.stack([lo, hi], axis=1).ravel()
+    spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(2 * n))), pa.int32()), pa.array(flat, pa.int64()))
+    return pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1]), spans], names=["h1", "h2", "spans"])
+
+
+def hot_minimisers(rows: DataFrame, share: float, width: int) -> tuple[list[np.ndarray], int]:
+    """Per level, the minimisers with this share of all strings or more, ascending (at most 1 / share), and the bytes of all strings.
+
+    A value with such a share has it in some block too. Each block names the values with a quarter of the share, so
+    a hot one loses less than a quarter of its count.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            begin, _, least = block.runs(np.zeros(0, np.uint64))
-            value, n = np.unique(least, return_counts=True)
-            often = n * 4 >= share * len(begin)  # what is hot overall is nearly so in some block; all of it is summed there
-            value, n = value[often], n[often]
-            yield pa.record_batch([pa.array(np.append(value.view(np.int64), 0)), pa.array(np.append(n, 0)), pa.array([0] * len(n) + [len(begin)], pa.int64())], names=["least", "n", "total"])
-
-    # read twice, so written once: counting means going through all texts
-    counts = written(rows.mapInArrow(count, "least long, n long, total long").groupBy("least").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "minimisers")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    found = counts.where(F.col("n") >= max(64, share * total)).select("least").collect()
+        for block in blocks(batches, width):
+            if not block.valid.any():
+                continue
+            for level in range(len(LEVELS)):
+                least = block.least(level)
+                begin, n = block.strings(least)
+                a, b = block.bytes_of(begin, n)
+                value, text = least[begin], block.words.spans(a, b)
+                order = np.lexsort((text, value))
+                value, text = value[order], text[order]
+                once = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))  # equal strings travel once per block
+                value, times = np.unique(value[once], return_counts=True)
+                often = times * 4 >= share * len(begin)
+                value, times = np.append(value[often], np.uint64(0)), np.append(times[often], 0)
+                total = np.append(np.zeros(len(times) - 1, np.int64), len(begin))
+                size = np.append(np.zeros(len(times) - 1, np.int64), int((b - a).sum()) if level == 0 else 0)
+                yield pa.record_batch([pa.array(np.full(len(times), level)), pa.array((value + np.uint64(level)).view(np.int64)), pa.array(times), pa.array(total), pa.array(size)], names=["level", "value", "n", "total", "bytes"])
+
+    counts = rows.mapInArrow(count, "level long, value long, n long, total long, bytes long").groupBy("level", "value").agg(*[F.sum(c).alias(c) for c in ("n", "total", "bytes")])
+    counts = written(counts, "minimisers")  # read twice, made by going through all texts
+    total, size = counts.where("level = 0").agg(F.sum("total"), F.sum("bytes")).first()
+    found = counts.where(F.col("n") >= max(64, 0.75 * share * (total or 0))).select("level", "value").collect()
     drop_written(counts)
-    return np.sort(np.array([r["least"] for r in found], np.int64).view(np.uint64))
+    levels = [np.sort(np.array([r["value"] for r in found if r["level"] == k], np.int64).view(np.uint64)) for k in range(len(LEVELS))]
+    return levels, size or 0
 
 
-def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, hot_share: float | None = None
-) -> DataFrame:
-    """(id, text_hash, text, spans): spans are the covered word ranges [a, b) of each text, null if none."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, parts: int | None = None, hot_share: float | None = None) -> DataFrame:
+    """(id, text, spans): spans are the covered word ranges [a, b) of each text, as a, b, a, b, ...; null if none."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 2 * partitions
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).select("id", F.xxhash64("text").alias("text_hash"), "text")
-    hot = hot_minimisers(rows, hot_share or 1 / (4 * buckets))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    least_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.select("h1", "h2", "text")
+    hot, size = hot_minimisers(texts, hot_share or 1 / (4 * least_parts), width)
+    parts = parts or max(least_parts, -(-size // PART_BYTES))  # by data, if the session's number is too small for it
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            held, size = [], 0
-            for number, pack in packs(block, buckets, hot):
-                held.append((number, pack))
-                size += len(pack)
-                if size > 4 << 20:
-                    yield pa.record_batch([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], names=["bucket", "pack"])
-                    held, size = [], 0
-            if held:
-                yield pa.record_batch([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], names=["bucket", "pack"])
+        for block in blocks(batches, width):
+            for p, kind, pack in packs(block, parts, hot):
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array([pack], pa.binary())], names=["part", "kind", "pack"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        held: tuple[list[bytes], list[bytes]] = ([], [])
         for batch in batches:
-            for number, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if number != now and held:
-                    yield covered(held, width)
-                    held = []
-                now = number
-                held.append(pack)
-        if held:
-            yield covered(held, width)
+            for kind, pack in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                held[kind].append(pack)
+        if held[0] or held[1]:
+            yield covered(*held, width)
 
-    sent = rows.mapInArrow(send, "bucket int, pack binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    spans = sent.mapInArrow(count, "id long, text_hash long, a long, b long").groupBy("id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = spans.select(F.col("id").alias("span_id"), F.col("text_hash").alias("span_hash"), "spans")
-    return rows.join(spans, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("text_hash") == F.col("span_hash")), "left").select("id", "text_hash", "text", "spans")
+    sent = texts.mapInArrow(send, "part int, kind int, pack binary").repartitionById(parts, "part")
+    found = sent.mapInArrow(count, "h1 long, h2 long, spans array<long>").groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # written, so that the join's two sides come straight from their shuffles and the runtime optimiser can split a hot text
+    return rows.join(written(found, "spans"), ["h1", "h2"], "left").select("id", "text", "spans")
 
 
 def kept_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -320,10 +335,10 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             for t, spans in zip(batch.column(1), batch.column(2)):
                 words = t.as_py().encode().split()
                 found = spans.as_py()
-                kept = kept_words(words, [(s["a"], s["b"]) for s in found]) if found else words
+                kept = kept_words(words, list(zip(found[::2], found[1::2]))) if found else words
                 total.append(len(words))
                 gone.append(len(words) - len(kept))
                 texts.append(b" ".join(kept).decode())
             yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return remove_repeats(docs, id_col, text_col, width).select("id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return remove_repeats(docs, id_col, text_col, width).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from tallyloom.llm import substrings
+from tallyloom.llm.common import Words
 
 
 def plain(rows, width):
@@ -21,18 +23,34 @@ def plain(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [None, 0.02])
-def test_matches_counting_all_windows(spark, docs, texts, hot, monkeypatch):
-    if hot:  # many minimisers count as hot: their windows are dealt one by one
-        real = substrings.hot_minimisers
-        monkeypatch.setattr(substrings, "hot_minimisers", lambda rows, _: np.sort(np.unique(np.concatenate([real(rows, 1.0), _all_minimisers(texts)[::2]]))))
+@pytest.mark.parametrize("hot", [0, 1, 2, 3])
+def test_matches_counting_all_windows(docs, texts, hot, monkeypatch):
+    """With every second minimiser of the first levels hot, windows are dealt by longer ones."""
+    if hot:
+        block = _block(texts)
+        values = [np.unique(block.least(k)[block.valid] + np.uint64(k))[::2] for k in range(hot)]
+        monkeypatch.setattr(substrings, "hot_minimisers", lambda *_: (values + [np.zeros(0, np.uint64)] * (3 - hot), 0))
     got = sorted(map(tuple, substrings.cleaned(docs).collect()), key=str)
     assert got == plain([(i, t) for i, t, _, _ in texts], substrings.WIDTH)
 
 
-def _all_minimisers(texts):
-    block = substrings.Block([(0, 0)] * len(texts), [(t or "").encode().split() for _, t, _, _ in texts])
-    return np.unique(block.least[block.valid])
+def _block(texts):
+    return substrings.Block(np.array([(k, -k) for k in range(len(texts))]), [(t or "").encode() for _, t, _, _ in texts])
+
+
+def test_hot_minimisers_are_found_and_split(spark, monkeypatch):
+    """A line in every row: its minimiser is hot, and no bucket gets all the windows that hold it."""
+    r = random.Random(6)
+    line = [f"line{k}" for k in range(12)]
+    rows = [(i, " ".join([f"{r.randrange(10**9)}" for _ in range(40)] + line + [f"{r.randrange(10**9)}" for _ in range(40)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    levels, size = substrings.hot_minimisers(df.selectExpr("doc_id h1", "doc_id h2", "text"), 1 / 48, substrings.WIDTH)
+    assert 1 <= len(levels[0]) <= 48 and size > sum(len(t) for _, t in rows)
+    block = substrings.Block(np.array([(i, i) for i, _ in rows]), [t.encode() for _, t in rows])
+    held = block.valid & np.isin(block.least(0), levels[0])
+    assert held.sum() > 300 and len(np.unique(block.dealt(levels)[held])) > 10
+    got = {x.doc_id: x.n_removed for x in substrings.cleaned(df).collect()}
+    assert set(got.values()) == {0}
 
 
 def test_random_repeats(spark):
@@ -49,26 +67,57 @@ def test_random_repeats(spark):
     assert sorted(map(tuple, substrings.cleaned(df).collect()), key=str) == plain(rows, substrings.WIDTH)
 
 
-def test_equal_hashes_are_told_apart_by_words(monkeypatch):
-    monkeypatch.setattr(substrings, "window_hashes", lambda values, width: np.zeros(len(values) - width + 1, np.uint64))
-    words = np.array([1, 2, 3, 1, 2, 3, 4, 1, 2], np.int32)
-    begin = np.arange(len(words) - 1)
-    got = substrings.repeated_windows(words, begin, np.ones(len(begin)), 2)
+def test_equal_hashes_are_told_apart_by_words():
+    words = [b"a", b"b", b"c", b"a", b"b", b"c", b"d", b"a", b"b"]
+    line = b" ".join(words)
+    a, b = np.arange(8) * 2, np.arange(8) * 2 + 3
+    got = substrings.repeated_windows(line, a, b, np.zeros(8, np.uint64), np.zeros(8, bool))
     pairs = Counter(zip(words, words[1:]))
-    assert got.tolist() == [pairs[words[i], words[i + 1]] > 1 for i in begin]
-
-
-def test_packs_round_trip(texts):
-    block = substrings.Block([(i, k) for k, (i, _, _, _) in enumerate(texts)], [(t or "").encode().split() for _, t, _, _ in texts])
-    windows = Counter()
-    for _, pack in substrings.packs(block, 5, np.zeros(0, np.uint64)):
-        strings, keys, nulls, places = substrings.unpacked(pack)
-        for s, k, at in places.T.tolist():
-            w = strings[s].split(b" ")
-            for j in range(len(w) - substrings.WIDTH + 1):
-                windows[None if nulls[k] else int(keys[k][0]), int(keys[k][1]), at + j] += 1
-    assert set(windows.values()) == {1}
-    assert len(windows) == int(block.valid.sum())
+    assert got.tolist() == [pairs[words[i], words[i + 1]] > 1 for i in range(8)]
+    known = np.zeros(8, bool)
+    known[5] = True  # "c d" is known to repeat
+    assert substrings.repeated_windows(line, a, b, np.zeros(8, np.uint64), known)[5]
+
+
+def test_packs_hold_every_window_once_or_settle_it(texts):
+    block = _block(texts)
+    got, settled = set(), Counter()
+    squeeze = zstandard.ZstdDecompressor()
+    for _, kind, pack in substrings.packs(block, 5, [np.zeros(0, np.uint64)] * 3):
+        raw = squeeze.decompress(pack)
+        if kind:
+            x = np.frombuffer(raw, np.int64)
+            n = int(x[0])
+            for (k, _), m in zip(x[1 : 1 + 2 * n].reshape(-1, 2).tolist(), x[1 + 2 * n : 1 + 3 * n].tolist()):
+                settled[k] += m
+            continue
+        keys, portions, places = substrings.unpacked(raw)
+        strings = [s for p in portions if p for s in p.split(b"\n")]
+        assert len(strings) == places.shape[1]
+        for s, (k, at) in zip(strings, places.T.tolist()):
+            for j in range(len(s.split(b" ")) - substrings.WIDTH + 1):
+                if k >= 0:
+                    assert (key := (int(keys[k][0]), at + j)) not in got
+                    got.add(key)
+    assert settled and got and len(got) < block.valid.sum()
+
+
+def test_spans_of_a_text_are_merged():
+    keys = np.array([(2, 0), (1, 0), (1, 0), (1, 0), (1, 5), (2, 0)])
+    k, n, lo, hi = substrings.merged(keys, np.array([4, 9, 0, 5, 3, 0]), np.array([6, 12, 5, 8, 9, 3]))
+    assert k.tolist() == [[1, 0], [1, 5], [2, 0]] and n.tolist() == [2, 1, 2]
+    assert list(zip(lo.tolist(), hi.tolist())) == [(0, 8), (9, 12), (3, 9), (0, 3), (4, 6)]
+
+
+def test_words_as_arrays(texts):
+    raw = [(t or "").encode() for _, t, _, _ in texts]
+    w = Words(raw)
+    line = w.line.tobytes()
+    got = [[line[a:b] for a, b in zip(w.at[f : f + n].tolist(), w.end[f : f + n].tolist())] for f, n in zip(w.first.tolist(), w.lengths.tolist())]
+    assert got == [t.split() for t in raw]
+    runs = {}
+    for k, h in enumerate(w.runs(3).tolist()):
+        assert runs.setdefault(h, line[w.at[k] : w.end[k + 2]]) == line[w.at[k] : w.end[k + 2]]
 
 
 def test_empty_table(empty):
