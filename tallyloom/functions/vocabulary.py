@@ -68,48 +68,130 @@ UNIT_RANKS = ("담당관", "전문위원")
 STAFF, LOW_RANK, OTHERS, DEFAULT_DEPARTMENT = "직원", "5급 이하", "외", "서울시본청"
 INSTITUTIONS = ("시청", "군청", "구청", "도청", "의회")
 
-#: Region names and their short forms, by the name that both lead to.
-REGION_FORMS = {
-    "서울특별시": ("서울",),
-    "부산광역시": ("부산",),
-    "대구광역시": ("대구",),
-    "인천광역시": ("인천",),
-    "광주광역시": ("광주",),
-    "대전광역시": ("대전",),
-    "울산광역시": ("울산",),
-    "세종특별자치시": ("세종",),
-    "경기도": ("경기",),
-    "강원특별자치도": ("강원", "강원도"),
-    "충청북도": ("충북",),
-    "충청남도": ("충남",),
-    "전라북도": ("전북", "전북특별자치도"),
-    "전라남도": ("전남",),
-    "경상북도": ("경북",),
-    "경상남도": ("경남",),
-    "제주특별자치도": ("제주",),
+#: Region names and short forms, with the name that each leads to.
+REGION_ALIASES = {
+    "서울특별시": "서울특별시",
+    "서울": "서울특별시",
+    "부산광역시": "부산광역시",
+    "부산": "부산광역시",
+    "대구광역시": "대구광역시",
+    "대구": "대구광역시",
+    "인천광역시": "인천광역시",
+    "인천": "인천광역시",
+    "광주광역시": "광주광역시",
+    "광주": "광주광역시",
+    "대전광역시": "대전광역시",
+    "대전": "대전광역시",
+    "울산광역시": "울산광역시",
+    "울산": "울산광역시",
+    "세종특별자치시": "세종특별자치시",
+    "세종": "세종특별자치시",
+    "경기도": "경기도",
+    "경기": "경기도",
+    "강원특별자치도": "강원특별자치도",
+    "강원": "강원특별자치도",
+    "강원도": "강원특별자치도",
+    "충청북도": "충청북도",
+    "충북": "충청북도",
+    "충청남도": "충청남도",
+    "충남": "충청남도",
+    "전라북도": "전라북도",
+    "전북": "전라북도",
+    "전북특별자치도": "전라북도",
+    "전라남도": "전라남도",
+    "전남": "전라남도",
+    "경상북도": "경상북도",
+    "경북": "경상북도",
+    "경상남도": "경상남도",
+    "경남": "경상남도",
+    "제주특별자치도": "제주특별자치도",
+    "제주": "제주특별자치도",
 }
-REGION_ALIASES = {form: name for name, forms in REGION_FORMS.items() for form in (name, *forms)}
 
 #: Expenses that were not spent at a place.
 NOT_A_PLACE = r"경조사|축의금|조의금|부의금|부조금|화환|격려금"
 TOTAL_ROW = r"^\s*(?:합계|총계|\d+(?:\s*건)?|-)\s*$"
 PURPOSE_AS_PLACE = r"간담회|정례회|대응|결혼\s*축하|축하금|임직원\s*소통|업무협의|정책협의|주요정책추진|회의|행사|유관(?:\s*기관|\(관련\)\s*기관)"
 
-#: Column heads of expense tables by the field that they announce.
-HEADS = {
-    "used_date": "집행일자 집행일 사용일자 사용일 승인일 승인일자 승인일시 사용일시 집행일시 일시 일자 일 결제일자",
-    "used_time": "집행시간 사용시간 사용시각 승인시각 승인시간 시각 시간 시",
-    "department_name": "부서명 부서",
-    "user_text": "사용자 집행자 구분",
-    "place_text": "장소 사용장소 집행장소 집행처 집행처명 사용처 가맹점명 상호 상호명 업소명",
-    "address_hint": "주소 집행처주소 가맹점주소",
-    "purpose": "집행목적 사용목적 사용내역 카드사용내역 사용내용 집행내역 내용 내역",
-    "party_size": "대상인원수 대상인원 집행인원 참석자 인원 인원수",
-    "amount": "금액 집행금액 집행액 사용금액 승인금액 지출액 지출금액 사용액",
-    "payment_method": "결제 결제방법 결재방법 집행방법 사용방법 방법 사용방법및비고",
-    "expense_category": "비목 세목 업무추진비종류 제목",
+#: Column heads of expense tables, with the field that each announces.
+HEAD_FIELDS = {
+    "집행일자": "used_date",
+    "집행일": "used_date",
+    "사용일자": "used_date",
+    "사용일": "used_date",
+    "승인일": "used_date",
+    "승인일자": "used_date",
+    "승인일시": "used_date",
+    "사용일시": "used_date",
+    "집행일시": "used_date",
+    "일시": "used_date",
+    "일자": "used_date",
+    "일": "used_date",
+    "결제일자": "used_date",
+    "집행시간": "used_time",
+    "사용시간": "used_time",
+    "사용시각": "used_time",
+    "승인시각": "used_time",
+    "승인시간": "used_time",
+    "시각": "used_time",
+    "시간": "used_time",
+    "시": "used_time",
+    "부서명": "department_name",
+    "부서": "department_name",
+    "사용자": "user_text",
+    "집행자": "user_text",
+    "구분": "user_text",
+    "장소": "place_text",
+    "사용장소": "place_text",
+    "집행장소": "place_text",
+    "집행처": "place_text",
+    "집행처명": "place_text",
+    "사용처": "place_text",
+    "가맹점명": "place_text",
+    "상호": "place_text",
+    "상호명": "place_text",
+    "업소명": "place_text",
+    "주소": "address_hint",
+    "집행처주소": "address_hint",
+    "가맹점주소": "address_hint",
+    "집행목적": "purpose",
+    "사용목적": "purpose",
+    "사용내역": "purpose",
+    "카드사용내역": "purpose",
+    "사용내용": "purpose",
+    "집행내역": "purpose",
+    "내용": "purpose",
+    "내역": "purpose",
+    "대상인원수": "party_size",
+    "대상인원": "party_size",
+    "집행인원": "party_size",
+    "참석자": "party_size",
+    "인원": "party_size",
+    "인원수": "party_size",
+    "금액": "amount",
+    "집행금액": "amount",
+    "집행액": "amount",
+    "사용금액": "amount",
+    "승인금액": "amount",
+    "지출액": "amount",
+    "지출금액": "amount",
+    "사용액": "amount",
+    "결제": "payment_method",
+    "결제방법": "payment_method",
+    "결재방법": "payment_method",
+    "집행방법": "payment_method",
+    "사용방법": "payment_method",
+    "방법": "payment_method",
+    "사용방법및비고": "payment_method",
+    "비목": "expense_category",
+    "세목": "expense_category",
+    "업무추진비종류": "expense_category",
+    "제목": "expense_category",
 }
-HEAD_FIELDS = {head: field for field, heads in HEADS.items() for head in heads.split()}
+FIELDS = tuple(dict.fromkeys(HEAD_FIELDS.values()))
+#: What a head may merely begin with, and heads whose meaning depends on others.
+HEAD_STARTS = {"purpose": ("집행목적", "사용목적", "집행내역"), "place_text": ("사용장소", "집행장소")}
+KIND, USER, SPENDING_KIND = "구분", "사용자", "집행유형"
 
 #: Food categories and their keywords, in order of precedence.
 FOOD = {
@@ -152,6 +234,6 @@ DEFAULT_FOOD = "korean-set-meal"
 
 
 def name_before_rank(ranks: tuple[str, ...]) -> str:
-    """Groups: name, gap, rank. Java and Python read it alike."""
+    """Groups: name, gap, rank. The bounds of the name and of the rank are fixed values. Java and Python read it alike."""
     longest_first = "|".join(sorted(ranks, key=lambda r: (-len(r), r)))
     return rf"(?<![가-힣a-zA-Z0-9_])([가-힣]{{2,4}})(\s*)({longest_first})(?![가-힣])"

@@ -204,9 +204,7 @@ def grids(name: str, content: bytes) -> Iterator[tuple[str, int, Grid]]:
         made = hwpx_grids(content)
     else:
         raise ValueError(f"unsupported:{kind or 'unknown'}")
-    if len(made) > LIMITS["sheets"] and kind != "html":
-        raise ValueError("too_many_sheets")
-    for sheet, grid in enumerate(made):
+    for sheet, grid in enumerate(made if kind in ("html", "htm") else made[: LIMITS["sheets"]]):  # of a workbook the first sheets are read
         if len(grid) > LIMITS["rows"] or any(len(r) > LIMITS["columns"] for r in grid) or sum(map(len, grid)) > LIMITS["cells"]:
             raise ValueError("too_many_cells")
         yield name, sheet, grid

@@ -136,12 +136,27 @@ def reactions_merge(old: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def commit_snapshot(df: DataFrame, path: str, staging: str) -> None:
-    """All or nothing: write aside, then swap the folders."""
-    df.write.mode("overwrite").parquet(staging)
+    """All or nothing: write aside, set the live folder aside, put the new one in its place, then drop the old one.
+
+    A crash leaves either folder whole: under path, or, between the two renames, under path + ".old", from where
+    the next commit takes it back first.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    new, live = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
+    new, live, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staging, path, path.rstrip("/") + ".old"))
     fs = live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(live, True)
-    if not fs.rename(new, live):
-        raise OSError(f"{staging} could not take the place of {path}")
+
+    def move(source, target) -> None:
+        if not fs.rename(source, target):
+            raise OSError(f"{source} could not take the place of {target}")
+
+    if fs.exists(old):
+        if fs.exists(live):
+            fs.delete(old, True)
+        else:
+            move(old, live)
+    df.write.mode("overwrite").parquet(staging)
+    if fs.exists(live):
+        move(live, old)
+    move(new, live)
+    fs.delete(old, True)

@@ -13,8 +13,9 @@ def quality_gates(batches: DataFrame, visits: DataFrame, places: DataFrame, need
     """(batch_id, code, severity, ok), one row per gate that fires, one quality_pass row where none does.
 
     batches(batch_id, parsed_rows, storage_path), visits(batch_id, confidence), places(batch_id, place_key, lat, lng, matched).
+    Means are taken of decimals: one of exactly the limit does not depend on the order of summing.
     """
-    v = visits.groupBy("batch_id").agg(F.count(F.lit(1)).alias("visits"), F.avg("confidence").alias("mean"), F.min("confidence").alias("least"))
+    v = visits.groupBy("batch_id").agg(F.count(F.lit(1)).alias("visits"), F.avg(F.col("confidence").cast("decimal(12,6)")).alias("mean"), F.min("confidence").alias("least"))
     p = places.dropDuplicates(["batch_id", "place_key"]).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("places"), F.count_if(F.col("lat").isNull() | F.col("lng").isNull()).alias("unlocated"), F.count_if("matched").alias("matched")
     )
@@ -52,25 +53,38 @@ def match_rate(places: DataFrame) -> DataFrame:
 
 #: Words of an error by what they mean, in the order in which they are looked for.
 FAILURE_WORDS = (
-    ("legal_hold", "legal visibility"),
-    ("parser_missing", "parser unsupported extractor decompress"),
-    ("kakao_resolution", "kakao coordinate unmatched"),
-    ("db_constraint", "database postgres constraint duplicate"),
-    ("storage_failure", "r2 storage bucket"),
-    ("llm_extraction_failure", "llm api_key vision confidence anthropic openai gemini"),
-    ("auth_js_download", "download timeout 403 401 auth js http dns netfunnel"),
-    ("source_not_found", "source not_found no_posts"),
+    ("legal_hold", ("legal", "visibility")),
+    ("parser_missing", ("parser", "unsupported", "extractor", "decompress")),
+    ("kakao_resolution", ("kakao", "coordinate", "unmatched")),
+    ("db_constraint", ("database", "postgres", "constraint", "duplicate")),
+    ("storage_failure", ("r2", "storage", "bucket", "storage_path")),
+    ("llm_extraction_failure", ("llm", "api key", "vision", "confidence", "anthropic", "openai", "gemini")),
+    ("auth_js_download", ("download", "timeout", "403", "401", "auth", "js", "http", "dns", "netfunnel")),
+    ("source_not_found", ("source", "not found", "no posts")),
 )
-FAILURE_CODES = {"adapter_required": "adapter_required", "unsupported_adapter": "parser_missing", "timeout": "timeout"}
-RETRYABLE = ("timeout", "auth_js_download", "kakao_resolution", "db_constraint", "llm_extraction_failure", "storage_failure", "unknown")
+#: Exact codes; why an agency that needs an adapter is on hold; what is tried again.
+FAILURE_CODES = {"unsupported_adapter": "parser_missing", "timeout": "timeout"}
+HOLD_REASONS = {
+    "legal_hold": "legal_hold",
+    "source_not_found": "source_not_found",
+    "no_recent_data": "no_recent_data",
+    "pdf_vision_hold": "pdf_vision_hold",
+    "adapter_hold": "parser_missing",
+}
+RETRYABLE = ("auth_js_download", "llm_extraction_failure", "storage_failure", "unknown")
+
+
+def hold_reason(hold: Column) -> Column:
+    """What keeps an agency without an adapter waiting; without a known hold its source was not found."""
+    return F.coalesce(*[F.when(hold == status, reason) for status, reason in HOLD_REASONS.items()], F.lit("source_not_found"))
 
 
-def failure_reason(status: Column, code: Column, message: Column) -> Column:
+def failure_reason(status: Column, code: Column, message: Column, hold: Column) -> Column:
     """Why a run failed; NULL for status 0. Exact codes first, then the first group with a word in the error."""
     text = F.lower(F.concat_ws(" ", F.coalesce(code, F.lit("")), F.coalesce(message, F.lit(""))))
     exact = [F.when(code == c, r) for c, r in FAILURE_CODES.items()]
-    words = [F.when(reduce(lambda a, b: a | b, [text.contains(w.replace("_", " ")) for w in ws.split()]), r) for r, ws in FAILURE_WORDS]
-    return F.when(status != 0, F.coalesce(*exact, *words, F.lit("unknown")))
+    words = [F.when(reduce(lambda a, b: a | b, [text.contains(w) for w in ws]), r) for r, ws in FAILURE_WORDS]
+    return F.when(status != 0, F.coalesce(F.when(code == "adapter_required", hold_reason(hold)), *exact, *words, F.lit("unknown")))
 
 
 def should_retry(status: Column, reason: Column) -> Column:

@@ -97,18 +97,20 @@ def first_good_attempt(attempts: DataFrame, least: float) -> DataFrame:
     return attempts.withColumn("state", state)
 
 
-#: Words of a file name that give its office, in the order in which they are looked for; a deputy is no head.
-OFFICES = (("사무국", "사무국"), ("부지사", "부지사"), ("도지사", "도지사"), ("부시장", "부시장"), (r"(?<!부)시장", "시장"), ("부군수", "부군수"), (r"(?<!부)군수", "군수"), ("의장단", "의장단"), ("부의장", "부의장"), ("의장", "의장"), ("위원장", "위원장"), ("교섭단체", "교섭단체"))
-UNIT_END = r"(?:담당관|전문위원|구청장|부구청장|국장|과|팀|국|동|소|센터|실)"
+#: Offices that a file name can name, in order of precedence, and the words that units end with.
+OFFICES = ("사무국", "부지사", "도지사", "부시장", "시장", "부군수", "군수", "의장단", "부의장", "의장", "위원장", "교섭단체")
+UNIT_ENDS = ("담당관", "전문위원", "구청장", "부구청장", "국장", "과", "팀", "국", "동", "소", "센터", "실")
 
 
 def department_of_file(name: Column, agency: Column) -> Column:
-    """Agency and office from a file name: known words first, then a unit in brackets, then one after a month."""
-    office = first_match([(name.rlike(p), o) for p, o in OFFICES])
-    bracket = lambda p: F.trim(F.regexp_extract(name, p, 1))
-    unit = lambda c: F.when(c.rlike(UNIT_END + "$") & ~c.rlike(r"^(?:20)?\d{2}[.\s년_-]*\d{0,2}\.?$"), c)
-    after_month = F.nullif(F.regexp_extract(name, rf"\d{{1,2}}월\s+([가-힣0-9]+{UNIT_END})", 1), F.lit(""))
-    return F.concat_ws(" ", agency, F.coalesce(office, unit(bracket(r"업무추진비\(([^)]+)\)")), unit(bracket(r"\(([^)]+)\)")), after_month))
+    """Agency and office from a file name: the first known office in it, else the first unit among what stands in
+    brackets after the budget's name, in any brackets, or after a month."""
+    offices = F.filter(F.array(*map(F.lit, OFFICES)), lambda o: name.contains(o))
+    ends = "(?:" + "|".join(UNIT_ENDS) + ")$"
+    found = lambda p: F.trim(F.regexp_extract(name, p, 1))
+    fragments = F.array(found(r"업무추진비\(([^)]+)\)"), found(r"\(([^)]+)\)"), found(rf"\d{{1,2}}월\s+([가-힣0-9]+{ends[:-1]})"))
+    units = F.filter(fragments, lambda u: u.rlike(ends))
+    return F.concat_ws(" ", agency, F.get(F.concat(offices, units), F.lit(0)))
 
 
 def repaired_json(c: Column) -> Column:

@@ -88,8 +88,9 @@ FROM conversations WHERE turn > 0""",
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'claude-haiku-4-5' WHEN 1 THEN 'gpt-5.5' WHEN 2 THEN 'gemini-2.5-flash' ELSE 'unlisted' END AS model,
   CAST(floor(value * 1000) AS BIGINT) AS tokens_in, CAST(floor(value * 100) AS BIGINT) AS tokens_out,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) END AS thinking, ts AS created_at,
-  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS status,
-  CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'unsupported_adapter' ELSE 'E' || CAST(event_id % 6 AS STRING) END AS code,
+  CASE WHEN event_type = 'error' THEN 1 + CAST(event_id % 3 AS INT) ELSE 0 END AS status,
+  CASE event_id % 5 WHEN 0 THEN 'legal_hold' WHEN 1 THEN 'adapter_hold' WHEN 2 THEN 'no_recent_data' WHEN 3 THEN 'unlisted' END AS hold,
+  CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'unsupported_adapter' WHEN 2 THEN 'adapter_required' ELSE 'E' || CAST(event_id % 6 AS STRING) END AS code,
   CASE event_id % 8 WHEN 0 THEN 'Database constraint hit' WHEN 1 THEN 'HTTP 403 from host' WHEN 2 THEN 'R2 bucket missing' WHEN 3 THEN 'legal hold'
     WHEN 4 THEN 'Vision confidence low' WHEN 5 THEN 'no posts' WHEN 6 THEN 'kakao quota' ELSE 'odd' END AS message
 FROM events""",

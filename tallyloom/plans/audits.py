@@ -133,8 +133,8 @@ _MARKERS = """markers AS (SELECT p.id AS place_id, p.kakao_place_id, p.lat, p.ln
   CASE p.id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'fail' WHEN 2 THEN 'manual_review' WHEN 3 THEN 'warn' ELSE 'pass' END AS kakao_status, CASE p.id % 7 WHEN 0 THEN NULL ELSE 'r' || CAST(p.id % 7 AS STRING) END AS kakao_reason,
   CAST(p.id % 53 = 0 AS INT) AS url_fails, CAST(p.id % 31 = 0 AS INT) AS url_warns
 FROM {places} p LEFT JOIN (SELECT v.place_id, round(avg(v.confidence), 6) AS mean_confidence, sum(CASE WHEN s.storage_path IS NULL THEN 1 ELSE 0 END) AS missing_storage
-  FROM {visits} v JOIN {sources} s ON s.id = v.source_id{recent} GROUP BY 1) m ON m.place_id = p.id)"""
-_PLAIN = _MARKERS.replace("{recent}", " WHERE v.visit_date >= DATE '2001-01-01'").replace("{places}", "places").replace("{visits}", "visits").replace("{sources}", "sources")
+  FROM {visits} v JOIN {sources} s ON s.id = v.source_id GROUP BY 1) m ON m.place_id = p.id)"""
+_PLAIN = _MARKERS.replace("{places}", "places").replace("{visits}", "visits").replace("{sources}", "sources")
 _AUDITED = _PLAIN + """,
 audited AS (SELECT place_id, kakao_status, list_filter([CASE WHEN kakao_place_id IS NULL THEN 'missing_kakao_place_id' END, CASE WHEN lat IS NULL OR lng IS NULL THEN 'missing_coordinates' END,
   CASE WHEN missing_storage > 0 THEN 'missing_storage_path' END, CASE WHEN missing_url > 0 THEN 'missing_source_url' END, CASE WHEN missing_excerpt > 0 THEN 'missing_raw_excerpt' END,
@@ -147,7 +147,7 @@ status AS (SELECT place_id, CASE WHEN len(r) = 0 THEN 'pass' WHEN list_has_any(r
 
 def _markers(t):
     """The markers come from all visits of a place."""
-    inner = _MARKERS.replace("{recent}", "").split("markers AS (", 1)[1].rstrip()[:-1]
+    inner = _MARKERS.split("markers AS (", 1)[1].rstrip()[:-1]
     return t.spark.sql(inner, places=t.places, visits=t.visits, sources=t.sources)
 
 
@@ -172,7 +172,7 @@ def review_queues(t):
 
 
 _CANDIDATES = """cand AS (SELECT a.id AS place_id, CASE WHEN b.id % 3 = 0 THEN a.kakao_place_id ELSE 'c' || CAST(b.id AS STRING) END AS candidate_id, CASE WHEN b.id % 5 = 0 THEN a.name ELSE b.name END AS candidate_name,
-  CASE WHEN b.id % 2 = 0 THEN 'FD6' ELSE 'CE7' END AS group_code, a.lat + (b.id % 9 - 4) * 5e-4 AS lat, a.lng + (b.id % 7 - 3) * 5e-4 AS lng FROM {places} a JOIN {places} b ON b.id BETWEEN a.id AND a.id + 3 WHERE a.id < 1000)"""
+  CASE WHEN b.id % 2 = 0 THEN 'FD6' ELSE 'CE7' END AS group_code, a.lat + (b.id % 9 - 4) * 5e-4 AS lat, a.lng + (b.id % 7 - 3) * 5e-4 AS lng FROM {places} a JOIN {places} b ON b.id BETWEEN a.id AND a.id + 3)"""
 _METRES = "2 * 6371000.0 * asin(sqrt(pow(sin((radians({c}.lat) - radians({p}.lat)) / 2), 2) + cos(radians({p}.lat)) * cos(radians({c}.lat)) * pow(sin((radians({c}.lng) - radians({p}.lng)) / 2), 2)))"
 _KEY = r"lower(regexp_replace({x}, '[\s㈜주식회사()（）·.,-]+', '', 'g'))"
 _BEST = (
@@ -231,9 +231,9 @@ def readiness_gates(t):
     return audit.readiness(p.crossJoin(v).crossJoin(m.agg(F.count(F.lit(1)).alias("mismatches"))))
 
 
-_BATCHES = """b AS (SELECT source_id AS batch_id, count(*) AS visits, avg(confidence) AS mean, min(confidence) AS least FROM visits WHERE source_id % 5 <> 0 GROUP BY 1),
+_BATCHES = """b AS (SELECT source_id AS batch_id, count(*) AS visits, avg(CAST(confidence AS DECIMAL(12, 6))) AS mean, min(confidence) AS least FROM visits GROUP BY 1),
 pl AS (SELECT source_id AS batch_id, count(*) AS places, count(*) FILTER (WHERE lat IS NULL OR lng IS NULL) AS unlocated, count(*) FILTER (WHERE kakao_place_id IS NOT NULL) AS matched FROM
-  (SELECT DISTINCT v.source_id, p.id, p.lat, p.lng, p.kakao_place_id FROM visits v JOIN places p ON p.id = v.place_id WHERE source_id % 5 <> 0) GROUP BY 1),
+  (SELECT DISTINCT v.source_id, p.id, p.lat, p.lng, p.kakao_place_id FROM visits v JOIN places p ON p.id = v.place_id) GROUP BY 1),
 j AS (SELECT s.id AS batch_id, s.agency_id, s.storage_path, 1 AS parsed_rows, coalesce(visits, 0) AS visits, mean, least, coalesce(places, 0) AS places, coalesce(unlocated, 0) AS unlocated, coalesce(matched, 0) AS matched FROM sources s LEFT JOIN b ON b.batch_id = s.id LEFT JOIN pl ON pl.batch_id = s.id),
 fired AS (SELECT batch_id, 'zero_normalized_visits' AS code, 'fail' AS severity FROM j WHERE parsed_rows > 0 AND visits = 0 UNION ALL SELECT batch_id, 'low_average_confidence', 'fail' FROM j WHERE mean < 0.8
   UNION ALL SELECT batch_id, 'low_single_confidence', 'quarantine' FROM j WHERE least < 0.5 UNION ALL SELECT batch_id, 'missing_coordinates', 'fail' FROM j WHERE places > 0 AND unlocated / places > 0.05
@@ -268,18 +268,24 @@ def match_rate(t):
     return quality.match_rate(t.places.select(F.col("id").alias("place_key"), F.col("kakao_place_id").isNotNull().alias("matched")))
 
 
-def _has(*words: str) -> str:
-    return " OR ".join(f"contains(x, '{w}')" for w in words)
+_CLASSES = r"""cls AS (SELECT event_id, status, CASE WHEN status = 0 THEN NULL
+  WHEN code = 'adapter_required' THEN CASE hold WHEN 'legal_hold' THEN 'legal_hold' WHEN 'source_not_found' THEN 'source_not_found' WHEN 'no_recent_data' THEN 'no_recent_data' WHEN 'pdf_vision_hold' THEN 'pdf_vision_hold' WHEN 'adapter_hold' THEN 'parser_missing' ELSE 'source_not_found' END
+  WHEN code = 'unsupported_adapter' THEN 'parser_missing' WHEN code = 'timeout' THEN 'timeout'
+  WHEN regexp_matches(x, 'legal|visibility') THEN 'legal_hold'
+  WHEN regexp_matches(x, 'parser|unsupported|extractor|decompress') THEN 'parser_missing'
+  WHEN regexp_matches(x, 'kakao|coordinate|unmatched') THEN 'kakao_resolution'
+  WHEN regexp_matches(x, 'database|postgres|constraint|duplicate') THEN 'db_constraint'
+  WHEN regexp_matches(x, 'r2|storage|bucket') THEN 'storage_failure'
+  WHEN regexp_matches(x, 'llm|api key|vision|confidence|anthropic|openai|gemini') THEN 'llm_extraction_failure'
+  WHEN regexp_matches(x, 'download|timeout|403|401|auth|js|http|dns|netfunnel') THEN 'auth_js_download'
+  WHEN regexp_matches(x, 'source|not found|no posts') THEN 'source_not_found' ELSE 'unknown' END AS reason
+FROM (SELECT *, lower(coalesce(code, '') || ' ' || coalesce(message, '')) AS x FROM usage))"""
 
 
-_CLASSES = "CASE WHEN status = 0 THEN NULL WHEN code = 'adapter_required' THEN 'adapter_required' WHEN code = 'unsupported_adapter' THEN 'parser_missing' WHEN code = 'timeout' THEN 'timeout' " + " ".join(
-    f"WHEN {_has(*[w.replace('_', ' ') for w in ws.split()])} THEN '{r}'" for r, ws in quality.FAILURE_WORDS
-) + " ELSE 'unknown' END"
-
-
-@query("failure_classify", f"SELECT event_id, {_CLASSES} AS reason, status IN (1, 3) AND coalesce({_CLASSES} IN {quality.RETRYABLE}, false) AS retry FROM (SELECT *, lower(coalesce(code, '') || ' ' || coalesce(message, '')) AS x FROM usage)")
+@query("failure_classify", "SELECT event_id, reason, status IN (1, 3) AND coalesce(reason IN ('auth_js_download', 'llm_extraction_failure', 'storage_failure', 'unknown'), false) AS retry FROM cls", _CLASSES)
 def failure_classify(t):
-    u = t.usage.withColumn("reason", quality.failure_reason(F.col("status"), F.col("code"), F.col("message")))
+    c = F.col
+    u = t.usage.withColumn("reason", quality.failure_reason(c("status"), c("code"), c("message"), c("hold")))
     return u.select("event_id", "reason", quality.should_retry(F.col("status"), F.col("reason")).alias("retry"))
 
 

@@ -39,7 +39,7 @@ _SQUARES = """sq AS (SELECT i AS ord, 'Z' || CAST(i AS STRING) AS code, 126e0 +
 
 @query(
     "poi_pip_counts",
-    "SELECT code, category, count(*) AS n FROM (SELECT p.id, p.category, arg_min(s.code, s.ord) AS code FROM places p JOIN sq s ON p.lng > s.x0 AND p.lng < s.x0 + 0.6 AND p.lat > s.y0 AND p.lat < s.y0 + 0.7 AND NOT (p.lng > s.x0 + 0.2 AND p.lng < s.x0 + 0.4 AND p.lat > s.y0 + 0.2 AND p.lat < s.y0 + 0.4) WHERE p.id % 7 <> 0 GROUP BY 1, 2) GROUP BY 1, 2",
+    "SELECT code, category, count(*) AS n FROM (SELECT p.id, p.category, arg_min(s.code, s.ord) AS code FROM places p JOIN sq s ON p.lng > s.x0 AND p.lng < s.x0 + 0.6 AND p.lat > s.y0 AND p.lat < s.y0 + 0.7 AND NOT (p.lng > s.x0 + 0.2 AND p.lng < s.x0 + 0.4 AND p.lat > s.y0 + 0.2 AND p.lat < s.y0 + 0.4) GROUP BY 1, 2) GROUP BY 1, 2",
     _SQUARES,
 )
 def poi_pip_counts(t):

@@ -13,7 +13,7 @@ _DIGEST = "count(*) AS n"
 @query(
     "upsert_source",
     """SELECT coalesce(n.agency_id, o.agency_id) AS agency_id, coalesce(n.hash, o.hash) AS hash, coalesce(n.title, o.title) AS title, coalesce(n.storage_path, o.storage_path) AS storage_path
-FROM (SELECT agency_id, hash, 'old' AS title, max(storage_path) AS storage_path FROM sources WHERE id % 2 = 0 GROUP BY 1, 2) o
+FROM (SELECT agency_id, hash, 'old' AS title, max(storage_path) AS storage_path FROM sources GROUP BY 1, 2) o
 FULL JOIN (SELECT agency_id, hash, 'new' AS title, max(CASE WHEN id % 3 = 0 THEN NULL ELSE storage_path END) AS storage_path FROM sources WHERE id % 5 < 2 GROUP BY 1, 2) n ON n.agency_id = o.agency_id AND n.hash = o.hash""",
 )
 def upsert_source(t):
@@ -28,7 +28,7 @@ def upsert_source(t):
     "upsert_visit",
     """SELECT coalesce(o.visit_id, n.visit_id) AS visit_id, coalesce(n.place_id, o.place_id) AS place_id, coalesce(n.agency_id, o.agency_id) AS agency_id, coalesce(n.department_name, o.department_name) AS department_name,
   coalesce(n.party_size, o.party_size) AS party_size FROM
-(SELECT min(visit_id) AS visit_id, place_id, agency_id, department_name, 1 AS party_size FROM visits WHERE visit_id % 2 = 0 GROUP BY place_id, agency_id, department_name) o FULL JOIN
+(SELECT min(visit_id) AS visit_id, place_id, agency_id, department_name, 1 AS party_size FROM visits GROUP BY place_id, agency_id, department_name) o FULL JOIN
 (SELECT min(visit_id) AS visit_id, place_id, agency_id, department_name, 2 AS party_size FROM visits WHERE visit_id % 3 = 0 GROUP BY place_id, agency_id, department_name) n
 ON n.place_id = o.place_id AND n.agency_id = o.agency_id AND n.department_name = o.department_name""",
 )
@@ -41,7 +41,7 @@ def upsert_visit(t):
 
 @query(
     "upsert_agency",
-    """SELECT coalesce(n.tier, o.tier) AS tier, coalesce(n.region, o.region) AS region, coalesce(n.v, o.v) AS v FROM (SELECT gov_tier AS tier, parent_region AS region, min(id) AS v FROM agencies WHERE id % 2 = 0 GROUP BY 1, 2) o
+    """SELECT coalesce(n.tier, o.tier) AS tier, coalesce(n.region, o.region) AS region, coalesce(n.v, o.v) AS v FROM (SELECT gov_tier AS tier, parent_region AS region, min(id) AS v FROM agencies GROUP BY 1, 2) o
 FULL JOIN (SELECT gov_tier AS tier, parent_region AS region, -min(id) AS v FROM agencies WHERE id % 3 = 0 GROUP BY 1, 2) n ON n.tier IS NOT DISTINCT FROM o.tier AND n.region IS NOT DISTINCT FROM o.region""",
 )
 def upsert_agency(t):
@@ -57,7 +57,7 @@ _NEW_PLACES = "SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'k' || CAST(p_p
     "upsert_place",
     f"""SELECT o.id, coalesce(n.kakao_place_id, o.kakao_place_id) AS kakao_place_id, CASE WHEN n.hit IS NULL THEN o.natural_key ELSE n.natural_key END AS natural_key, CASE WHEN n.hit IS NULL THEN o.name ELSE n.name END AS name FROM old o LEFT JOIN upd n ON n.hit = o.id
 UNION ALL SELECT NULL, kakao_place_id, natural_key, name FROM fnd WHERE hit IS NULL""",
-    f"""old AS (SELECT id, kakao_place_id, natural_key, name FROM places WHERE id < 1500), fnd AS (SELECT n.*, coalesce(a.id, b.id) AS hit FROM ({_NEW_PLACES}) n LEFT JOIN old a ON a.kakao_place_id = n.kakao_place_id LEFT JOIN old b ON b.natural_key = n.natural_key),
+    f"""old AS (SELECT id, kakao_place_id, natural_key, name FROM places), fnd AS (SELECT n.*, coalesce(a.id, b.id) AS hit FROM ({_NEW_PLACES}) n LEFT JOIN old a ON a.kakao_place_id = n.kakao_place_id LEFT JOIN old b ON b.natural_key = n.natural_key),
 upd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY natural_key DESC) AS rn FROM fnd WHERE hit IS NOT NULL) WHERE rn = 1)""",
 )
 def upsert_place(t):

@@ -75,7 +75,7 @@ def agency_scope(t):
     return t.agencies.withColumn("parent_region", F.col("upper_region")).where(sourcing.in_scope("east", {"east": ("ASIA", "EUROPE")})).select("id")
 
 
-@query("lens_colours", "SELECT adm_cd, metric_key, 'hsl(173,58%,' || CAST(round_even(86 - 50 * p, 0) AS INT) || '%)' AS colour FROM (SELECT adm_cd, metric_key, percent_rank() OVER (PARTITION BY metric_key ORDER BY value) AS p FROM metrics WHERE household_size = 0 AND value IS NOT NULL AND ref_period = '2024') WHERE round(50 * p, 6) % 1 <> 0.5")
+@query("lens_colours", "SELECT adm_cd, metric_key, 'hsl(173,58%,' || CAST(round_even(86 - 50 * p, 0) AS INT) || '%)' AS colour FROM (SELECT adm_cd, metric_key, percent_rank() OVER (PARTITION BY metric_key ORDER BY value) AS p FROM metrics WHERE household_size = 0 AND value IS NOT NULL AND ref_period = '2024')")
 def lens_colours(t):
     from pyspark.sql.window import Window
 

@@ -32,10 +32,23 @@ def new_documents(stream: DataFrame, keys: list[str], ts: str, late: str = "1 da
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def closure_stream(reports: DataFrame, threshold: int = 3) -> DataFrame:
-    """Distinct reporters per place, in update mode: duplicates of a reporter drop out before they are counted."""
-    distinct = reports.dropDuplicates(["place_id", "reporter"])
-    return distinct.groupBy("place_id").agg(F.count(F.lit(1)).alias("closure_report_count"), (F.count(F.lit(1)) >= threshold).alias("is_closed"))
+def closure_stream(reports: DataFrame, ts: str = "reported_at", late: str = "30 days") -> DataFrame:
+    """(place_id, reporter, ts) of first reports, to be counted into the snapshot by ``closure_counts``.
+
+    A reporter's repeats drop out while the watermark remembers them; state is that memory alone. What comes later
+    than that is dropped by the merge, whose key is (place_id, reporter).
+    """
+    return reports.withWatermark(ts, late).dropDuplicatesWithinWatermark(["place_id", "reporter"]).select("place_id", "reporter", ts)
+
+
+def first_reports(kept: DataFrame, batch: DataFrame) -> DataFrame:
+    """The merge of a micro-batch into the table of first reports: one row per (place_id, reporter), the earliest."""
+    return kept.unionByName(batch).groupBy("place_id", "reporter").agg(F.min("reported_at").alias("reported_at"))
+
+
+def closure_counts(kept: DataFrame, threshold: int = 3) -> DataFrame:
+    """Distinct reporters per place and whether it counts as closed."""
+    return kept.groupBy("place_id").agg(F.count(F.lit(1)).alias("closure_report_count"), (F.count(F.lit(1)) >= threshold).alias("is_closed"))
 
 
 def merge_sink(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], merge: Callable[[DataFrame, DataFrame], DataFrame]):
@@ -47,9 +60,8 @@ def merge_sink(read: Callable[[], DataFrame], write: Callable[[DataFrame], None]
     return apply
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
-    """Processes what is there into a memory table, then stops: for scheduled refreshes and tests."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_available(df: DataFrame, sink: str | Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Processes what is there, then stops: for scheduled refreshes. sink: a folder for Parquet, or a foreachBatch function."""
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    w = w.foreachBatch(sink) if callable(sink) else w.format("parquet").option("path", sink)
+    w.start().awaitTermination()

@@ -58,6 +58,36 @@ def test_thousands_header_and_key_value(spark):
     assert (r.department_name, r.amount, r.place_text) == ("총무과", "1,000", "집")
 
 
+def test_header_forms(spark):
+    """Headers of two rows, kinds beside users, spending kinds, days completed by the sheet's month."""
+    def sheet(n, *cells):
+        return [("d", "m", n, k, list(c), None) for k, c in enumerate(cells)]
+
+    g = spark.createDataFrame(
+        sheet(0, ["2026년 5월 업무추진비"], ["부서명 : 총무과"], ["사용", "", "장소", "사용", "금액"], ["월", "일", "", "내역", ""], ["5", "22", "한식당", "회의", "12,000"])
+        + sheet(1, ["2026. 4월"], ["구분", "일자", "집행유형", "사용자", "집행유형", "금액"], ["시책", "3", "간담회 식사", "과장", "카드", "9,000"])
+        + sheet(2, ["집행목적(상세)", "집행장소 및 주소", "일자", "금액"], ["협의", "분식집", "2026-01-02", "7,000"])
+        + sheet(3, ["일자", "", "금액"], ["집행", "목적", "액"], ["2026-01-02", "협의", "7,000"])
+        + sheet(4, ["일자", "내용", "비고"], ["2026-01-02", "협의", "7,000"]),
+        grids.SCHEMA,
+    )
+    out = rows.expense_rows(g).collect()
+    got = {r.sheet: r for r in out}
+    assert sorted(got) == [0, 1, 2, 5]
+    assert sorted(r.used_at.date().isoformat() for r in out if r.sheet == 5) == ["2026-01-15", "2026-02-14"]
+    assert (got[0].used_at, got[0].place_text, got[0].purpose, got[0].department_name) == (datetime.datetime(2026, 5, 22), "한식당", "회의", "총무과")
+    assert (got[1].used_at, got[1].place_text, got[1].payment_method, got[1].user_text, got[1].expense_category) == (datetime.datetime(2026, 4, 3), "간담회 식사", "카드", "과장", "시책")
+    assert (got[2].place_text, got[2].purpose, got[2].amount) == ("분식집", "협의", 7000)
+
+
+def test_workbooks_are_read_up_to_the_sheet_limit():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in range(1, 24):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet xmlns="urn:x"><sheetData><row><c t="inlineStr"><is><t>{k}</t></is></c></row></sheetData></worksheet>')
+    assert [g[0][0] for _, _, g in grids.grids("a.xlsx", out.getvalue())] == [str(k) for k in range(1, 21)]
+
+
 def test_islands(spark):
     df = spark.createDataFrame([("d", k, v) for k, v in enumerate(["head", "1", "a", "b", "2", "c"])], "doc string, k int, v string")
     got = rows.islands(df, F.col("v").rlike("^[0-9]$"), "doc", "k", "v").orderBy("island").collect()
@@ -118,10 +148,10 @@ def test_cache_of_answers(spark):
 def test_departments_of_files(spark):
     from tallyloom.operators import sourcing
 
-    names = ["2026년 부시장 업무추진비.xlsx", "시장 업무추진비.pdf", "업무추진비(총무과).xls", "5월 (26.05) 문화체육과 내역", "알림.pdf"]
+    names = ["2026년 부시장 업무추진비.xlsx", "시장 업무추진비.pdf", "업무추진비(총무과).xls", "5월 (26.05) 문화체육과 내역", "알림.pdf", "3월 총무과 내역", "제1부의장(의회사무국)"]
     df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string")
     got = [r.d for r in df.select("k", sourcing.department_of_file(F.col("n"), F.lit("시")).alias("d")).orderBy("k").collect()]
-    assert got == ["시 부시장", "시 시장", "시 총무과", "시", "시"]
+    assert got == ["시 부시장", "시 시장", "시 총무과", "시", "시", "시 총무과", "시 사무국"]
 
 
 def test_answers_of_models(spark):

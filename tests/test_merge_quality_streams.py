@@ -56,7 +56,7 @@ def test_gates(spark):
 
 def test_failures_and_costs(spark):
     df = spark.createDataFrame([(0, None, "x"), (1, "timeout", ""), (1, "E", "Legal parser"), (3, "E", "HTTP 403"), (2, None, "?")], "s int, c string, m string")
-    assert [r.o for r in df.select(quality.failure_reason(F.col("s"), F.col("c"), F.col("m")).alias("o")).collect()] == [None, "timeout", "legal_hold", "auth_js_download", "unknown"]
+    assert [r.o for r in df.select(quality.failure_reason(F.col("s"), F.col("c"), F.col("m"), F.lit(None).cast("string")).alias("o")).collect()] == [None, "timeout", "legal_hold", "auth_js_download", "unknown"]
     cost = spark.range(1).select(quality.token_cost(F.lit("gpt-5.5"), F.lit(1_000_000), F.lit(500_000), F.lit(None).cast("long")), quality.token_cost(F.lit("?"), F.lit(1), F.lit(1), F.lit(1))).first()
     assert float(cost[0]) == 9.0 and cost[1] is None
 
@@ -89,16 +89,65 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     df = spark.createDataFrame(events, "event_id int, user string, ts timestamp")
     df.repartition(4).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    got = streams.run_available(streams.rate_stream(source, "user", "ts", 2, 3600), "rate", "complete")
+    whole = lambda path: lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    streams.run_available(streams.rate_stream(source, "user", "ts", 2, 3600), whole(f"{tmp_path}/rate"), f"{tmp_path}/c1", "complete")
+    got = spark.read.parquet(f"{tmp_path}/rate")
     batch = streams.rate_limited(df, "user", "ts", "event_id", 2, 3600).groupBy("user", "reset_at").agg(F.count_if("allowed").alias("a"), F.count_if(~F.col("allowed")).alias("r"))
     assert sorted((r.user, r.admitted, r.refused) for r in got.collect()) == sorted((r.user, r.a, r.r) for r in batch.collect())
 
-    reports = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, "c"), (2, "a")], "place_id int, reporter string")
-    reports.write.parquet(f"{tmp_path}/reports")
-    closed = streams.run_available(streams.closure_stream(spark.readStream.schema(reports.schema).parquet(f"{tmp_path}/reports")), "closed", "complete")
-    assert rows(closed) == [(1, 3, True), (2, 1, False)]
+    day = lambda k: start + timedelta(days=k)
+    reports = spark.createDataFrame([(1, "a", day(0)), (1, "a", day(1)), (1, "b", day(0)), (2, "a", day(0))], "place_id int, reporter string, reported_at timestamp")
+    live = f"{tmp_path}/first"
+    merge.commit_snapshot(reports.limit(0), live, f"{tmp_path}/staging")
+    sink = streams.merge_sink(lambda: spark.read.parquet(live), lambda df: merge.commit_snapshot(df, live, f"{tmp_path}/staging"), streams.first_reports)
+    for n, part in enumerate((reports, spark.createDataFrame([(1, "c", day(2)), (1, "a", day(60))], reports.schema))):
+        part.write.mode("append").parquet(f"{tmp_path}/reports")
+        streams.run_available(streams.closure_stream(spark.readStream.schema(reports.schema).parquet(f"{tmp_path}/reports")), sink, f"{tmp_path}/c2")
+        spark.catalog.refreshByPath(live)
+        assert rows(streams.closure_counts(spark.read.parquet(live))) == [(1, 2 + n, n == 1), (2, 1, False)]
 
     hashes = spark.createDataFrame([("x", start), ("x", start + timedelta(hours=1)), ("y", start)], "hash string, at timestamp")
     hashes.write.parquet(f"{tmp_path}/hashes")
-    fresh = streams.run_available(streams.new_documents(spark.readStream.schema(hashes.schema).parquet(f"{tmp_path}/hashes"), ["hash"], "at"), "fresh")
+    streams.run_available(streams.new_documents(spark.readStream.schema(hashes.schema).parquet(f"{tmp_path}/hashes"), ["hash"], "at"), f"{tmp_path}/fresh", f"{tmp_path}/c3")
+    fresh = spark.read.parquet(f"{tmp_path}/fresh")
     assert sorted(r.hash for r in fresh.collect()) == ["x", "y"]
+
+
+def test_a_commit_that_broke_off_is_taken_up(spark, tmp_path):
+    live, staging = f"{tmp_path}/t", f"{tmp_path}/s"
+    merge.commit_snapshot(spark.range(3), live, staging)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as after the first of the two renames
+    with pytest.raises(Exception, match="no such column|UNRESOLVED|cannot be resolved"):
+        merge.commit_snapshot(spark.range(3).select("missing"), live, staging)
+    class Bad:
+        write = property(lambda self: (_ for _ in ()).throw(OSError("lost")))
+        sparkSession = spark
+    with pytest.raises(OSError):
+        merge.commit_snapshot(Bad(), live, staging)
+    assert spark.read.parquet(live).count() == 3
+    merge.commit_snapshot(spark.range(5), live, staging)
+    assert spark.read.parquet(live).count() == 5 and not (tmp_path / "t.old").exists()
+
+
+def test_failures_have_the_reasons_of_their_holds(spark):
+    from tallyloom.operators import quality
+
+    cases = [
+        (0, "timeout", None, None, None, False),
+        (1, "adapter_required", None, "legal_hold", "legal_hold", False),
+        (1, "adapter_required", None, "adapter_hold", "parser_missing", False),
+        (2, "adapter_required", None, "pdf_vision_hold", "pdf_vision_hold", False),
+        (1, "adapter_required", None, None, "source_not_found", False),
+        (1, "timeout", None, None, "timeout", False),
+        (1, "E", "Kakao quota", None, "kakao_resolution", False),
+        (3, "E", "duplicate key", None, "db_constraint", False),
+        (3, "E", "API key invalid", None, "llm_extraction_failure", True),
+        (1, None, "HTTP 403", None, "auth_js_download", True),
+        (2, None, "HTTP 403", None, "auth_js_download", False),
+        (1, None, "storage_path missing", None, "storage_failure", True),
+        (1, None, None, None, "unknown", True),
+    ]
+    df = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k int, status int, code string, message string, hold string")
+    c = F.col
+    got = df.withColumn("r", quality.failure_reason(c("status"), c("code"), c("message"), c("hold"))).withColumn("retry", quality.should_retry(c("status"), c("r"))).orderBy("k").collect()
+    assert [(r.r, r.retry) for r in got] == [c[4:] for c in cases]
