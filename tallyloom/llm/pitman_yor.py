@@ -1,340 +1,151 @@
-"""Language-model scoring by a hierarchical Pitman-Yor process.
+"""Seating in Pitman-Yor restaurants: many (restaurant, dish) pairs at once, in arrays.
 
-Three levels. A *context restaurant* for each ending of the preceding word (its last bytes, dealt to a fixed
-number of contexts, and one for the start of a text) serves words; all context restaurants share one parent, the
-*word restaurant*, whose base measure is even over the V training words and one unknown word. A text's
-probability is that of its lower-cased words and one end token, each given its context.
+A dish with c customers in a restaurant with discount d has a *seating*: which of its customers, in order of
+arrival, opened a table. Given all else, a seating has the weight a^tables * prod(j - d * k) over the customers who
+joined a table, who found j customers at k tables. With the restaurant's strength s and T tables in all, a new table
+weighs (s + d * T) * P(dish under the parent). T ties the dishes of a restaurant together; with an auxiliary
+x ~ Gamma(s / d + T) the weight is a = d * x * P instead, and given x the dishes are independent: a sweep can seat
+them all at once and is still exact.
 
-Seating is by the Chinese-restaurant process and sampled by Gibbs sweeps: a sweep re-seats the customers of
-every (context, word) given the parent's predictive probability and the restaurant's other tables, then the
-customers that these tables send to the word restaurant. Predictive probabilities are averaged over the
-samples of the last sweeps. Discounts come from the counts of counts of each level.
+A sweep removes the customers of each dish and seats them again given the rest: openings are proposed one by one from
+near their conditional odds, and the Metropolis ratio accepts or keeps the old seating, so that the exact conditional stays.
 
-Distribution: words are dealt to buckets by hash, so a word's context entries, its entry in the shared
-parent lie together and a sweep needs no shuffle. What restaurants share across buckets (customers and
-tables per context: a fixed number of figures) is summed between sweeps. The corpus
-is read once: map tasks pack, per block of documents and bucket, (word, context, document, count) postings;
-the dealt packs are checkpointed in the shared folder, and buckets return sums per document. No vocabulary
-is collected or broadcast.
-
-Defined cases: null text is empty and holds its end token alone; no training rows: every word is
-unknown; rows that repeat an id are scored one by one; an empty table gives no rows.
+All randomness is a hash of ids, sweep and draw, so results depend on no partition, order or retry.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tallyloom.llm.common import shared_dir, text_or_empty
-
-CONTEXT_BYTES = 3  # of the preceding word's end
-CONTEXTS = 4096  # endings are dealt to all but the last, which is the start of a text
-BLOCK_TOKENS = 1 << 20
-END = b""
-
-
-def tokens(text: str) -> list[bytes]:
-    """Words, A-Z lower-cased, and the end."""
-    return [*text.encode().lower().split(), END]
-
-
-# ---- packing -------------------------------------------------------------------------------------
-
-
-def packs(first: int, docs: list[list[bytes]], train: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, pack) of a block of documents, numbered from first."""
-    from xxhash import xxh64_intdigest
 
-    words = [w for d in docs for w in d]
-    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    vocabulary = list(number)
-    last = np.fromiter((int.from_bytes(w[-CONTEXT_BYTES:], "big") * 0x9E3779B1 % (1 << 32) % (CONTEXTS - 1) for w in vocabulary), np.int64, len(vocabulary))
-    context = np.empty(len(ids), np.int64)
-    context[1:] = last[ids[:-1]]
-    context[np.cumsum(lengths) - lengths] = CONTEXTS - 1
-    doc = np.repeat(np.arange(len(docs)), lengths)
-    bucket = (np.fromiter((xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    posting, n = np.unique((place[ids] << 36) | (context << 24) | doc, return_counts=True)
-    word = posting >> 36
-    squeeze = zstandard.ZstdCompressor(level=1)
-    flags = np.packbits(train).tobytes()
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    cuts = np.searchsorted(word, edges)
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        text = b"\n".join(vocabulary[i] for i in order[edges[b] : edges[b + 1]].tolist())
-        s = slice(cuts[b], cuts[b + 1])
-        per_word = np.bincount(word[s] - edges[b], minlength=edges[b + 1] - edges[b]).astype(np.uint32)
-        head = np.array([first, len(docs), len(text), len(per_word), cuts[b + 1] - cuts[b]], np.int64)
-        parts = (per_word, (posting[s] >> 24 & (CONTEXTS - 1)).astype(np.uint16), (posting[s] & 0xFFFFFF).astype(np.uint32), n[s].astype(np.uint32))
-        yield b, squeeze.compress(head.tobytes() + flags + text + b"".join(p.tobytes() for p in parts))
+from tallyloom.llm.common import mixed_bits
 
+_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+_WORD = (1 << 64) - 1
+NEAR = 8  # arrivals whose odds are taken one by one; later ones come from a Poisson process
+NEAR_DRAW, FAR_DRAW = 1, 16  # draw 0 accepts
 
-def unpacked(pack: bytes):
-    """first, train, words, then word index, context, document, count of each posting."""
-    raw = zstandard.ZstdDecompressor().decompress(pack)
-    first, n_docs, n_text, n_words, n = np.frombuffer(raw, np.int64, 5).tolist()
-    at = 40 + (n_docs + 7) // 8
-    train = np.unpackbits(np.frombuffer(raw, np.uint8, (n_docs + 7) // 8, 40))[:n_docs].astype(bool)
-    words = raw[at : at + n_text].split(b"\n")
-    at += n_text
-    per_word = np.frombuffer(raw, np.uint32, n_words, at)
-    at += 4 * n_words
-    context = np.frombuffer(raw, np.uint16, n, at)
-    doc = np.frombuffer(raw, np.uint32, n, at + 2 * n)
-    count = np.frombuffer(raw, np.uint32, n, at + 6 * n)
-    return first, train, words, np.repeat(np.arange(n_words), per_word), context, doc, count
 
+def keys(a: np.ndarray, b: np.ndarray, sweep: int) -> np.ndarray:
+    """A hash of two arrays of ids and the sweep."""
+    h = mixed_bits(np.asarray(b, np.uint64) * np.uint64(_B) + np.uint64((sweep + 1) * _C & _WORD))
+    return mixed_bits((np.asarray(a, np.uint64) + np.uint64(1)) * np.uint64(_A) + h)
 
-# ---- one bucket ----------------------------------------------------------------------------------
 
+def uniform(key: np.ndarray, draw: int) -> np.ndarray:
+    """In (0, 1)."""
+    h = mixed_bits(mixed_bits(key + np.uint64((draw + 1) * _A & _WORD)) * np.uint64(_C))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
-class Bucket:
-    """A bucket's words, its (word, context) entries with training counts, and its postings per pack."""
 
-    def __init__(self, held: list[bytes]):
-        number: dict[bytes, int] = {}
-        keys, weights, self.packs = [], [], []
-        for pack in held:
-            first, train, words, word, context, doc, count = unpacked(pack)
-            own = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-            key = (own[word] << 12) | context
-            keys.append(key)
-            weights.append(count * train[doc])
-            self.packs.append((first, len(train), doc, count))
-        self.words = list(number)
-        every = np.concatenate(keys)
-        entry, back = np.unique(every, return_inverse=True)
-        self.word, self.context = entry >> 12, entry & (CONTEXTS - 1)
-        self.count = np.bincount(back, np.concatenate(weights), len(entry)).astype(np.int64)
-        ends = np.cumsum([len(k) for k in keys])
-        self.entries = np.split(back, ends[:-1])  # of each pack's postings
-        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series at x + 8, for x > 0."""
+    x = np.asarray(x, np.float64)
+    below = np.ones_like(x)
+    for k in range(8):
+        below = below * (x + k)
+    z = x + 8
+    y = 1 / (z * z)
+    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + (1 / 12 - (1 / 360 - (1 / 1260 - y / 1680) * y) * y) / z - np.log(below)
 
 
-def seat(rng: np.random.Generator, customers: np.ndarray, mass: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of each dish after its customers have come in turn.
-
-    A customer opens a table with mass / (mass + seated - discount * tables). Past 16 of them they come
-    in groups of a sixteenth of those seated, within which that chance hardly changes.
-    """
-    tables = np.minimum(customers, 1).astype(np.int64)
-    seated = tables.copy()
-    todo = np.flatnonzero(customers > 1)
+def gamma(shape: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Gamma(shape, 1) draws for shapes of 1 or more (Marsaglia and Tsang)."""
+    m = np.asarray(shape, np.float64) - 1 / 3
+    out, todo, draw = np.empty_like(m), np.arange(len(m)), 0
     while len(todo):
-        s, t, a = seated[todo], tables[todo], mass[todo]
-        group = np.minimum(np.maximum(1, s // 16), customers[todo] - s)
-        t += rng.binomial(group, a / (a + s - discount * t))
-        tables[todo], seated[todo] = t, s + group
-        todo = todo[s + group < customers[todo]]
-    return tables
-
-
-class Shared:
-    """What all buckets need to know: a fixed number of figures."""
-
-    def __init__(self, words: float, customers: np.ndarray, tables: np.ndarray, parent: tuple[float, float], discounts: tuple[float, float], strength: float):
-        self.base = 1 / (words + 1)
-        self.customers, self.tables = customers, tables  # by context
-        self.parent_customers, self.parent_tables = parent
-        self.discount, self.parent_discount = discounts
-        self.strength = strength
-
-
-def sweeps(bucket: Bucket, shared: Shared, seed: int, burn_in: int, samples: int):
-    """Gibbs sweeps over a bucket: averaged P(word | context) of its entries, and the last tables."""
-    rng = np.random.default_rng(seed)
-    base = np.full(len(bucket.words), shared.base)
-    w, u, c = bucket.word, bucket.context, bucket.count
-    d, dp, s = shared.discount, shared.parent_discount, shared.strength
-    seen = bucket.word_count > 0
-    new_table = s + d * shared.tables[u]
-    parent_new = s + dp * shared.parent_tables
-    tables = np.minimum(c, 1)
-    parent_tables = seen.astype(np.int64)
-    mean = np.zeros(len(w))
-    for sweep in range(burn_in + samples):
-        guests = np.bincount(w, tables, len(seen))
-        parent_tables = seat(rng, guests.astype(np.int64), parent_new * base, dp)
-        parent = (np.maximum(guests - dp * parent_tables, 0) + parent_new * base) / (s + shared.parent_customers)
-        tables = seat(rng, c, new_table * parent[w], d)
-        if sweep >= burn_in:
-            mean += (np.maximum(c - d * tables, 0) + new_table * parent[w]) / (s + shared.customers[u])
-    return mean / max(1, samples), tables, parent_tables
-
-
-# ---- jobs ----------------------------------------------------------------------------------------
-
-
-def _dealt(docs: DataFrame, buckets: int, partitions: int) -> DataFrame:
-    """(bucket, kind, pack): packs of postings (0) and of document headers (1), whole buckets per partition, in order."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 33
-        held: list[tuple] = []
-
-        def block() -> pa.RecordBatch:
-            nonlocal first
-            ids, out, texts = [h[0] for h in held], np.array([h[1] for h in held]), [h[2] for h in held]
-            rows = [(b, 0, p) for b, p in packs(first, texts, ~out, buckets)]
-            head = np.array([first, len(ids)], np.int64).tobytes()
-            values = np.array([i or 0 for i in ids], np.int64).tobytes()
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
-            rows.append((first % buckets, 1, head + values + sizes + out.tobytes() + np.array([i is None for i in ids]).tobytes()))
-            first += len(held)
-            held.clear()
-            cols = list(zip(*rows))
-            return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["bucket", "kind", "pack"])
-
-        size = 0
-        for batch in batches:
-            for i, out, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                held.append((i, out, tokens(t.as_py())))
-                size += len(held[-1][2])
-                if size >= BLOCK_TOKENS or len(held) >= 1 << 16:
-                    yield block()
-                    size = 0
-        if held:
-            yield block()
-
-    shared_dir(docs.sparkSession)
-    return docs.mapInArrow(send, "bucket int, kind int, pack binary").repartition(partitions, "bucket").sortWithinPartitions("bucket", "kind").checkpoint()
-
-
-def _each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
-    now, held = None, []
-    for batch in batches:
-        for b, kind, pack in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if (b, kind) != now and held:
-                yield *now, held
-                held = []
-            now = (b, kind)
-            held.append(pack)
-    if held:
-        yield *now, held
-
-
-def _summed(dealt: DataFrame, measure) -> dict[str, np.ndarray]:
-    """Sums over all buckets of measure(number, bucket): named arrays of fixed length."""
+        k, mk = key[todo], m[todo]
+        z = np.sqrt(-2 * np.log(uniform(k, draw))) * np.cos(2 * np.pi * uniform(k, draw + 1))
+        v = (1 + z / np.sqrt(9 * mk)) ** 3
+        ok = (v > 0) & (np.log(uniform(k, draw + 2)) < z * z / 2 + mk * (1 - v + np.log(np.where(v > 0, v, 1))))
+        out[todo[ok]] = (mk * v)[ok]
+        todo, draw = todo[~ok], draw + 3
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for number, kind, held in _each_bucket(batches):
-            if kind == 0:
-                for name, values in measure(number, Bucket(held)).items():
-                    total[name] = total.get(name, 0) + np.asarray(values, np.float64)
-        for name, values in total.items():
-            at = np.flatnonzero(values)
-            yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(values[at])], names=["name", "at", "value"])
 
-    rows = dealt.mapInArrow(run, "name string, at long, value double").groupBy("name", "at").agg(F.sum("value").alias("value")).collect()
-    out: dict[str, np.ndarray] = {}
-    for name, size in (("customers", CONTEXTS), ("tables", CONTEXTS), ("scalars", 8)):
-        out[name] = np.zeros(size)
-    for r in rows:
-        out[r["name"]][r["at"]] = r["value"]
+def near_odds(c: np.ndarray, a: np.ndarray, d: float, j: np.ndarray) -> np.ndarray:
+    """Conditional odds that the arrival after j customers opens a second table that stays the last one."""
+    return a * np.exp(log_gamma(c - 2 * d) - log_gamma(c - d) + log_gamma(j - d) - log_gamma(j + 1 - 2 * d))
+
+
+def far_rate(c: np.ndarray, a: np.ndarray, d: float, j: np.ndarray) -> np.ndarray:
+    """The same for later arrivals, as the mass of [j, j + 1) under a power law."""
+    return a / d * (((j + 1) / c) ** d - (j / c) ** d)
+
+
+def proposed(c: np.ndarray, a: np.ndarray, d: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Openings (dish, customers before) besides each dish's first, sorted."""
+    dish, before = [], []
+    for j in range(1, NEAR):
+        at = np.flatnonzero(c > j)
+        if not len(at):
+            break
+        r = near_odds(c[at], a[at], d, np.float64(j))
+        at = at[uniform(key[at], NEAR_DRAW + j) * (1 + r) < r]
+        dish.append(at)
+        before.append(np.full(len(at), j))
+    live = np.flatnonzero(c > NEAR)
+    time = np.zeros(len(live))
+    draw = FAR_DRAW
+    while len(live):
+        low = (NEAR / c[live]) ** d
+        time = time - np.log(uniform(key[live], draw))
+        on = time < a[live] / d * (1 - low)
+        live, time, low, draw = live[on], time[on], low[on], draw + 1
+        dish.append(live)
+        before.append(np.clip(np.floor(c[live] * (low + time * d / a[live]) ** (1 / d)), NEAR, c[live] - 1).astype(np.int64))
+    if not dish:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    dish, before = np.concatenate(dish), np.concatenate(before)
+    order = np.lexsort((before, dish))
+    dish, before = dish[order], before[order]
+    once = np.append(True, (dish[1:] != dish[:-1]) | (before[1:] != before[:-1]))[: len(dish)]
+    return dish[once], before[once]
+
+
+def log_ratios(c: np.ndarray, a: np.ndarray, d: float, dish: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Per dish the log of a seating's weight over its chance to be proposed, up to what all its seatings share."""
+    n = len(c)
+    extra = np.bincount(dish, minlength=n)
+    first = np.cumsum(extra) - extra
+    nth = np.arange(len(dish)) - first[dish] + 1  # tables before the opening
+    out = np.zeros(n)
+    # customers between openings find k tables: from the opening's next customer to the next opening
+    begins = np.concatenate((np.zeros(n, np.int64), before))
+    owner = np.concatenate((np.arange(n), dish))
+    tables = np.concatenate((np.ones(n, np.int64), nth + 1))
+    order = np.lexsort((tables, owner))
+    begins, owner, tables = begins[order], owner[order], tables[order]
+    ends = np.append(begins[1:], 0)
+    last = np.append(owner[1:] != owner[:-1], True)
+    ends[last] = c[owner[last]] - 1
+    lo = begins + 1 - d * tables
+    some = ends > begins
+    part = np.zeros(len(owner))
+    part[some] = log_gamma((lo + ends - begins)[some]) - log_gamma(lo[some])
+    out += np.bincount(owner, part, n)
+    if len(dish):
+        odds = np.empty(len(dish))
+        near = before < NEAR
+        cd, ad = c[dish], a[dish]
+        odds[near] = np.log(near_odds(cd[near], ad[near], d, before[near].astype(np.float64)))
+        odds[~near] = np.log(np.expm1(far_rate(cd[~near], ad[~near], d, before[~near])))
+        out += np.bincount(dish, np.log(ad) - np.log(before - d * nth) - odds, n)
     return out
 
 
-def _counts(number: int, b: Bucket) -> dict[str, np.ndarray]:
-    seen = b.word_count > 0
-    guests = np.bincount(b.word[b.count > 0], minlength=len(b.words))  # contexts that a word occurs in
-    return {
-        "customers": np.bincount(b.context, b.count, CONTEXTS),
-        "tables": np.bincount(b.context[b.count > 0], minlength=CONTEXTS),
-        "scalars": [b.count.sum(), seen.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (guests == 1).sum(), (guests == 2).sum(), guests.sum(), 0],
-    }
+def sweep(c: np.ndarray, a: np.ndarray, d: float, dish: np.ndarray, before: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The openings after all dishes (c >= 2 customers each) have been seated again."""
+    c = np.asarray(c, np.int64)
+    if not len(c):
+        return dish, before
+    new_dish, new_before = proposed(c, a, d, key)
+    ratio = log_ratios(c, a, d, new_dish, new_before) - log_ratios(c, a, d, dish, before)
+    taken = np.log(uniform(key, 0)) < ratio
+    x, y = np.concatenate((new_dish[taken[new_dish]], dish[~taken[dish]])), np.concatenate((new_before[taken[new_dish]], before[~taken[dish]]))
+    order = np.lexsort((y, x))
+    return x[order], y[order]
 
 
-def _discount(once: float, twice: float) -> float:
+def discount(once: float, twice: float) -> float:
+    """From the counts of counts."""
     return float(min(0.95, max(0.05, once / (once + 2 * twice)))) if once else 0.5
-
-
-def scored(
-    docs: DataFrame,
-    held_out,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    strength: float = 1.0,
-    warm_sweeps: int = 2,
-    burn_in: int = 1,
-    samples: int = 3,
-    seed: int = 11,
-) -> DataFrame:
-    """One row per row of docs; held_out: a boolean column, true for rows not learned from."""
-    spark = docs.sparkSession
-    partitions = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
-    dealt = _dealt(rows, 4 * partitions, partitions)
-    counts = _summed(dealt, _counts)
-    n, v, a1, a2, b1, b2, guests, _ = counts["scalars"].tolist()
-    discounts = _discount(a1, a2), _discount(b1, b2)
-    # the first state has one table per entry; a warm-up job re-seats all and hands on the tables' sums
-    start = Shared(v, counts["customers"], counts["tables"], (guests, v), discounts, strength)
-
-    def tables(number: int, b: Bucket) -> dict[str, np.ndarray]:
-        _, t, parents = sweeps(b, start, seed + number, warm_sweeps, 0)
-        return {"tables": np.bincount(b.context, t, CONTEXTS), "scalars": [t.sum(), parents.sum()]}
-
-    seated = _summed(dealt, tables)
-    shared = Shared(v, counts["customers"], seated["tables"], tuple(seated["scalars"][:2].tolist()), discounts, strength)
-    names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}  # by block: (n_known, base, score) x documents
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for first, x in sums.items():
-                k = x.shape[1]
-                none = pa.nulls(k, pa.int64())
-                yield pa.record_batch([pa.array(first + np.arange(k)), none, pa.nulls(k, pa.bool_()), pa.array(np.zeros(k, np.int64)), pa.array(x[0].astype(np.int64)), pa.array(x[1]), pa.array(x[2])], names=names)
-            sums.clear()
-
-        for number, kind, held in _each_bucket(batches):
-            if kind:
-                for head in held:
-                    first, k = np.frombuffer(head, np.int64, 2).tolist()
-                    ids, sizes = np.frombuffer(head, np.int64, 2 * k, 16).reshape(2, k)
-                    out, null = np.frombuffer(head, bool, 2 * k, 16 + 16 * k).reshape(2, k)
-                    zero = pa.array(np.zeros(k))
-                    yield pa.record_batch([pa.array(first + np.arange(k)), pa.array(ids, mask=null), pa.array(out), pa.array(sizes), pa.array(np.zeros(k, np.int64)), zero, zero], names=names)
-                continue
-            b = Bucket(held)
-            mean, _, _ = sweeps(b, shared, seed + 1_000_003 + number, burn_in, samples)
-            log_p = np.log10(mean)
-            word_log, known = np.log10(b.word_count + 0.5)[b.word], (b.word_count > 0)[b.word]
-            for (first, k, doc, count), entry in zip(b.packs, b.entries):
-                x = sums.setdefault(first, np.zeros((3, k)))
-                for row, values in enumerate((known, word_log, log_p)):
-                    x[row] += np.bincount(doc, count * values[entry], k)
-            if sum(x.shape[1] for x in sums.values()) > 1 << 21:
-                yield from flushed()
-        yield from flushed()
-
-    parts = dealt.mapInArrow(run, schema)
-    total = parts.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.bool_or("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
-    )
-    unit = float(np.log10(n + 0.5 * (v + 1)))
-    return total.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        "score",
-        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import exact_dedup, fingerprints, html_text, langid, mixing, packing, pitman_yor, secrets, simhash, substrings
+from tallyloom.llm import exact_dedup, fingerprints, html_text, langid, lm_scoring, mixing, packing, secrets, simhash, substrings
 from tallyloom.llm.common import id_crc_mod, table
 
 
@@ -25,7 +25,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman_yor.scored(table(spark, sf_dir, "documents"), id_crc_mod("doc_id", 5) == 1)
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), id_crc_mod("doc_id", 5) == 1)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

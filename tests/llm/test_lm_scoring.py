@@ -1,0 +1,206 @@
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import lm_scoring as L
+from tallyloom.llm import pitman_yor as P
+from tallyloom.llm.common import Words
+
+
+def plain_tokens(t):
+    return [*re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None]
+
+
+class Plain:
+    """The model one pair at a time: customers, tables, sweeps; with the same draws, told by words' numbers."""
+
+    def __init__(self, rows, strength=1.0, burn_in=1, samples=3, buckets=4):
+        self.s = strength
+        texts = [plain_tokens(t) for _, t, _ in rows]
+        hashes = {}
+        for w in {w for t in texts for w in t}:
+            x = Words([w.encode()]) if w else None
+            hashes[w] = max(int(x.spans(x.at, x.end)[0]) >> 16, 1) if w else 0
+        self.number = {}
+        for b in range(buckets):
+            for rank, w in enumerate(sorted((w for w in hashes if hashes[w] % buckets == b), key=hashes.get)):
+                self.number[w] = rank * buckets + b
+        self.c = Counter((u, w) for t, (_, _, held) in zip(texts, rows) if not held for u, w in zip([None, *t], t))
+        self.count = Counter(w for t, (_, _, held) in zip(texts, rows) if not held for w in t)
+        self.v = len(self.count)
+        of = Counter(self.c.values())
+        self.d = P.discount(of[1], of[2])
+        openings = {p: [] for p, n in self.c.items() if n > 1}
+        tables = self.tables(openings)
+        guests = Counter(self.words(tables).values())
+        self.dw = P.discount(guests[1], guests[2])
+        parents = {w: [] for w in self.words(tables)}
+        self.states = []
+        state = (tables, {w: 1 for w in parents})
+        for number in range(burn_in + 1):
+            strengths = P.gamma(np.array([self.s / self.dw + sum(state[1].values())]), P.keys(np.zeros(1), np.zeros(1), L.PARENT_DRAWS + number))[0]
+            x, new = {}, []
+            under = self.contexts(state[0])
+            for u in under:
+                x[u] = P.gamma(np.array([self.s / self.d + under[u]]), P.keys(np.array([self.number[u]]), np.zeros(1), L.CONTEXT_DRAWS + number))[0]
+            for k in range(samples if number == burn_in else 1):
+                for (u, w), old in openings.items():
+                    key = P.keys(np.array([self.number[u]]), np.array([self.number[w]]), number + k)
+                    openings[u, w] = self.seated(self.c[u, w], self.d * x[u] * self.parent(w, state), self.d, old, key)
+                new.append(self.tables(openings))
+            for k, tables in enumerate(new):
+                guests = self.words(tables)
+                for w in guests:
+                    old = [j for j in parents[w] if j < guests[w]]
+                    if guests[w] > 1:
+                        key = P.keys(np.array([self.number[w]]), np.zeros(1), L.WORD_DRAWS + number + k)
+                        old = self.seated(guests[w], self.dw * strengths / (self.v + 1), self.dw, old, key)
+                    parents[w] = old
+                self.states.append((tables, {w: 1 + len(parents[w]) for w in guests}))
+            state = self.states[-1]
+        self.states = self.states[-samples:]
+
+    def tables(self, openings):
+        return {p: 1 + len(openings.get(p, ())) for p in self.c}
+
+    def contexts(self, tables):
+        out = Counter()
+        for (u, _), t in tables.items():
+            out[u] += t
+        return out
+
+    def words(self, tables):
+        out = Counter()
+        for (_, w), t in tables.items():
+            out[w] += t
+        return out
+
+    def seated(self, c, a, d, old, key):
+        """One dish: openings proposed customer by customer, or by the process for later ones; then the Metropolis step."""
+        new = []
+        for j in range(1, min(c, P.NEAR)):
+            r = float(P.near_odds(np.float64(c), np.float64(a), d, np.float64(j)))
+            if float(P.uniform(key, P.NEAR_DRAW + j)[0]) < r / (1 + r):
+                new.append(j)
+        if c > P.NEAR:
+            low, time, draw = (P.NEAR / c) ** d, 0.0, P.FAR_DRAW
+            while True:
+                time -= math.log(float(P.uniform(key, draw)[0]))
+                draw += 1
+                if time >= a / d * (1 - low):
+                    break
+                j = min(max(math.floor(c * (low + time * d / a) ** (1 / d)), P.NEAR), c - 1)
+                if j not in new:
+                    new.append(j)
+
+        def ratio(opens):
+            tables, out = 1, 0.0
+            for j in range(1, c):
+                if j in opens:
+                    odds = P.near_odds(np.float64(c), np.float64(a), d, np.float64(j)) if j < P.NEAR else math.expm1(a / d * (((j + 1) / c) ** d - (j / c) ** d))
+                    out += math.log(a) - math.log(odds)
+                    tables += 1
+                else:
+                    out += math.log(j - d * tables)
+            return out
+
+        return sorted(new) if math.log(float(P.uniform(key, 0)[0])) < ratio(new) - ratio(old) else old
+
+    def parent(self, w, state):
+        tables, parents = state
+        guests = self.words(tables)
+        return (guests[w] - self.dw * parents.get(w, 0) + (self.s + self.dw * sum(parents.values())) / (self.v + 1)) / (self.s + sum(guests.values()))
+
+    def p(self, w, u):
+        out = 0
+        for state in self.states:
+            tables = state[0]
+            own = self.c[u, w] - self.d * tables.get((u, w), 0)
+            out += (own + (self.s + self.d * self.contexts(tables)[u]) * self.parent(w, state)) / (self.s + self.count[u])
+        return out / len(self.states)
+
+
+def tiny(seed=5):
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(7)]
+    rows = [(i, " ".join(r.choices(words, [9, 6, 4, 3, 2, 1, 1], k=r.randint(0, 30))), i % 4 == 1) for i in range(24)]
+    return rows + [(30, "w0 W1 new\tw0", True), (31, None, True), (32, "w0 w0 " * 30, False)]
+
+
+def test_equals_a_plain_sampler_whose_probabilities_sum_to_one(spark):
+    rows = tiny()
+    model = Plain(rows)
+    contexts = [*model.count, "never"]
+    for u in contexts:
+        assert sum(model.p(w, u) for w in [*model.count, "unknown"]) == pytest.approx(1, abs=1e-9)
+    assert any(t > 1 for t in model.states[-1][0].values()) and any(t > 1 for t in model.states[-1][1].values())
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r for r in L.scored(df.repartition(3), F.col("held")).collect()}
+    assert len(got) == len(rows)
+    for i, t, held in rows:
+        w = plain_tokens(t)
+        assert got[i].held_out == held
+        assert got[i].score == pytest.approx(sum(math.log10(model.p(x, u)) for u, x in zip([None, *w], w)), abs=1e-9), i
+
+
+def test_no_partition_changes_a_score(spark):
+    df = spark.createDataFrame(tiny(6), "doc_id long, text string, held boolean")
+    a, b = ({r.doc_id: r.score for r in L.scored(df.repartition(n), F.col("held"), buckets=k).collect()} for n, k in ((1, 2), (6, 9)))
+    assert a == b
+
+
+def test_counts_and_base_scores(docs, texts):
+    held = {i: (i or 0) % 3 == 1 for i, *_ in texts}
+    c = Counter(w for i, t, _, _ in texts if not held[i] for w in plain_tokens(t))
+    n, v = sum(c.values()), len(c)
+    rows = L.scored(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 1).collect()
+    assert len(rows) == len(texts)
+    by = defaultdict(list)
+    for i, t, _, _ in texts:
+        by[i].append(plain_tokens(t))
+    for r in rows:
+        w = by[r.doc_id][0]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
+        assert r.score < 0 and math.isfinite(r.score)
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+
+
+def test_context_tells_the_next_word(spark):
+    """Words follow a cycle: the pair model must be far above any model of single words."""
+    r = random.Random(4)
+    cycle = [f"c{k}" for k in range(40)]
+    rows = []
+    for i in range(120):
+        k = r.randrange(40)
+        rows.append((i, " ".join(cycle[(k + j) % 40] for j in range(r.randint(10, 60)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = L.scored(df, F.col("doc_id") % 5 == 1).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1] * 0.4
+
+
+def test_blocks_and_numbers_round_trip(texts):
+    block = L.Block.of([(i, i == 4, t or "") for i, t, _, _ in texts])
+    again = L.Block.from_blob(block.blob())
+    for name in ("vocab", "tokens", "lengths", "ids", "none", "held"):
+        assert np.array_equal(getattr(block, name), getattr(again, name)), name
+    assert block.lengths.tolist() == [len(plain_tokens(t)) for _, t, _, _ in texts]
+    u, w, count, of = block.pairs()
+    want = Counter()
+    for i, t, _, _ in texts:
+        x = plain_tokens(t)
+        want.update([(a, b) for a, b in zip([None, *x], x)] if i != 4 else [])
+    assert sorted(count[count > 0].tolist()) == sorted(want.values()) and len(of) == len(block.tokens)
+    arrays = [np.array([0, 1, 2**40]), np.zeros(0, np.int64), np.array([255, 256])]
+    assert all(np.array_equal(a, b) for a, b in zip(arrays, L.unpacked(L.packed(*arrays))))
+
+
+def test_no_training_rows_and_empty_table(docs, empty):
+    rows = L.scored(docs.where("doc_id IN (1, 4, 9)"), F.lit(True)).collect()
+    assert len(rows) == 3 and all(math.isfinite(r.score) and r.n_known == 0 and r.train_tokens == 0 for r in rows)
+    assert L.scored(empty, F.lit(False)).count() == 0

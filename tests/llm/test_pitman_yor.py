@@ -1,83 +1,65 @@
 import math
-import random
-import re
-from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tallyloom.llm import pitman_yor as P
 
 
-def plain_tokens(t):
-    return [*re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None]
-
-
-def test_counts_and_base_scores(docs, texts):
-    held = {i: (i or 0) % 3 == 1 for i, *_ in texts}
-    c = Counter(w for i, t, _, _ in texts if not held[i] for w in plain_tokens(t))
-    n, v = sum(c.values()), len(c)
-    rows = P.scored(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 1, warm_sweeps=1, samples=2).collect()
-    assert len(rows) == len(texts)
-    by = {i: plain_tokens(t) for i, t, _, _ in texts}
-    for r in rows:
-        w = by[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-        assert r.score < 0 and math.isfinite(r.score)
-
-
-def test_beats_the_base_on_held_out_text(spark):
-    r = random.Random(4)
-    vocabulary = {lang: [lang + str(k) + lang for k in range(80)] for lang in "ab"}
-    weights = [1 / (k + 1) for k in range(80)]
-    rows = [(i, " ".join(r.choices(vocabulary[r.choice("ab")], weights, k=60))) for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = P.scored(df, F.col("doc_id") % 5 == 1).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1] * 0.95  # nearer to 0: the last word tells the language of the next
-
-
-def test_seating_has_the_process_mean():
-    """Expected tables of a one-dish restaurant, by the exact recursion over (customers, tables)."""
-    mass, d, n = 3.0, 0.4, 12
-    p = {1: 1.0}
-    for seated in range(1, n):
-        q = Counter()
-        for t, x in p.items():
-            new = mass / (mass + seated - d * t)
-            q[t + 1] += x * new
-            q[t] += x * (1 - new)
-        p = q
-    want = sum(t * x for t, x in p.items())
-    got = P.seat(np.random.default_rng(1), np.full(20000, n), np.full(20000, mass), d).mean()
-    assert got == pytest.approx(want, rel=0.02)
-
-
-def test_predictive_sums_to_one():
-    """Over all words and the unknown one, in a bucket that holds every word."""
-    docs = [P.tokens("a b a c"), P.tokens("a b b"), P.tokens("q")]
-    held = [p for _, p in P.packs(0, docs, np.array([True, True, False]), 1)]
-    b = P.Bucket(held)
-    seen = b.word_count > 0
-    shared = P.Shared(seen.sum(), np.bincount(b.context, b.count, P.CONTEXTS), np.bincount(b.context[b.count > 0], minlength=P.CONTEXTS), (float((b.count > 0).sum()), float(seen.sum())), (0.5, 0.5), 1.0)
-    mean, tables, parents = P.sweeps(b, shared, 3, 0, 1)
-    assert (tables <= b.count).all() and (tables[b.count > 0] >= 1).all()
-    assert (mean > 0).all() and (mean < 1).all()
-
-
-def test_packs_round_trip():
-    docs = [P.tokens("A b a"), P.tokens(""), P.tokens("c \x0b b")]
-    got = Counter()
-    for _, pack in P.packs(10, docs, np.array([True, False, True]), 3):
-        first, train, words, word, context, doc, n = P.unpacked(pack)
-        assert first == 10 and train.tolist() == [True, False, True]
-        for w, d, k in zip(word, doc, n):
-            got[words[w], int(d)] += int(k)
-    assert got == Counter((w, d) for d, ws in enumerate(docs) for w in ws)
-
-
-def test_no_training_rows_and_empty_table(docs, empty):
-    rows = P.scored(docs.where("doc_id IN (1, 4, 9)"), F.lit(True)).collect()
-    assert len(rows) == 3 and all(math.isfinite(r.score) and r.n_known == 0 and r.train_tokens == 0 for r in rows)
-    assert P.scored(empty, F.lit(False)).count() == 0
+def law(c, a, d):
+    """P(tables) of a dish with c customers: a^t times the generalised Stirling number, by its recursion."""
+    weight = {1: 1.0}
+    for j in range(1, c):
+        then = {}
+        for k, x in weight.items():
+            then[k] = then.get(k, 0) + x * (j - d * k)
+            then[k + 1] = then.get(k + 1, 0) + x * a
+        most = max(then.values())
+        weight = {k: x / most for k, x in then.items()}
+    total = sum(weight.values())
+    return {k: x / total for k, x in weight.items()}
+
+
+@pytest.mark.parametrize("c, a, d", [(2, 0.3, 0.7), (3, 1.0, 0.7), (6, 2.0, 0.5), (40, 1.5, 0.7), (300, 20.0, 0.7), (300, 0.2, 0.05)])
+def test_sweeps_keep_the_exact_law(c, a, d):
+    n = 3000
+    dish = before = np.zeros(0, np.int64)
+    every = []
+    for s in range(16):
+        dish, before = P.sweep(np.full(n, c), np.full(n, a), d, dish, before, P.keys(np.arange(n), np.full(n, 5), s))
+        assert (before >= 1).all() and (before < c).all()
+        if s >= 6:
+            every.append(1 + np.bincount(dish, minlength=n))
+    got = np.bincount(np.concatenate(every)) / (10 * n)
+    want = law(c, a, d)
+    assert sum(abs((got[k] if k < len(got) else 0) - x) for k, x in want.items()) < 0.06
+    assert np.mean(every) == pytest.approx(sum(k * x for k, x in want.items()), rel=0.02)
+
+
+def test_weights_are_products_over_customers():
+    c, a, d = np.array([5, 12, 2]), np.array([0.4, 3.0, 1.0]), 0.6
+    dish, before = np.array([0, 0, 1, 1, 1]), np.array([1, 3, 2, 8, 11])
+    plain = []
+    for k in range(3):
+        opens = before[dish == k].tolist()
+        tables, log_w, log_q = 1, 0.0, 0.0
+        for j in range(1, c[k]):
+            odds = P.near_odds(c[k], a[k], d, j) if j < P.NEAR else math.expm1(P.far_rate(c[k], a[k], d, j))
+            if j in opens:
+                log_w += math.log(a[k])
+                log_q += math.log(odds)
+                tables += 1
+            else:
+                log_w += math.log(j - d * tables)
+        plain.append(log_w - log_q)
+    assert P.log_ratios(c, a, d, dish, before) == pytest.approx(plain)
+
+
+def test_draws():
+    x = np.array([0.05, 0.3, 1, 2.5, 10, 1e3, 1e7])
+    assert P.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
+    g = P.gamma(np.full(100_000, 2.5), P.keys(np.arange(100_000), np.ones(100_000), 1))
+    assert g.mean() == pytest.approx(2.5, rel=0.02) and g.var() == pytest.approx(2.5, rel=0.05)
+    u = P.uniform(P.keys(np.arange(100_000), np.zeros(100_000), 2), 3)
+    assert u.mean() == pytest.approx(0.5, abs=0.01) and 0 < u.min() and u.max() < 1
+    assert len(np.unique(u)) == len(u)
