@@ -20,24 +20,28 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = links.select("u", "v")
-    # the least neighbour of each node, itself included: a partial aggregate, so a hub costs a row per task
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # the least neighbour of each node, itself included: a partial aggregate, so a hub costs a row per task. Written, so
+    # that the join's sides come straight from a shuffle and the runtime optimiser can split a hub.
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    out = written(moved.where("u <> v").distinct(), "links")
+    drop_written(least)
+    return out
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (u, v); component: the least node it reaches."""
     now = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     digest = None
-    for _ in range(most_rounds):
-        then = written(_star(_star(now, large=True), large=False), "links")
+    while True:
+        half = _star(now, large=True)
         drop_written(now)
-        now = then
+        now = _star(half, large=False)
+        drop_written(half)
         # a star forest is reached when a round changes nothing: equal count and order-free digest
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if digest == seen:

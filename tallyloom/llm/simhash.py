@@ -6,7 +6,8 @@ Search: fingerprints at most ``radius`` bits apart agree in at least 8 - radius
 Posting lists are keyed by ``key_bytes`` byte positions with their values; the position sets are
 chosen so that any 8 - radius positions contain one of them (a Turan covering), so each linked
 pair meets in a list. Within a list the bytes shared per pair are tallied over all eight positions, pairs with
-the guaranteed minimum are retained, and the retained ones verified by their differing bits.
+the guaranteed minimum are retained, and the retained ones verified by their differing bits. Lists longer than
+``long_list`` are split, without loss, by one position more.
 
 Hot lists: only distinct fingerprints enter the index, so exact copies cost one row. A list is
 searched breadth-first against what it has not reached yet, and only the links of a spanning
@@ -24,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import text_or_empty, written
@@ -87,11 +88,20 @@ def position_sets(radius: int, key_bytes: int) -> list[tuple[int, ...]]:
     return chosen
 
 
+_LOW, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+
+
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """How many byte positions two fingerprints share, from their exclusive or: its zero bytes."""
+    return 8 - np.bitwise_count((((x & _LOW) + _LOW) | x) & _HIGH).astype(np.int64)
+
+
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Count filter, then verification: at least 8 - radius equal bytes, at most radius differing bits."""
+    """Count filter, then verification of what it retains: at least 8 - radius shared bytes, at most radius differing bits."""
     x = a ^ b
-    shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=-1) >= 8 - radius
-    return shared & (np.bitwise_count(x) <= radius)
+    retained = shared_bytes(x) >= 8 - radius
+    retained[retained] = np.bitwise_count(x[retained]) <= radius
+    return retained
 
 
 def list_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -102,10 +112,9 @@ def list_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         front, todo = [todo[0]], todo[1:]
         while front and len(todo):
             node = front.pop()
-            hit = np.bitwise_count(todo ^ node) <= radius
+            hit = _near(todo, node, radius)
             if hit.any():
                 found = todo[hit]
-                found = found[_near(found, np.full(len(found), node), radius)]
                 out += [(int(node), int(f)) for f in found]
                 front += list(found)
                 todo = todo[~hit]
@@ -133,43 +142,63 @@ def postings_links(keys: np.ndarray, fps: np.ndarray, radius: int, small: int =
     return np.concatenate(found)
 
 
-def near_links(distinct: DataFrame, radius: int = 4, key_bytes: int = 3) -> DataFrame:
-    """(u, v): links between distinct fingerprints (fp), enough to connect all that are linked."""
-    sets = position_sets(radius, key_bytes)
+def _byte(p: int) -> Column:
+    return F.shiftrightunsigned(F.col("fp"), 8 * p).bitwiseAND(F.lit(255))
 
-    def byte(p: int):
-        return F.shiftrightunsigned(F.col("fp"), 8 * p).bitwiseAND(F.lit(255))
 
-    keys = []
-    for number, positions in enumerate(sets):
+def _keys(sets: list[tuple[int, ...]], first: int) -> list[Column]:
+    """A key per position set: its number, then the bytes."""
+    out = []
+    for number, positions in enumerate(sets, first):
         key = F.lit(number).cast("long")
         for p in positions:
-            key = key * 256 + byte(p)
-        keys.append(key)
+            key = key * 256 + _byte(p)
+        out.append(key)
+    return out
+
+
+def postings(distinct: DataFrame, radius: int = 4, key_bytes: int = 3, long_list: int = 50_000) -> DataFrame:
+    """(key, fp): each fingerprint in the list of every position set.
+
+    Pairs share one byte position more than a key names (if 8 - radius allows), so a list longer than ``long_list`` is
+    replaced, without loss, by the lists of its key and each further position.
+    """
+    sets = position_sets(radius, key_bytes)
+    posted = distinct.select("fp", F.posexplode(F.array(*_keys(sets, 0))).alias("set", "key"))
+    if len(sets[0]) >= 8 - radius:
+        return posted.select("key", "fp")
+    hot = written(posted.groupBy("key").count().where(F.col("count") > long_list).select("key", F.lit(True).alias("hot")), "long-lists")
+    marked = posted.join(hot, "key", "left")
+    # the key that a set and one more position make; sets are numbered on from the first
+    wider = [[tuple(sorted({*s, p})) for p in range(8) if p not in s] for s in sets]
+    names = sorted({w for ws in wider for w in ws})
+    number = {w: k for k, w in enumerate(names)}
+    choice = F.coalesce(*[F.when(F.col("set") == k, F.array(*[_keys([w], len(sets) + number[w])[0] for w in ws])) for k, ws in enumerate(wider)])
+    return marked.select(F.explode(F.when(F.col("hot"), choice).otherwise(F.array("key"))).alias("key"), "fp").distinct()
+
+
+def near_links(distinct: DataFrame, radius: int = 4, key_bytes: int = 3, long_list: int = 50_000) -> DataFrame:
+    """(u, v): links between distinct fingerprints (fp), enough to connect all that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A partition holds whole lists, sorted by key; a list may span batches."""
-        held: list[pa.RecordBatch] = []
+        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-        def links(rows: pa.Table) -> pa.RecordBatch:
-            k = rows.column(0).to_numpy()
-            f = rows.column(1).to_numpy().view(np.uint64)
+        def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             out = postings_links(k, f, radius).view(np.int64)
             return pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
 
         for batch in batches:
-            if not len(batch):
-                continue
-            if held and sum(map(len, held)) > 200_000 and held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py():
-                yield links(pa.Table.from_batches(held))
-                held = []
-            held.append(batch)
-        if held:
-            yield links(pa.Table.from_batches(held))
-
-    posted = distinct.select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp")
+            keys = np.concatenate((keys, batch.column(0).to_numpy()))
+            fps = np.concatenate((fps, batch.column(1).to_numpy().view(np.uint64)))
+            if len(keys) > 200_000 and (whole := int(np.searchsorted(keys, keys[-1]))):  # all lists but the last are complete
+                yield links(keys[:whole], fps[:whole])
+                keys, fps = keys[whole:], fps[whole:]
+        if len(keys):
+            yield links(keys, fps)
+
     # fp last in the order: the same lists in the same order on every run
-    return posted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
+    return postings(distinct, radius, key_bytes, long_list).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, key_bytes: int = 3) -> DataFrame:
@@ -178,10 +207,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
     classes = components(near_links(distinct.select("fp"), radius, key_bytes))
     named = distinct.join(classes, distinct.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the joins come straight from a shuffle and the runtime optimiser can split a component
+    # or a fingerprint that a third of all rows share
+    least = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     named = named.join(least, "component").select("fp", "component_id")
-    # a fingerprint that a third of all rows share is one row on this side: the join is by a salted key
-    salts = 16
-    salted = named.select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = fps.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    return rows.join(salted, ["fp", "salt"]).select("id", "fp", "component_id")
+    return fps.join(named, "fp").select("id", "fp", "component_id")

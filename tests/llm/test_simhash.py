@@ -88,6 +88,34 @@ def test_links_of_random_balls_connect_what_is_near():
     assert {i: find(i) for i in range(len(fps))} == want
 
 
+def test_count_filter_tallies_bytes():
+    r = np.random.default_rng(3)
+    x = r.integers(0, 256, (500, 8), np.uint8) * (r.random((500, 8)) < 0.5).astype(np.uint8)
+    assert simhash.shared_bytes(x.view(np.uint64).ravel()).tolist() == (x == 0).sum(axis=1).tolist()
+
+
+def test_long_lists_are_split_without_loss(spark):
+    r = random.Random(9)
+    fps = set()
+    for _ in range(12):
+        base = r.getrandbits(64)
+        for _ in range(40):
+            x = base
+            for _ in range(r.randint(0, 5)):
+                x ^= 1 << r.randrange(64)
+            fps.add(x - (1 << 64) if x >> 63 else x)
+    df = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    longest = lambda n: simhash.postings(df, long_list=n).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert longest(5) < longest(1000)
+    want = plain_classes({f: f % (1 << 64) for f in fps})
+    for n in (5, 1000):
+        got = {x.node: x.component for x in components(simhash.near_links(df, long_list=n)).collect()}
+        groups = {}
+        for f in fps:
+            groups.setdefault(got.get(f, f), set()).add(f)
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(g for g in fps if want[g] == c) for c in set(want.values()))
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, k) for k in range(1001, 1300)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
