@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import id_crc_mod
+from tallyloom.llm.common import id_crc_mod, written
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 _BASE = np.uint64(0x110000)
+BROADCAST_ROWS = 10_000  # a table of languages up to this length is broadcast
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +109,15 @@ class Profiles:
 def learn(rows: DataFrame, profile_size: int = 400, sample_per_language: int = 2000) -> Profiles:
     """rows: (id, text, lang), training rows alone. What reaches the driver is profile_size codes a language."""
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    # the sample is found from ids alone, per salt first, so that a large language is not one task
-    order = [F.xxhash64("id"), F.col("id")]
-    salted = rows.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
-    chosen = salted.withColumn("rn", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rn") <= sample_per_language)
-    chosen = chosen.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rn") <= sample_per_language)
-    sample = rows.join(chosen.select("id", "lang"), ["id", "lang"], "left_semi")
+    # the rows of least hash lie below a bound that a language's size gives, with half as many again to be sure; only
+    # they are ranked, and no text of another row moves
+    sized = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    sizes = F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized
+    order = F.xxhash64("id")
+    place = order.cast("double") / F.lit(2.0**64) + 0.5  # in [0, 1)
+    below = rows.join(sizes, "lang").where(place * F.col("rows") < 1.5 * sample_per_language + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "text"))
+    sample = below.select("lang", "text", "id").withColumn("rank", rank).where(F.col("rank") <= sample_per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,8 @@
 import random
+import zlib
+from collections import Counter
 
-from tallyloom.llm import langid
+from tallyloom.llm import langid, queries
 
 SYLLABLES = {"en": ["th", "ing", "he", "and", "er", "wh"], "fr": ["eau", "oux", "é", "que", "le", "ai"], "de": ["sch", "ung", "ß", "ei", "tz", "ä"]}
 
@@ -56,3 +58,57 @@ def test_undetermined_and_empty(spark, docs, empty, texts):
     none = langid.learn(empty.selectExpr("doc_id AS id", "text", "lang"))
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(empty, none).count() == 0
+
+
+def plain_profile(texts, size):
+    """The most frequent n-grams of some texts, ties by code points."""
+    total = Counter()
+    for t in texts:
+        for w in t.lower().split():
+            padded = f" {w} "
+            for n in langid.ORDERS:
+                for k in range(len(padded) - n + 1):
+                    g = padded[k : k + n]
+                    if any(c.isalpha() for c in g) and " " not in g[1:-1]:
+                        total[g] += 1
+    number = lambda g: sum(ord(c) * 0x110000**k for k, c in enumerate(reversed(g)))
+    return [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], number(x[0])))[:size]]
+
+
+def test_query_matches_plain_distances(spark, texts, tmp_path):
+    """The whole query: training rows, profiles, out-of-place sums, ties by name, held_out."""
+    r = random.Random(8)
+    rows = [(i, t, lang, "s", 0) for i, t, lang, _ in texts] + [(1000 + i, prose(r, lang := r.choice(list(SYLLABLES)), r.randint(1, 400)), lang, "s", 0) for i in range(120)]
+    rows += [(5000, "", "en", "s", 0), (5001, None, "xx", "s", 0), (5002, prose(r, "fr", 30_000), "fr", "s", 0), rows[-1]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2 if i is not None else None
+    size = 400
+    by = {}
+    for i, t, lang, *_ in rows:
+        if t is not None and lang is not None and held(i) is False:
+            by.setdefault(lang, []).append(t)
+    profiles = {lang: plain_profile(t, size) for lang, t in by.items()}
+    places = {lang: {g: k for k, g in enumerate(p)} for lang, p in profiles.items() if p}
+
+    def predict(t):
+        own = plain_profile([t or ""], size)
+        if not own:
+            return "und", 0.0
+        sums = {lang: sum(min(abs(at[g] - k), size) if g in at else size for k, g in enumerate(own)) for lang, at in places.items()}
+        best = min(sorted(sums), key=sums.get)
+        return best, 1 - sums[best] / (size * len(own))
+
+    got = sorted(((x.doc_id, x.held_out, x.lang_pred, round(x.score, 9)) for x in queries.op1_language_id(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(((i, held(i), *(lambda p: (p[0], round(p[1], 9)))(predict(t))) for i, t, *_ in rows), key=str)
+
+
+def test_sample_is_bounded_and_the_rows_of_least_hash(spark):
+    """A label with many rows, an id that repeats: never more than the sample, always the same rows."""
+    df = spark.range(4000).selectExpr("IF(id < 300, 7, id) AS id", "concat('w', id) AS text", "IF(id % 4 = 0, 'b', 'a') AS lang")
+    hashes = sorted(x.h for x in df.where("lang = 'a'").selectExpr("xxhash64(id) AS h").collect())
+    profiles = langid.learn(df, profile_size=100_000, sample_per_language=200)
+    kept = {x.text for x in df.where(langid.F.col("lang") == "a").withColumn("h", langid.F.xxhash64("id")).where(langid.F.col("h") < hashes[200]).collect()}
+    assert len(profiles.languages) == 2 and len(kept) >= 100
+    codes = set(profiles.codes.tolist())
+    found = sum(any(int(c) in codes for c in langid.ngram_counts(t)[0]) for t in kept)
+    assert found == len(kept)
