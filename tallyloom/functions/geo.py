@@ -132,3 +132,17 @@ def grid_to_degrees(x: Column, y: Column, grid: dict[str, float] = GRID) -> Colu
 def sane_point(lat: Column, lng: Column) -> Column:
     """A coordinate inside the country's box; 0 and NULL are none."""
     return F.coalesce((lat != 0) & (lng != 0) & lat.between(33.0, 39.5) & lng.between(124.0, 132.0), F.lit(False))
+
+
+def geometry_box(geojson: Column) -> Column:
+    """STRUCT of centre and bounds over all positions of a geometry, however deep; NULL without any."""
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    position = rf"\[\s*{number}\s*,\s*{number}"
+    text = F.get_json_object(geojson, "$.coordinates")
+    axis = lambda k: F.transform(F.regexp_extract_all(text, F.lit(position), F.lit(k)), lambda c: c.cast("double"))
+    x, y = axis(1), axis(2)
+    lo, hi = F.array_min, F.array_max
+    box = F.struct(
+        ((lo(y) + hi(y)) / 2).alias("center_lat"), ((lo(x) + hi(x)) / 2).alias("center_lng"), lo(x).alias("min_lng"), lo(y).alias("min_lat"), hi(x).alias("max_lng"), hi(y).alias("max_lat")
+    )
+    return F.when(F.size(F.coalesce(x, F.array().cast("array<double>"))) > 0, box)

@@ -207,3 +207,78 @@ def query_free_url(c: Column, drop: tuple[str, ...] = ("page", "pageIndex", "tok
     bare = F.regexp_replace(c, r"(?i);jsessionid=[^?#]*", "")
     out = F.regexp_replace(bare, rf"(?i)(?<=[?&])(?:{'|'.join(drop)})=[^&#]*&?", "")
     return F.regexp_replace(out, r"[?&]+(?=#|$)", "")
+
+
+def with_page(url: Column, page: Column, parameter: str = "page") -> Column:
+    """The URL with its page parameter set: replaced where it stands, else added to the query."""
+    fragment = F.regexp_extract(url, r"(#.*)$", 1)
+    bare = F.regexp_replace(url, r"#.*$", "")
+    held = rf"([?&]){parameter}=[^&]*"
+    value = F.concat(F.lit(f"{parameter}="), page.cast("string"))
+    added = F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), value)
+    return F.concat(F.when(bare.rlike(held), F.regexp_replace(bare, F.lit(held), F.concat(F.lit("$1"), value))).otherwise(added), fragment)
+
+
+def download_identity(url: Column) -> Column:
+    """A download's URL without its one-time keys and fragment."""
+    return query_free_url(F.regexp_replace(url, r"#.*$", ""), ("pkey", "token", "key"))
+
+
+def holds_non_place_hint(name: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(name.contains(w), F.lit(False)) for w in V.NON_PLACE_HINTS])
+
+
+def strictly_no_place(name: Column, outer_id: Column, lat: Column, lng: Column, status: Column) -> Column:
+    """A name that reads like a purpose, with little else to show that it is a place; a long name shows nothing."""
+    trimmed = F.trim(F.coalesce(name, F.lit("")))
+    phrase = F.regexp_replace(trimmed, r"\s+", "").rlike("|".join(V.PURPOSE_PHRASES))
+    missing = lambda c: F.coalesce(c == 0, F.lit(True))
+    weak = (F.coalesce(outer_id, F.lit("")) == "") | missing(lat) | missing(lng) | F.coalesce(status.isin("fail", "manual_review"), F.lit(False)) | (F.char_length(trimmed) >= 18)
+    return phrase & weak
+
+
+def place_queries(name: Column, road: Column, jibun: Column, part: Column) -> Column:
+    """What to ask a map for a place, the most telling first, each once."""
+    asked = [F.trim(F.concat_ws(" ", F.nullif(name, F.lit("")), F.nullif(c, F.lit("")))) for c in (road, jibun, part)] + [F.trim(name)]
+    return F.array_distinct(F.filter(F.array(*asked), lambda q: q != ""))
+
+
+def agency_queries(name: Column, sub_region: Column, region: Column) -> Column:
+    """What to ask a map for an agency: its name, with the regions that it lacks, and its works' offices."""
+    lacks = lambda c: (F.coalesce(c, F.lit("")) != "") & ~name.contains(c)
+    plain = [
+        name,
+        F.when(lacks(sub_region), F.concat_ws(" ", sub_region, name)),
+        F.when(lacks(region), F.concat_ws(" ", region, name)),
+        F.when(lacks(region) & lacks(sub_region), F.concat_ws(" ", region, sub_region, name)),
+    ]
+    offices = [F.when(name.contains(work), F.replace(name, F.lit(work), F.lit(office))) for work, names in V.WORKS_OFFICES.items() for office in names]
+    return F.array_distinct(F.array_compact(F.array(*plain, *offices)))
+
+
+def confidence(c: Column) -> Column:
+    """A model's confidence: a number, or a word for one; nothing counts as the default, an unknown word as nothing."""
+    word = F.lower(F.trim(c))
+    table = F.create_map(*[F.lit(x) for kv in V.CONFIDENCE_LABELS.items() for x in kv])
+    return F.when(c.isNull(), F.lit(V.DEFAULT_CONFIDENCE)).otherwise(F.coalesce(word.try_cast("double"), F.element_at(table, word)))
+
+
+def day_label(c: Column) -> Column:
+    """A day with dots; what is no day stays."""
+    day = F.split_part(c, F.lit("T"), F.lit(1))
+    return F.when(F.size(F.split(day, "-")) == 3, F.replace(day, F.lit("-"), F.lit("."))).otherwise(F.nullif(c, F.lit("")))
+
+
+def grade_label(c: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.GRADE_LABELS.items() for x in kv]), c), F.lit(V.NEW_LABEL))
+
+
+def short_region(c: Column) -> Column:
+    """A region's own name, without that of the upper region around the capital."""
+    return F.regexp_replace(F.trim(c), r"^(?:서울|경기|인천)\s+", "")
+
+
+def reporter_fingerprint(forwarded: Column, remote: Column, agent: Column) -> Column:
+    """Who reports, without saying so: a hash of the first forwarded address, else the remote one, and the agent."""
+    first = F.nullif(F.trim(F.split_part(F.coalesce(forwarded, F.lit("")), F.lit(","), F.lit(1))), F.lit(""))
+    return F.sha2(F.concat_ws(":", F.coalesce(first, remote, F.lit("")), F.coalesce(agent, F.lit(""))), 256)

@@ -231,6 +231,82 @@ FOOD = {
     "korean-set-meal": ("한식", "백반", "한정식", "가정식", "집밥", "찌개", "전골", "순두부", "김치", "제육", "오리", "보리밥"),
 }
 DEFAULT_FOOD = "korean-set-meal"
+#: How food categories are shown.
+FOOD_LABELS = {
+    "korean-set-meal": "Korean Set Meal",
+    "shabu-shabu": "Shabu Shabu",
+    "gukbap": "Gukbap",
+    "korean-noodles": "Korean Noodles",
+    "dakgalbi": "Dakgalbi",
+    "jokbal-bossam": "Jokbal Bossam",
+    "gopchang": "Gopchang",
+    "pork-bbq": "Pork BBQ",
+    "beef-bbq": "Beef BBQ",
+    "donkatsu": "Donkatsu",
+    "agujjim": "Agujjim",
+    "jjukkumi": "Jjukkumi",
+    "sashimi": "Sashimi",
+    "sushi": "Sushi",
+    "ramen": "Ramen",
+    "chinese": "Chinese",
+    "malatang": "Malatang",
+    "tteokbokki": "Tteokbokki",
+    "chicken": "Chicken",
+    "pizza": "Pizza",
+    "pasta": "Pasta",
+    "burger": "Burger",
+    "sandwich": "Sandwich",
+    "salad": "Salad",
+    "lunch-box": "Lunch Box",
+    "cafe": "Cafe",
+    "bakery": "Bakery",
+    "dessert": "Dessert",
+    "bingsu": "Bingsu",
+    "pub": "Pub",
+    "vietnamese": "Vietnamese",
+    "thai": "Thai",
+    "indian": "Indian",
+    "mexican": "Mexican",
+}
+
+#: Words that names of places do not hold, and phrases of purposes (over names without blanks).
+NON_PLACE_HINTS = ("간담회", "관계자", "현안", "업무", "협의", "협력", "논의", "방문", "민원", "격려", "의견", "추진", "점검", "보고", "워크숍")
+PURPOSE_PHRASES = (
+    "간담회",
+    "관계자",
+    "현안",
+    "의정",
+    "의회",
+    "의원",
+    "교섭단체",
+    "위원회",
+    "집행부",
+    "공무출장",
+    "자료수집",
+    "의견수렴",
+    "업무추진",
+    "업무협의",
+    "업무수행",
+    "직원격려",
+    "격려(?:식비|다과비|간식|만찬|오찬)",
+    "(?:식비|다과비|간식구매)$",
+    "회의$",
+    "(?:논의|협의|추진|점검|민원|정책지원)",
+    "예산결산",
+    "군정관계자",
+    "지역특산품홍보",
+)
+#: What a model calls its confidence, and what counts without a word of it.
+CONFIDENCE_LABELS = {"high": 0.9, "medium": 0.7, "low": 0.4, "높음": 0.9, "중간": 0.7, "보통": 0.7, "낮음": 0.4}
+DEFAULT_CONFIDENCE = 0.8
+#: How grades are called.
+GRADE_LABELS = {"★★★": "최다 방문", "★★": "자주 방문", "★": "일반 방문"}
+NEW_LABEL = "신규"
+#: Offices under which public works are found on a map, by the work.
+WORKS_OFFICES = {
+    "상수도": (" 수도사업소", " 상하수도사업소", " 상수도사업소", " 수도과", " 상하수도과"),
+    "하수도": (" 하수과", " 상하수도사업소", " 하수도과", " 상하수도과"),
+}
 
 
 def name_before_rank(ranks: tuple[str, ...]) -> str:

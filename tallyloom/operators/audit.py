@@ -23,7 +23,7 @@ def region_mismatch(visits: DataFrame, agencies: DataFrame, places: DataFrame, a
     return known.where(F.col("a") != F.col("b")).select("parent_region", "region", "n")
 
 
-def geo_anomalies(visits: DataFrame, agencies: DataFrame, places: DataFrame, short: Column) -> DataFrame:
+def geo_anomalies(visits: DataFrame, agencies: DataFrame, places: DataFrame, short: Column, more: list[str] | None = None) -> DataFrame:
     """Visits whose place lies, by both its addresses, outside the agency's region.
 
     A NULL address makes NOT LIKE unknown, and an unknown is no anomaly: both addresses must be there.
@@ -34,15 +34,29 @@ def geo_anomalies(visits: DataFrame, agencies: DataFrame, places: DataFrame, sho
     )
     pattern = F.concat(F.lit("%"), F.col("short"), F.lit("%"))
     away = ~F.like("road_address", pattern) & ~F.like("jibun_address", pattern)
-    return visits.join(a, "agency_id").join(p, "place_id").where(away).select("visit_id", "place_id", "agency_id", "short", "first_token")
+    return visits.join(a, "agency_id").join(p, "place_id").where(away).select("visit_id", "place_id", "agency_id", "short", "first_token", *(more or []))
 
 
-def anomaly_groups(anomalies: DataFrame, agencies: DataFrame) -> DataFrame:
-    """Per place: visits, distinct agencies, and up to three of their names."""
-    a = agencies.select(F.col("id").alias("agency_id"), F.col("name").alias("agency_name"))
-    return anomalies.join(a, "agency_id").groupBy("place_id").agg(
-        F.count(F.lit(1)).alias("visits"), F.countDistinct("agency_id").alias("agencies"), F.slice(F.array_sort(F.collect_set("agency_name")), 1, 3).alias("names")
+def anomaly_groups(visits: DataFrame, agencies: DataFrame, places: DataFrame, short: Column, excerpt: str | None = None) -> DataFrame:
+    """Per place with anomalies: visits, distinct agencies, up to three of their names and of the excerpts.
+
+    Visits are counted per agency and place before addresses are looked at, so each pair is judged once.
+    """
+    kept = ["agency_id", "place_id"]
+    if excerpt:  # the first three of each pair are enough for the first three of a place
+        nth = F.row_number().over(Window.partitionBy(*kept).orderBy(F.col(excerpt).isNull(), "visit_id"))
+        told = F.collect_list(F.when((F.col("nth") <= 3) & (F.col(excerpt) != ""), F.struct("visit_id", F.col(excerpt).alias("excerpt"))))
+        pairs = visits.withColumn("nth", nth).groupBy(*kept).agg(F.count(F.lit(1)).alias("n"), told.alias("told"))
+    else:
+        pairs = visits.groupBy(*kept).agg(F.count(F.lit(1)).alias("n"), F.array().cast("array<struct<visit_id:bigint,excerpt:string>>").alias("told"))
+    odd = geo_anomalies(pairs.withColumn("visit_id", F.lit(None).cast("long")), agencies, places, short, ["n", "told", "agency_name"])
+    groups = odd.groupBy("place_id").agg(
+        F.sum("n").alias("visits"),
+        F.countDistinct("agency_id").alias("agencies"),
+        F.slice(F.array_sort(F.collect_set("agency_name")), 1, 3).alias("names"),
+        F.slice(F.transform(F.array_sort(F.flatten(F.collect_list("told"))), lambda x: x["excerpt"]), 1, 3).alias("excerpts"),
     )
+    return groups if excerpt else groups.drop("excerpts")
 
 
 def modal_agency(visits: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.functions import vocabulary as V
 from tallyloom.functions.predicates import in_box, one_of, since_months, visible
+from tallyloom.functions.text import keyword_category
 
 
 def places_list(public: DataFrame, box=None, grades: list[str] | None = None, limit: int = 100) -> DataFrame:
@@ -113,8 +115,10 @@ def with_taxonomy(agencies: DataFrame, legacy: dict[str, dict[str, str]], labels
     return agencies
 
 
-def agency_order() -> list[Column]:
-    return [F.asc_nulls_first(F.nullif(F.col(c), F.lit(""))) for c in ("gov_tier", "branch", "expansion_phase", "parent_region", "sub_region", "short_name")]
+def agency_order(language: str | None = "ko") -> list[Column]:
+    """Blank first, then by the language's collation (None: by code points)."""
+    text = lambda c: F.collate(F.nullif(F.col(c), F.lit("")), language) if language else F.nullif(F.col(c), F.lit(""))
+    return [F.asc_nulls_first(text(c)) for c in ("gov_tier", "branch", "expansion_phase", "parent_region", "sub_region", "short_name")]
 
 
 def subregions(composite: DataFrame, metrics: DataFrame, regions: DataFrame, parent: str, metric: str, household: int = 1, profile: int = 1) -> DataFrame:
@@ -141,6 +145,38 @@ def best_summary(summaries: DataFrame, household: int, profile: int = 1) -> Data
     return rows.groupBy("adm_cd").agg(F.max_by(F.struct("summary", "source"), "household_size").alias("best")).select("adm_cd", "best.summary", "best.source")
 
 
+def boundary(boundaries: DataFrame, adm_cd: str) -> DataFrame:
+    """The stored polygon of one neighbourhood, of which the code must have eight digits."""
+    if len(adm_cd) != 8 or not (adm_cd.isascii() and adm_cd.isdigit()):
+        raise ValueError("adm_cd must have eight digits")
+    return boundaries.where(F.col("adm_cd") == adm_cd).select("adm_cd", "geojson")
+
+
+def poi_evidence(counts: DataFrame, types: DataFrame) -> DataFrame:
+    """Points of interest within each neighbourhood, by type in their order; types without any are left out."""
+    inside = counts.where((F.col("distance_basis") == "pip") & (F.col("count") > 0)).select("adm_cd", "poi_type", "count")
+    return inside.join(types, "poi_type").select("adm_cd", "category", "poi_type", "display_name", "count", "sort_order")
+
+
+def highlights(field_table: DataFrame, evidence: DataFrame | None = None, most: int = 2) -> DataFrame:
+    """(adm_cd, strengths, weaknesses, evidence): upper third best first, lower third worst first, and what is there
+    of the first strengths. A field can be both where there are few."""
+    rank, total = F.col("rank_in_sigungu"), F.col("sigungu_count")
+    strong = F.sort_array(F.collect_list(F.when(rank <= F.ceil(total / 3), F.struct("rank_in_sigungu", "category"))))
+    weak = F.sort_array(F.collect_list(F.when(rank >= F.ceil(total * 2 / 3), F.struct((-rank).alias("r"), "category"))))
+    names = lambda c: F.transform(c, lambda x: x["category"])
+    per = field_table.groupBy("adm_cd").agg(names(strong).alias("strengths"), names(weak).alias("weaknesses"))
+    if evidence is None:
+        return per
+    e = evidence.groupBy("adm_cd").agg(F.array_sort(F.collect_list(F.struct("sort_order", "category", "display_name", "count"))).alias("all"))
+    shown = F.filter(F.coalesce("all", F.array().cast("array<struct<sort_order:int,category:string,display_name:string,count:bigint>>")), lambda x: F.array_contains(F.slice("strengths", 1, most), x["category"]))
+    return per.join(e, "adm_cd", "left").select("adm_cd", "strengths", "weaknesses", F.transform(shown, lambda x: F.concat_ws(" ", x["display_name"], x["count"].cast("string"))).alias("evidence"))
+
+
+def top_percent(rank: Column, total: Column) -> Column:
+    return F.round(rank * 100.0 / total).cast("int")
+
+
 def reaction_counts(reactions: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Likes and dislikes per place; with places, a row of zeros for those without reactions."""
     c = reactions.groupBy("place_id").agg(F.count_if(F.col("reaction") == "like").alias("like_count"), F.count_if(F.col("reaction") == "dislike").alias("dislike_count"))
@@ -164,7 +200,10 @@ def client_list(public: DataFrame, text: str = "", grades: list[str] | None = No
     if not closed:
         rows = rows.where(~F.col("is_closed"))
     if text:
-        haystack = F.lower(F.concat_ws(" ", "name", "road_address", "region", "category"))
+        shown = F.concat_ws(" ", "name", "road_address", "region", "category")
+        food = keyword_category(F.concat_ws(" ", "name", "category", "road_address"), V.FOOD, V.DEFAULT_FOOD)
+        label = F.element_at(F.create_map(*[F.lit(x) for kv in V.FOOD_LABELS.items() for x in kv]), food)
+        haystack = F.lower(F.concat_ws(" ", shown, food, label))
         rows = rows.where(haystack.contains(text.lower()))
     located = F.coalesce((F.col("lat") != 0) & (F.col("lng") != 0), F.lit(False))
     return rows.withColumn("on_map", located)

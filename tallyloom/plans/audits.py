@@ -90,8 +90,12 @@ FROM visits v JOIN (SELECT *, 'Brand#' || (id % 25 + 1) AS short FROM agencies)
 WHERE p.hidden_at IS NULL AND p.deleted_at IS NULL AND road_address NOT LIKE '%' || a.short || '%' AND jibun_address NOT LIKE '%' || a.short || '%')"""
 
 
+def _brand():
+    return F.concat(F.lit("Brand#"), (F.col("agency_id") % 25 + 1).cast("string"))
+
+
 def _anomalies(t):
-    return audit.geo_anomalies(t.visits, t.agencies, t.places, F.concat(F.lit("Brand#"), (F.col("agency_id") % 25 + 1).cast("string")))
+    return audit.geo_anomalies(t.visits, t.agencies, t.places, _brand())
 
 
 @query("geo_anomalies", "SELECT * FROM anom", _ANOMALIES)
@@ -106,7 +110,18 @@ FROM anom JOIN agencies a ON a.id = anom.agency_id GROUP BY 1""",
     _ANOMALIES,
 )
 def geo_anomaly_groups(t):
-    return audit.anomaly_groups(_anomalies(t), t.agencies).withColumn("names", F.array_join("names", ","))
+    return audit.anomaly_groups(t.visits, t.agencies, t.places, _brand()).withColumn("names", F.array_join("names", ","))
+
+
+@query(
+    "geo_anomaly_excerpts",
+    """SELECT place_id, count(*) AS visits, array_to_string(list_slice(list_sort(list(visit_id) FILTER (WHERE visit_id % 3 <> 0)), 1, 3), ',') AS excerpts FROM anom GROUP BY 1""",
+    _ANOMALIES,
+)
+def geo_anomaly_excerpts(t):
+    """Excerpts here are the visits' own ids; every third visit has none."""
+    visits = t.visits.withColumn("excerpt", F.when(F.col("visit_id") % 3 != 0, F.col("visit_id").cast("string")))
+    return audit.anomaly_groups(visits, t.agencies, t.places, _brand(), "excerpt").select("place_id", "visits", F.array_join("excerpts", ",").alias("excerpts"))
 
 
 @query("modal_agency", "SELECT place_id, agency_id, n FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY n DESC, agency_id) AS rn FROM (SELECT place_id, agency_id, count(*) AS n FROM visits GROUP BY 1, 2)) WHERE rn = 1")

@@ -193,3 +193,33 @@ def document_text_keys(t):
 @query("page_links", r"SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS links, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages")
 def page_links(t):
     return t.pages.select("page_id", F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"), F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
+
+
+_SAID = """sd AS (SELECT id, CASE id % 7 WHEN 0 THEN '주민 간담회' WHEN 1 THEN '의회 의원 격려 만찬 행사 참석자 식사 자리' WHEN 2 THEN '정기 회의' WHEN 3 THEN ' 커피 ' WHEN 4 THEN '' ELSE name END AS name, kakao_place_id, lat, lng, road_address, jibun_address, region,
+  CASE WHEN id % 4 = 0 THEN 'fail' END AS status FROM places)"""
+
+
+def _said(t):
+    return t.spark.sql(_SAID.split("sd AS (", 1)[1][:-1].replace("FROM places", "FROM {places}"), places=t.places)
+
+
+@query(
+    "non_place_names",
+    """SELECT id, regexp_matches(name, '간담회|관계자|현안|업무|협의|협력|논의|방문|민원|격려|의견|추진|점검|보고|워크숍') AS hint,
+  regexp_matches(replace(name, ' ', ''), '간담회|의회|의원|회의$') AND (kakao_place_id IS NULL OR coalesce(lat, 0) = 0 OR coalesce(lng, 0) = 0 OR coalesce(status, '') = 'fail' OR length(trim(name)) >= 18) AS strict FROM sd""",
+    _SAID,
+)
+def non_place_names(t):
+    c = F.col
+    return _said(t).select("id", text.holds_non_place_hint(c("name")).alias("hint"), text.strictly_no_place(c("name"), c("kakao_place_id"), c("lat"), c("lng"), c("status")).alias("strict"))
+
+
+@query(
+    "place_queries",
+    """SELECT id, array_to_string(list_filter([q1, CASE WHEN q2 <> q1 THEN q2 END, CASE WHEN q3 <> q1 AND q3 <> q2 THEN q3 END, CASE WHEN n <> q1 AND n <> q2 AND n <> q3 THEN n END], lambda x: x <> ''), '/') AS asked FROM
+(SELECT id, trim(name) AS n, trim(concat_ws(' ', nullif(name, ''), road_address)) AS q1, trim(concat_ws(' ', nullif(name, ''), jibun_address)) AS q2, trim(concat_ws(' ', nullif(name, ''), region)) AS q3 FROM sd)""",
+    _SAID,
+)
+def place_queries(t):
+    c = F.col
+    return _said(t).select("id", F.array_join(text.place_queries(c("name"), c("road_address"), c("jibun_address"), c("region")), "/").alias("asked"))

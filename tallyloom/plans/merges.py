@@ -50,6 +50,33 @@ def upsert_agency(t):
     return merge.merge(side(t.agencies, 1), side(t.agencies.where("id % 3 = 0"), -1), ["tier", "region"], null_equal=True)
 
 
+@query(
+    "upsert_region",
+    """SELECT o.adm_cd, CASE WHEN n.adm_cd IS NULL THEN o.name ELSE n.name END AS name, coalesce(n.center_lat, o.center_lat) AS center_lat FROM
+(SELECT adm_cd, name, CASE WHEN CAST(adm_cd AS BIGINT) % 3 = 0 THEN NULL ELSE 1.5::DOUBLE END AS center_lat FROM regions) o LEFT JOIN
+(SELECT adm_cd, 'new ' || name AS name, CASE WHEN CAST(adm_cd AS BIGINT) % 2 = 0 THEN NULL ELSE 2.5::DOUBLE END AS center_lat FROM regions WHERE level = 'emd') n ON n.adm_cd = o.adm_cd""",
+)
+def upsert_region(t):
+    """A missing centre leaves the old one."""
+    code = F.col("adm_cd").cast("long")
+    old = t.regions.select("adm_cd", "name", F.when(code % 3 != 0, F.lit(1.5)).alias("center_lat"))
+    new = t.regions.where("level = 'emd'").select("adm_cd", F.concat(F.lit("new "), "name").alias("name"), F.when(code % 2 != 0, F.lit(2.5)).alias("center_lat"))
+    return merge.merge(old, new, ["adm_cd"], keep_if_null=("center_lat",))
+
+
+@query(
+    "upsert_metric",
+    """SELECT o.adm_cd, o.metric_key, o.household_size, o.ref_period, CASE WHEN n.value IS NULL THEN o.value ELSE n.value END AS value FROM metrics o LEFT JOIN
+(SELECT adm_cd, metric_key, household_size, ref_period, CASE WHEN metric_key = 'BUILDING' THEN NULL ELSE value + 1 END AS value FROM metrics WHERE ref_period = '2024') n
+ON n.adm_cd = o.adm_cd AND n.metric_key = o.metric_key AND n.household_size = o.household_size AND n.ref_period = o.ref_period""",
+)
+def upsert_metric(t):
+    """A change without a value is none."""
+    key = ["adm_cd", "metric_key", "household_size", "ref_period"]
+    new = t.metrics.where("ref_period = '2024'").select(*key, F.when(F.col("metric_key") != "BUILDING", F.col("value") + 1).alias("value"))
+    return merge.merge(t.metrics.select(*key, "value"), new.where("value IS NOT NULL"), key)
+
+
 _NEW_PLACES = "SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'k' || CAST(p_partkey AS STRING) END AS kakao_place_id, 'n' || CAST(CASE WHEN p_partkey % 9 = 1 THEN p_partkey + 1000000 ELSE p_partkey END AS STRING) AS natural_key, 'upd ' || p_name AS name FROM part WHERE p_partkey % 3 = 0 OR p_partkey > 1900"
 
 

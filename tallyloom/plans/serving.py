@@ -177,6 +177,44 @@ def neighborhood_detail_summary(t):
     return serving.best_summary(s, 2)
 
 
+_BOUNDS = """bd AS (SELECT adm_cd, '{"type":"Polygon","coordinates":[[[' || CAST(CAST(substring(adm_cd, 5, 2) AS INT) AS STRING) || ',' || CAST(CAST(substring(adm_cd, 7, 2) AS INT) AS STRING) || '],[-1.5,2e1],[7,' || CAST(CAST(substring(adm_cd, 7, 2) AS INT) AS STRING) || ']]]}' AS geojson FROM regions WHERE level = 'emd')"""
+
+
+def _bounds(t):
+    inner = _BOUNDS.split("bd AS (", 1)[1][:-1].replace("{", "{{").replace("}", "}}")
+    return t.spark.sql(inner.replace("FROM regions", "FROM {regions}"), regions=t.regions)
+
+
+@query("boundary_lookup", "SELECT adm_cd, geojson FROM bd WHERE adm_cd = '10000305'", _BOUNDS)
+def boundary_lookup(t):
+    return serving.boundary(_bounds(t), "10000305")
+
+
+@query(
+    "geometry_boxes",
+    """SELECT adm_cd, (least(y, 20) + greatest(y, 20)) / 2 AS center_lat, (-1.5 + greatest(x, 7)) / 2 AS center_lng, -1.5::DOUBLE AS min_lng, least(y, 20) AS min_lat, greatest(x, 7) AS max_lng, greatest(y, 20) AS max_lat
+FROM (SELECT adm_cd, CAST(substring(adm_cd, 5, 2) AS DOUBLE) AS x, CAST(substring(adm_cd, 7, 2) AS DOUBLE) AS y FROM regions WHERE level = 'emd')""",
+)
+def geometry_boxes(t):
+    from tallyloom.functions.geo import geometry_box
+
+    return _bounds(t).select("adm_cd", geometry_box(F.col("geojson")).alias("b")).select("adm_cd", "b.*")
+
+
+_POI = """pc AS (SELECT adm_cd, 'T' || (CAST(adm_cd AS BIGINT) % 3) AS poi_type, CASE WHEN CAST(adm_cd AS BIGINT) % 2 = 0 THEN 'pip' ELSE 'near' END AS distance_basis, CAST(adm_cd AS BIGINT) % 5 AS count FROM regions WHERE level = 'emd'),
+pt AS (SELECT * FROM (VALUES ('T0', 'convenience', 'Shops', 2), ('T1', 'education', 'Schools', 1), ('T2', 'housing', 'Parks', 3)) AS v(poi_type, category, display_name, sort_order))"""
+
+
+def _poi(t):
+    counts, types = _POI.split("),\npt AS (")
+    return t.spark.sql(counts.split("pc AS (", 1)[1].replace("FROM regions", "FROM {regions}"), regions=t.regions), t.spark.sql(types[:-1])
+
+
+@query("poi_evidence", "SELECT adm_cd, category, poi_type, display_name, count, sort_order FROM pc JOIN pt USING (poi_type) WHERE distance_basis = 'pip' AND count > 0", _POI)
+def poi_evidence(t):
+    return serving.poi_evidence(*_poi(t))
+
+
 @query("reaction_counts", "SELECT place_id, count(*) FILTER (WHERE reaction = 'like') AS like_count, count(*) FILTER (WHERE reaction = 'dislike') AS dislike_count FROM reactions GROUP BY 1")
 def reaction_counts(t):
     return serving.reaction_counts(t.reactions)
@@ -208,7 +246,7 @@ def post_comments(t):
 @query(
     "client_list",
     """SELECT *, coalesce(lat <> 0 AND lng <> 0, false) AS on_map FROM public WHERE grade IN ('★★★', '★★') AND NOT is_closed AND contains(lower(concat_ws(' ', name, road_address, region, category)), 'brand#1')""",
-    PUBLIC,
+    PUBLIC,  # no food category's name holds the word asked for
 )
 def client_list(t):
     return serving.client_list(t.public, "Brand#1", ["★★★", "★★"])

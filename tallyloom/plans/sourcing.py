@@ -33,12 +33,13 @@ def source_registry_summary(t):
 @query(
     "batch_run_summary",
     """SELECT count(*) AS total, count(*) FILTER (WHERE r = 'success') AS success, count(*) FILTER (WHERE r = 'adapter_required') AS adapter_required, count(*) FILTER (WHERE r = 'unsupported') AS unsupported, count(*) FILTER (WHERE r = 'config_error') AS config_error,
-  count(*) FILTER (WHERE r = 'failed') AS failed, sum(id % 7)::BIGINT AS posts_seen, sum(id % 5)::BIGINT AS posts_fetched, sum(id % 11)::BIGINT AS raw_rows, sum(id % 13)::BIGINT AS visits, sum(id % 3)::BIGINT AS places_seen, sum(id % 2)::BIGINT AS places_matched, sum(id % 4)::BIGINT AS loaded_visits,
+  count(*) FILTER (WHERE r = 'failed') AS failed, sum(id % 7)::BIGINT AS posts_seen, sum(id % 5)::BIGINT AS posts_fetched, sum(id % 11)::BIGINT AS raw_parsed_rows, sum(id % 9)::BIGINT AS parsed_rows, sum(id % 13)::BIGINT AS normalized_visits, sum(id % 3)::BIGINT AS places_seen,
+  sum(id % 2)::BIGINT AS kakao_matched_places, sum(id % 6)::BIGINT AS loaded_sources, sum(id % 8)::BIGINT AS loaded_places, sum(id % 4)::BIGINT AS loaded_visits, sum(id % 10)::BIGINT AS skipped_invalid_places,
   count(*) FILTER (WHERE r IN ('unsupported', 'config_error', 'failed')) = 0 AS ok, 'timeout=' || count(*) FILTER (WHERE r = 'failed') AS failure_reasons FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'adapter_required' ELSE 'failed' END AS r FROM agencies)""",
 )
 def batch_run_summary(t):
     result = F.when(F.col("id") % 4 == 0, "success").when(F.col("id") % 4 == 1, "adapter_required").otherwise("failed")
-    n = dict(zip(sourcing.COUNTERS, (7, 5, 11, 13, 3, 2, 4)))
+    n = dict(zip(sourcing.COUNTERS, (7, 5, 11, 9, 13, 3, 2, 6, 8, 4, 10)))
     runs = t.agencies.select(result.alias("result"), F.when(result == "failed", "timeout").alias("failure_reason"), *[(F.col("id") % k).alias(c) for c, k in n.items()])
     s = sourcing.run_summary(runs)
     return s.withColumn("failure_reasons", F.array_join(F.transform(F.map_entries("failure_reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))

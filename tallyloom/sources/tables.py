@@ -89,3 +89,21 @@ def file_kind(name: Column) -> Column:
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     """A snapshot under key folders; rows of one folder are gathered first, so that it gets few files."""
     df.repartition(*[F.col(c) for c in by]).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def markdown_report(title: str, sections: dict[str, DataFrame], most_rows: int = 200) -> str:
+    """A report of small aggregates, one table a section. A section of more rows is an error, not cut."""
+    out = [f"# {title}"]
+    for name, df in sections.items():
+        rows = df.limit(most_rows + 1).collect()
+        if len(rows) > most_rows:
+            raise ValueError(f"section {name} has more than {most_rows} rows: aggregate it first")
+        cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+        lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(map(cell, r)) + " |" for r in rows]]
+        out += ["", f"## {name}", "", *lines]
+    return "\n".join(out) + "\n"
+
+
+def write_markdown(spark, path: str, title: str, sections: dict[str, DataFrame]) -> None:
+    """The report as one text file under path."""
+    spark.createDataFrame([(markdown_report(title, sections).rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(path)
