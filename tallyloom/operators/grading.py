@@ -3,7 +3,7 @@
 Inputs: places(id, region, category, ..., visibility columns) and visits(place_id, agency_id,
 visit_date, department_name). Both percentiles rank over one row per place.
 
-The nationwide rank needs no single-task window: scores are counted by value first, and only those
+No window runs over places: scores are counted by value first, per region and nationwide, and only those
 counts (distinct scores, far fewer than places) are ordered; see percent_rank_over_all().
 """
 
@@ -64,12 +64,13 @@ def grade(percentile: Column, visit_count: Column, first_visit: Column, as_of: d
 def place_grade(places: DataFrame, visits: DataFrame, as_of: date) -> DataFrame:
     """One row per visible place with visits in the look-back; NULL regions form one region."""
     scored = visit_aggregates(visits, places, as_of).withColumn("score", score())
+    # ranks within regions, too, are those of distinct scores: a region of very many places is no task of its own
+    counts = scored.groupBy("region", "score").agg(F.count(F.lit(1)).alias("n"))
     region = Window.partitionBy("region")
-    ranked = scored.select(
-        "*",
-        F.count(F.lit(1)).over(region).alias("region_places"),
-        F.percent_rank().over(region.orderBy("score")).alias("region_pct"),
-    )
+    below = F.sum("n").over(region.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    ranks = counts.select(F.col("region").alias("of_region"), F.col("score").alias("of_score"), below.alias("below"), F.sum("n").over(region).alias("region_places"))
+    ranked = scored.join(ranks, F.col("region").eqNullSafe(F.col("of_region")) & (F.col("score") == F.col("of_score"))).drop("of_region", "of_score")
+    ranked = ranked.withColumn("region_pct", F.when(F.col("region_places") > 1, F.col("below").cast("double") / (F.col("region_places") - 1)).otherwise(F.lit(0.0)))
     ranked = percent_rank_over_all(ranked, "score", "nation_pct")
     pct = F.when(F.col("region_places") >= SMALL_REGION, F.col("region_pct")).otherwise(F.col("nation_pct"))
     return ranked.withColumn("pct", pct).select(
