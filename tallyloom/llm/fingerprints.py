@@ -1,21 +1,21 @@
 """Document fingerprints: improbable-feature digests (after Roussev's similarity digests).
 
-Features are the 64-byte windows of a text; one of under 512 bytes, of which an edit leaves few such
-windows, adds its 16-byte windows. Each window's entropy falls into one of 1001 classes, and classes are
-ranked by how rare they are among all windows of that width in all documents (two tables of at most 1001
-counts reach the driver). Every run of as many window starts as a window has bytes elects its rarest window, and
+Features are the 16-byte windows of a text, of whatever length: an edit leaves some of them even in short texts.
+Each window's entropy falls into one of 1001 classes, and classes are ranked by how rare they are among all
+windows of all documents (a table of at most 1001 counts reaches the driver). Every run of as many window starts as
+a window has bytes elects its rarest window, and
 windows that a quarter of the possible runs elect are selected. A selected window sets 5 bits of a 2048-bit Bloom filter;
 after 160 features the next filter of the chain begins. Likeness is the bit overlap beyond chance over
 the overlap that was possible, for each filter of the shorter chain against its best counterpart.
 
-The entropy of all windows of a block of texts comes from 63 shifted comparisons of the block with itself:
+The entropy of all windows of a block of texts comes from 15 shifted comparisons of the block with itself:
 they count how often the byte that leaves or enters a window occurs in it.
 
 Neighbours in doc_id order: ids are cut into ranges at quantiles; every range gets its rows and,
 as a guest, the first row of the next non-empty range, so the text travels once.
 
 Defined cases: null text is empty; an empty text has an empty fingerprint, like only another empty one;
-a text without a selected window contributes its first 64 bytes, zero-padded; null ids come first;
+a text without a selected window contributes its first 16 bytes, zero-padded; null ids come first;
 repeated ids are ordered by text; a single document is its own neighbour.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import text_or_empty
 
-WINDOW, SHORT_WINDOW, SHORT_TEXT, CLASSES = 64, 16, 512, 1001
+WINDOW, CLASSES = 16, 1001
 FILTER_BITS, FEATURES, HASHES = 2048, 160, 5
 #: Classes below this share of the scale are runs of almost one byte and name no text.
 LEAST_CLASS = 100
@@ -78,13 +78,10 @@ def valid_starts(n: int, starts: np.ndarray, lengths: np.ndarray, window: int =
 
 
 def class_counts(texts: list[bytes]) -> np.ndarray:
-    """Windows by class: those of 64 bytes, then those of 16 bytes of short texts."""
-    out = []
-    for window, some in ((WINDOW, texts), (SHORT_WINDOW, [t for t in texts if len(t) < SHORT_TEXT])):
-        x, starts, lengths = blocked(some)
-        c = entropy_classes(x, window)
-        out.append(np.bincount(c[valid_starts(len(c), starts, lengths, window)], minlength=CLASSES))
-    return np.concatenate(out)
+    """Windows by class."""
+    x, starts, lengths = blocked(texts)
+    c = entropy_classes(x)
+    return np.bincount(c[valid_starts(len(c), starts, lengths)], minlength=CLASSES)
 
 
 def class_ranks(counts: np.ndarray) -> np.ndarray:
@@ -123,15 +120,10 @@ def window_codes(x: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
 
 
 def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """The Bloom chain of each text: filters x 256 bytes. ranks: of both widths' classes, in order."""
+    """The Bloom chain of each text: filters x 256 bytes."""
     x, starts, lengths = blocked(texts)
-    chosen, owner = selected(x, starts, lengths, ranks[:CLASSES], WINDOW)
+    chosen, owner = selected(x, starts, lengths, ranks, WINDOW)
     codes = window_codes(x, chosen, WINDOW)
-    short = np.flatnonzero((lengths < SHORT_TEXT) & (lengths > 0))
-    if len(short):
-        own_x, own_starts, own_lengths = blocked([texts[i] for i in short])
-        some, of = selected(own_x, own_starts, own_lengths, ranks[CLASSES:], SHORT_WINDOW)
-        codes, owner = np.concatenate((codes, window_codes(own_x, some, SHORT_WINDOW))), np.concatenate((owner, short[of]))
     bare = np.flatnonzero((np.bincount(owner, minlength=len(texts)) == 0) & (lengths > 0))
     if len(bare):  # their first window
         codes, owner = np.concatenate((codes, window_codes(x, starts[bare], WINDOW))), np.concatenate((owner, bare))
@@ -206,7 +198,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CLASSES, np.int64)
+        total = np.zeros(CLASSES, np.int64)
         block: list[bytes] = []
         size = 0
         for batch in batches:
@@ -221,10 +213,10 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["class", "n"])
 
-    counts = np.zeros(2 * CLASSES, np.int64)
-    for r in rows.select("text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most 2 * CLASSES rows
+    counts = np.zeros(CLASSES, np.int64)
+    for r in rows.select("text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most CLASSES rows
         counts[r["class"]] = r["n"]
-    ranks = np.concatenate([class_ranks(counts[:CLASSES]), class_ranks(counts[CLASSES:])])
+    ranks = class_ranks(counts)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
