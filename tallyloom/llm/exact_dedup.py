@@ -25,8 +25,13 @@ from tallyloom.llm.common import text_or_empty
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256), one row per row of docs."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256), one row per row of docs.
+
+    salts: a quarter of the session's shuffle partitions, 16 at least, so that the share of a hot content that one
+    task gets falls as the cluster grows.
+    """
+    salts = salts or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     text = text_or_empty(text_col)
     rows = docs.select(
         F.col(id_col).alias("id"),
