@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,13 @@ def id_crc_mod(col: str, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one named by spark.checkpoint.dir.
 
-    Only where the cluster names none (local tests) is one made.
+    Where none is named, a local session, whose executors are the driver itself, gets one; a cluster gets an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tallyloom-checkpoints"))
     return sc.getCheckpointDir()
 

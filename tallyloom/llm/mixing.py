@@ -11,7 +11,8 @@ min(most * size, level * weight) with one common level, found by ordering the so
 most * size / weight: no iteration is needed.
 
 Defined cases: null text has no words; a source without words has target 0 and its documents
-no copies; null sources form the last source; ties draw by id alone; an empty table gives no rows.
+no copies; null sources form the last source; rows that share an id share its draw; a row without an id draws by its
+text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import WORD, text_or_empty
+from tallyloom.llm.common import WORD, text_or_empty, written
+
+BROADCAST_ROWS = 10_000  # a table of sources up to this length is broadcast
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -66,10 +69,13 @@ def mixed(
     seed: str = "mix",
 ) -> DataFrame:
     """docs' own columns in ``row``, and size, source_size, target, copies of each of its rows."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(text_col).alias("size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.when(F.col(id_col).isNull(), text_or_empty(text_col)).alias("text"), word_count(text_col).alias("size"))
     targets = source_targets(docs.select(F.col(source_col).alias("source"), word_count(text_col).alias("size")), weights, share, most)
+    if docs.columns != [id_col, text_col, source_col]:  # whole rows travel: make sure that they don't have to, if sources are few
+        targets = written(targets, "targets")
+        targets = F.broadcast(targets) if targets.count() <= BROADCAST_ROWS else targets
     # 52 bits of an md5 as a number in [0, 1)
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.md5("text")))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     joined = rows.join(targets.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source")))
     return joined.select("row", "id", "size", "source_size", "target", copies.cast("long").alias("copies"))
@@ -96,7 +102,7 @@ cp AS (SELECT *, caps::DOUBLE + cap::DOUBLE / w::DOUBLE * w_after::DOUBLE <= bud
 tg AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE
          (budget - (sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::DOUBLE) / (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::DOUBLE * w::DOUBLE END AS target FROM cp),
 rt AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM tg),
-mx AS (SELECT sz.*, rt.source_size, rt.target, (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / pow(2.0, 52)
+mx AS (SELECT sz.*, rt.source_size, rt.target, (floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE / pow(2.0, 52)
          < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM sz JOIN rt ON sz.source IS NOT DISTINCT FROM rt.source)
 """
 MIXING_SQL = f"WITH {MIXING_CTE} SELECT doc_id, size, source_size, target, size * copies AS taken FROM mx"
