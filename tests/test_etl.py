@@ -68,6 +68,7 @@ def test_header_forms(spark):
         + sheet(1, ["2026. 4월"], ["구분", "일자", "집행유형", "사용자", "집행유형", "금액"], ["시책", "3", "간담회 식사", "과장", "카드", "9,000"])
         + sheet(2, ["집행목적(상세)", "집행장소 및 주소", "일자", "금액"], ["협의", "분식집", "2026-01-02", "7,000"])
         + sheet(3, ["일자", "", "금액"], ["집행", "목적", "액"], ["2026-01-02", "협의", "7,000"])
+        + sheet(5, ["2026년 1월"], ["일자", "", "사용처", "금액"], ["2", "14", "국밥집", "8,000"], ["15", "", "국밥집", "8,500"])
         + sheet(4, ["일자", "내용", "비고"], ["2026-01-02", "협의", "7,000"]),
         grids.SCHEMA,
     )
