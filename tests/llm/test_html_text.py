@@ -1,8 +1,12 @@
 import random
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
+from foreign_pages import PAGES
 
 from tallyloom.llm import html_text as H
+from tallyloom.llm import queries
 from tallyloom.llm.boosting import BoostedTrees
 
 
@@ -25,6 +29,65 @@ def test_held_out_layouts():
     assert good / total > 0.93 and good / kept > 0.93
 
 
+class PlainBlocks(HTMLParser):
+    """Texts between tags that are not inline, by the standard parser."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.hidden = [], [], 0
+        self.feed(source)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(self.parts).split())
+        self.blocks += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in H.RAW:
+            self.hidden += 1
+        elif self.hidden:
+            pass
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag not in H.INLINE and (tag not in H.VOID or tag == "hr"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag in H.RAW:
+            self.hidden -= 1
+        elif not self.hidden and tag not in H.INLINE and tag not in H.VOID:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def test_blocks_match_the_standard_parser():
+    r = random.Random(4)
+    sources = [page for _, page, _ in PAGES] + [H.layouts(r).translate({1: None, 2: None}) for _ in range(100)]
+    sources += ["<p>a&#x41;&eacute;&nbsp;b&lt;c&gt;<hr>d<br>e<!-- <p>no</p> -->f<select><option>no</select>g", "<DIV>A<B>b</B>c</DIV><p title='a > b'>d"]
+    for source in sources:
+        assert [text for _, text in H.Page(source).segments] == PlainBlocks(source).blocks
+
+
+def test_foreign_layouts(spark, tmp_path):
+    """The whole query on pages that the generator does not draw: words found of those wanted, and wanted of those found."""
+    rows = [(k, name, page) for k, (name, page, _) in enumerate(PAGES)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op3_html_extraction(spark, str(tmp_path)).collect()}
+    exact = 0
+    for k, (name, _, blocks) in enumerate(PAGES):
+        wanted, found = Counter(" ".join(blocks).split()), Counter(got[k].text.split())
+        both = (wanted & found).total()
+        assert both >= 0.98 * wanted.total() and both >= 0.95 * found.total(), name
+        assert (got[k].url, got[k].n_chars) == (name, len(got[k].text))
+        exact += got[k].text == " ".join(blocks)
+    assert exact >= 9  # the blog's link to its content is kept
+
+
 def test_a_page_with_everything():
     source = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <header><p>Site name</p></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
