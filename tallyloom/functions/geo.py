@@ -103,11 +103,47 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 0.0
 #: The ellipsoid and the unified national grid (false origin 1 000 000 / 2 000 000, scale 0.9996, 38 N 127.5 E).
 GRS80_A, GRS80_F = 6_378_137.0, 1 / 298.257222101
 GRID = {"lat0": 38.0, "lng0": 127.5, "k0": 0.9996, "x0": 1_000_000.0, "y0": 2_000_000.0}
+#: The older central belt on Bessel's ellipsoid, its shift in metres, turn in seconds of arc and scale in millionths.
+BESSEL_GRID = {"lat0": 38.0, "lng0": 127.0028902777778, "k0": 1.0, "x0": 200_000.0, "y0": 500_000.0, "a": 6_377_397.155, "f": 1 / 299.1528128}
+BESSEL_SHIFT = {"move": (-115.80, 474.99, 674.11), "turn": (1.16, -2.31, -1.63), "scale": 6.43}
+WGS84_F = 1 / 298.257223563
 
 
 def grid_to_degrees(x: Column, y: Column, grid: dict[str, float] = GRID) -> Column:
     """STRUCT<lat, lng>: inverse transverse Mercator by the usual series (Snyder, 1987), to seven decimals."""
-    a, f = GRS80_A, GRS80_F
+    lat, lng = _unprojected(x, y, grid)
+    return F.struct(F.round(F.degrees(lat), 7).alias("lat"), F.round(F.degrees(lng), 7).alias("lng"))
+
+
+def bessel_to_degrees(x: Column, y: Column) -> Column:
+    """STRUCT<lat, lng> in today's datum of a position in the older grid: unprojected, made geocentric, moved, turned and
+    scaled, and back by Bowring's formula; to seven decimals."""
+    lat, lng = _unprojected(x, y, BESSEL_GRID)
+    return F.get(F.transform(F.array(F.struct(lat.alias("lat"), lng.alias("lng"))), _shifted), F.lit(0))
+
+
+def _shifted(p: Column) -> Column:
+    e2 = BESSEL_GRID["f"] * (2 - BESSEL_GRID["f"])
+    s, c = F.sin(p["lat"]), F.cos(p["lat"])
+    n = F.lit(BESSEL_GRID["a"]) / F.sqrt(1 - F.pow(s, 2) * e2)
+    u, v, w = n * c * F.cos(p["lng"]), n * c * F.sin(p["lng"]), n * (1 - e2) * s
+    (dx, dy, dz), (rx, ry, rz) = BESSEL_SHIFT["move"], (math.radians(t / 3600) for t in BESSEL_SHIFT["turn"])
+    m = 1 + BESSEL_SHIFT["scale"] * 1e-6
+    moved = F.struct(((u - v * rz + w * ry) * m + dx).alias("x"), ((u * rz + v - w * rx) * m + dy).alias("y"), ((v * rx - u * ry + w) * m + dz).alias("z"))
+    return F.get(F.transform(F.array(moved), _geodetic), F.lit(0))
+
+
+def _geodetic(q: Column) -> Column:
+    a, b = GRS80_A, GRS80_A * (1 - WGS84_F)
+    e2, ep2 = WGS84_F * (2 - WGS84_F), (a * a - b * b) / (b * b)
+    across = F.hypot(q["x"], q["y"])
+    t = F.atan2(q["z"] * a, across * b)
+    lat = F.atan2(q["z"] + F.pow(F.sin(t), 3) * (ep2 * b), across - F.pow(F.cos(t), 3) * (e2 * a))
+    return F.struct(F.round(F.degrees(lat), 7).alias("lat"), F.round(F.degrees(F.atan2(q["y"], q["x"])), 7).alias("lng"))
+
+
+def _unprojected(x: Column, y: Column, grid: dict[str, float]) -> tuple[Column, Column]:
+    a, f = grid.get("a", GRS80_A), grid.get("f", GRS80_F)
     e2 = f * (2 - f)
     ep2 = e2 / (1 - e2)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
@@ -126,7 +162,7 @@ def grid_to_degrees(x: Column, y: Column, grid: dict[str, float] = GRID) -> Colu
         F.pow(d, 2) / 2 - (t * 3 + 5 + c1 * 10 - F.pow(c1, 2) * 4 - 9 * ep2) * F.pow(d, 4) / 24 + (t * 90 + 61 + c1 * 298 + F.pow(t, 2) * 45 - 252 * ep2 - F.pow(c1, 2) * 3) * F.pow(d, 6) / 720
     )
     lng = (d - (t * 2 + 1 + c1) * F.pow(d, 3) / 6 + (F.lit(5.0) - c1 * 2 + t * 28 - F.pow(c1, 2) * 3 + 8 * ep2 + F.pow(t, 2) * 24) * F.pow(d, 5) / 120) / c
-    return F.struct(F.round(F.degrees(lat), 7).alias("lat"), F.round(F.degrees(lng) + grid["lng0"], 7).alias("lng"))
+    return lat, lng + math.radians(grid["lng0"])
 
 
 def sane_point(lat: Column, lng: Column) -> Column:

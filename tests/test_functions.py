@@ -2,6 +2,7 @@ import datetime
 import math
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,6 +133,43 @@ def test_projection_of_the_origin(spark):
     assert r.p.lat == pytest.approx(37.096, abs=0.01) and r.p.lng == pytest.approx(127.5 + math.degrees(100_000 / 0.9996 / 6_378_137 / math.cos(math.radians(37.1))), abs=0.01)
 
 
+def bessel_position(lat, lng):
+    """The way back, in plain numbers: degrees of today's datum to the older grid."""
+    p, q = math.radians(lat), math.radians(lng)
+    f = 1 / 298.257223563
+    n = 6_378_137.0 / math.sqrt(1 - f * (2 - f) * math.sin(p) ** 2)
+    here = np.array([n * math.cos(p) * math.cos(q), n * math.cos(p) * math.sin(q), n * (1 - f) ** 2 * math.sin(p)])
+    rx, ry, rz = (math.radians(t / 3600) for t in (1.16, -2.31, -1.63))
+    turn = (1 + 6.43e-6) * np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]])
+    u, v, w = np.linalg.solve(turn, here - np.array([-115.80, 474.99, 674.11]))
+    a, f = 6_377_397.155, 1 / 299.1528128
+    e2 = f * (2 - f)
+    p = math.atan2(w, math.hypot(u, v) * (1 - e2))
+    for _ in range(20):
+        p = math.atan2(w + e2 * a / math.sqrt(1 - e2 * math.sin(p) ** 2) * math.sin(p), math.hypot(u, v))
+    far = math.atan2(v, u) - math.radians(127.0028902777778)
+    # the arc of a meridian summed up in small steps, and the forward series
+    steps = np.linspace(math.radians(38), p, 20_001)
+    density = a * (1 - e2) / (1 - e2 * np.sin(steps) ** 2) ** 1.5
+    arc = float(((density[1:] + density[:-1]) / 2 * np.diff(steps)).sum())
+    n, t, c = a / math.sqrt(1 - e2 * math.sin(p) ** 2), math.tan(p) ** 2, e2 / (1 - e2) * math.cos(p) ** 2
+    k = far * math.cos(p)
+    x = n * (k + (1 - t + c) * k**3 / 6 + (5 - 18 * t + t * t + 72 * c) * k**5 / 120)
+    y = arc + n * math.tan(p) * (k**2 / 2 + (5 - t + 9 * c + 4 * c * c) * k**4 / 24 + (61 - 58 * t + t * t) * k**6 / 720)
+    return 200_000 + x, 500_000 + y
+
+
+def test_projection_of_the_older_grid(spark):
+    places = [(37.5665, 126.978), (35.1796, 129.0756), (33.4996, 126.5312), (38.2, 127.0)]
+    df = spark.createDataFrame([(*p, *bessel_position(*p)) for p in places] + [(0.0, 0.0, None, 1.0)], "lat double, lng double, x double, y double")
+    for r in df.select("*", geo.bessel_to_degrees(F.col("x"), F.col("y")).alias("p"), geo.grid_to_degrees(F.col("x"), F.col("y"), geo.BESSEL_GRID).alias("old")).collect():
+        if r.x is None:
+            assert (r.p.lat, r.p.lng) == (None, None)
+        else:
+            assert (r.p.lat, r.p.lng) == pytest.approx((r.lat, r.lng), abs=2e-7)
+            assert 200 < 111_320 * math.hypot(r.p.lat - r.old.lat, (r.p.lng - r.old.lng) * math.cos(math.radians(r.lat))) < 600
+
+
 def test_request_parameters():
     assert predicates.parse_box("33,124,39,132") == (33.0, 124.0, 39.0, 132.0)
     for bad in ("1,2,3", "a,b,c,d", "1,2,3,nan"):
