@@ -57,6 +57,19 @@ def test_rows_go_only_by_their_own_decision(spark, texts, tmp_path):
     assert {(r.doc_id, r.text) for r in corpus_pipeline.near(spark, again, str(tmp_path)).collect()} == own - {(None, "cage hid beach fade jig aged bid edge fad")} | {(3, "cage hid beach fade jig aged bid edge fad")}
 
 
+def test_an_empty_table_gives_no_pieces(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_further_columns_stay_as_they_are(spark, docs, tmp_path):
+    """Columns named as those that the operators use inside: each row keeps its own."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns, name
+        assert {(r.keep_id, r.part, r.id, r.fp, r.spans) for r in after.collect()} == {(7, 1, 2, 3, "x")}, name
+
+
 def test_every_operator_is_registered():
     numbers = [int(k[2:].split("_")[0]) for k in queries.queries()]
     assert numbers == list(range(1, 11))
