@@ -54,3 +54,15 @@ def test_copies_keep_columns_and_counts(docs):
 def test_empty_table_and_no_words(empty, docs):
     assert mixing_summary(empty).count() == 0
     assert {r.taken for r in mixing_summary(docs.where("doc_id IN (1, 2, 3)")).collect()} == {0}
+
+
+def test_rows_without_an_id_draw_by_their_text(spark):
+    df = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('word ', id) AS text", "concat('s', id % 3) AS source")
+    rows = mixing_summary(df).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        taken[r.target] += r.taken
+        target[r.target] = sorted({*target.get(r.target, ()), r.taken})
+    assert len(rows) == 3000 and sorted(target.values()) == [[0, 2], [2, 4], [4]]
+    assert all(n == pytest.approx(t, rel=0.1) for t, n in taken.items())
+    assert sorted(rows, key=str) == sorted(mixing_summary(df.repartition(5)).collect(), key=str)
