@@ -60,6 +60,37 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# ---- arrays as bytes, inside tasks ---------------------------------------------------------------
+
+
+def planes(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers (negative ones take all eight bytes) as byte planes, which compress well."""
+    head, body = [len(arrays)], []
+    for x in arrays:
+        x = np.ascontiguousarray(x).astype("<u8")
+        width = (int(x.max(initial=0)).bit_length() + 7) // 8
+        head += [len(x), width]
+        body.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return np.array(head, "<i8").tobytes() + b"".join(body)
+
+
+def unplaned(raw: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    sizes = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
+    at, out = 8 + 16 * n, []
+    for size, width in sizes.tolist():
+        x = np.zeros((size, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+        out.append(x.view("<i8").ravel())
+        at += size * width
+    return out
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """An ascending array by its differences."""
+    return np.diff(x, prepend=0)
+
+
 # ---- words as arrays, inside tasks ---------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -128,3 +159,21 @@ class Words:
         """The hash of each run of m words."""
         n = len(self) - m + 1
         return self.spans(self.at[:n], self.end[m - 1 :]) if n > 0 else np.zeros(0, np.uint64)
+
+
+class Bytes(Words):
+    """The same over single bytes: texts follow each other in ``line`` without blanks."""
+
+    def __init__(self, texts: list[bytes]):
+        self.line = np.frombuffer(b"".join(texts), np.uint8)
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.at = np.arange(len(self.line))
+        self.end = self.at + 1
+        power, self._back = _power(len(self.line) + 1)
+        self._prefix = np.zeros(len(self.line) + 1, np.uint64)
+        np.cumsum((self.line.astype(np.uint64) + np.uint64(1)) * power[: len(self.line)], out=self._prefix[1:])
+
+    def runs(self, m: int) -> np.ndarray:
+        n = len(self) - m + 1
+        return mixed_bits((self._prefix[m:] - self._prefix[:n]) * self._back[:n]) if n > 0 else np.zeros(0, np.uint64)

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import exact_dedup, fingerprints, html_text, langid, lm_scoring, mixing, packing, secrets, simhash, substrings
+from tallyloom.llm import (
+    exact_dedup,
+    fill_in_middle,
+    fingerprints,
+    html_text,
+    langid,
+    lm_scoring,
+    longest_previous,
+    mixing,
+    packing,
+    secrets,
+    simhash,
+    substrings,
+    vector_codes,
+)
 from tallyloom.llm.common import id_crc_mod, table
 
 
@@ -54,6 +68,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = longest_previous.keep_first(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed_digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -63,4 +90,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.MIXING_SQL.replace("{docs}", "documents"),
         "op7_exact_dedup": exact_dedup.EXACT_DEDUP_SQL.replace("{docs}", "documents"),
+        "op11_suffix_array_dedup": longest_previous.KEEP_FIRST_SQL.replace("{docs}", "documents"),
+        "op12_fill_in_middle": fill_in_middle.FILL_IN_MIDDLE_SQL.replace("{docs}", "documents"),
+        "op13_vector_codes": vector_codes.VECTOR_CODES_SQL.replace("{vectors}", "embeddings"),
     }

@@ -22,7 +22,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +41,13 @@ _C = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Block:
-    """Some texts, their words, and the windows' minimisers at each level."""
+    """Some texts, their words (or other units), and the windows' minimisers at each level."""
 
-    def __init__(self, keys: np.ndarray, texts: list[bytes], width: int = WIDTH):
+    levels = LEVELS
+
+    def __init__(self, keys: np.ndarray, texts: list[bytes], width: int = WIDTH, units: type[Words] = Words):
         self.keys, self.width = keys, width
-        self.words = w = Words(texts)
+        self.words = w = units(texts)
         count = len(w) - width + 1
         self.valid = np.zeros(max(count, 0), bool)
         if count > 0:
@@ -57,7 +59,7 @@ class Block:
 
     def least(self, level: int) -> np.ndarray:
         """The minimiser of each window; beyond the last level the window's own hash."""
-        m = LEVELS[level] if level < len(LEVELS) else self.width
+        m = self.levels[level] if level < len(self.levels) else self.width
         run = self.words.runs(m)
         span, step = self.width - m + 1, 1
         while step * 2 <= span:
@@ -253,18 +255,18 @@ def covered(held: list[bytes], settled: list[bytes], width: int) -> pa.RecordBat
     return pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1]), spans], names=["h1", "h2", "spans"])
 
 
-def hot_minimisers(rows: DataFrame, share: float, width: int) -> tuple[list[np.ndarray], int]:
-    """Per level, the minimisers with this share of all strings or more, ascending (at most 1 / share), and the bytes of all strings.
+def hot_minimisers(rows: DataFrame, share: float, width: int, read: Callable[[Iterator[pa.RecordBatch], int], Iterator[Block]] = blocks, levels: tuple[int, ...] = LEVELS) -> tuple[list[np.ndarray], int]:
+    """rows, which ``read`` turns into blocks. Per level, the minimisers with this share of all strings or more, ascending (at most 1 / share), and the bytes of all strings.
 
     A value with such a share has it in some block too. Each block names the values with a quarter of the share, so
     a hot one loses less than a quarter of its count.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, width):
+        for block in read(batches, width):
             if not block.valid.any():
                 continue
-            for level in range(len(LEVELS)):
+            for level in range(len(levels)):
                 least = block.least(level)
                 begin, n = block.strings(least)
                 a, b = block.bytes_of(begin, n)
@@ -284,8 +286,7 @@ def hot_minimisers(rows: DataFrame, share: float, width: int) -> tuple[list[np.n
     total, size = counts.where("level = 0").agg(F.sum("total"), F.sum("bytes")).first()
     found = counts.where(F.col("n") >= max(64, 0.75 * share * (total or 0))).select("level", "value").collect()
     drop_written(counts)
-    levels = [np.sort(np.array([r["value"] for r in found if r["level"] == k], np.int64).view(np.uint64)) for k in range(len(LEVELS))]
-    return levels, size or 0
+    return [np.sort(np.array([r["value"] for r in found if r["level"] == k], np.int64).view(np.uint64)) for k in range(len(levels))], size or 0
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, parts: int | None = None, hot_share: float | None = None) -> DataFrame:
