@@ -182,8 +182,9 @@ def encoded(rows: DataFrame, distinct: DataFrame, books: list[np.ndarray], cuts:
         F.sum("error").alias("all"),
         F.count(F.lit(1)).alias("met"),
     )
-    repeats = (F.col("met") / len(books)).cast("int")
-    per_row = whole.select("id", "label", F.concat(*[f"c{p}" for p in range(len(books))]).alias("code"), (F.col("all") / repeats).cast("long").alias("error"), F.explode(F.array_repeat(F.lit(1), repeats)).alias("one"))
+    code = F.concat(*[f"c{p}" for p in range(len(books))])
+    # rows that are alike share the sum of their errors; it is split without floating point
+    per_row = whole.withColumn("repeats", F.expr(f"met div {len(books)}")).select("id", "label", code.alias("code"), F.expr("`all` div repeats").alias("error"), F.explode(F.array_repeat(F.lit(1), F.col("repeats").cast("int"))).alias("one"))
     return per_row.drop("one")
 
 
