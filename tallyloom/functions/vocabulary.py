@@ -313,3 +313,14 @@ def name_before_rank(ranks: tuple[str, ...]) -> str:
     """Groups: name, gap, rank. The bounds of the name and of the rank are fixed values. Java and Python read it alike."""
     longest_first = "|".join(sorted(ranks, key=lambda r: (-len(r), r)))
     return rf"(?<![가-힣a-zA-Z0-9_])([가-힣]{{2,4}})(\s*)({longest_first})(?![가-힣])"
+
+# ---- fixed values: tables that come as a stream of cells ----
+ITEM_HEADS = ("사용자", "사용일자", "사용장소", "연번", "금액")
+PAYS = ("카드", "현금", "계좌", "이체", "제로페이", "지출")
+SPENDING_KINDS = ("기관", "시책", "부서", "의정", "업무", "운영")
+PURPOSE_STARTS = (
+    "20\\d{2}년", "격려", "간담", "구입", "제공", "업무", "회의", "추진", "홍보", "민원", "현안", "협의",
+    "행사", "직원", "근무", "관계자", "행정", "통합", "도정", "본회의", "특별법", "박람회", "경조사",
+    "언론", "인터뷰", "착공식", "타운홀", "지방도", "이동간", "수행", "내방객", "오찬", "만찬", "소통",
+    "의견", "설명", "방문", "대응", "지원", "간식", "다과", "물품", "지급",
+)

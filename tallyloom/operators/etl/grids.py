@@ -1,4 +1,4 @@
-"""Documents to grids: HTML tables, XLSX, HWPX and ZIP archives, one row per (document, sheet, row).
+"""Documents to grids: HTML tables, XLSX, XLS, HWPX and ZIP archives, one row per (document, sheet, row); HWP to items.
 
 Parsing bytes is the one step that needs Python; it runs per document in mapInArrow, whatever follows
 is column expressions. Documents beyond a limit, and those that cannot be read, come back as rows
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -17,6 +18,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyloom.operators.etl.compound import DAY_FORMATS, MAGIC, hwp_texts, number_text, shows_day, xls_grids
 from tallyloom.sources.tables import LIMITS
 
 SCHEMA = "doc_id string, member string, sheet int, row_no int, cells array<string>, error string"
@@ -115,14 +117,35 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def _day_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles whose format shows a day or a time; none if the styles cannot be read."""
+    try:
+        root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    except (KeyError, ElementTree.ParseError):
+        return set()
+    codes = {int(e.get("numFmtId", 0)): shows_day(e.get("formatCode", "")) for e in root.iter() if _local(e.tag) == "numFmt"}
+    styles = [e for group in root if _local(group.tag) == "cellXfs" for e in group]
+    numbers = [int(e.get("numFmtId", 0)) for e in styles]
+    return {k for k, n in enumerate(numbers) if codes.get(n, n in DAY_FORMATS)}
+
+
+def _from_1904(z: zipfile.ZipFile) -> bool:
+    try:
+        root = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    except (KeyError, ElementTree.ParseError):
+        return False
+    return any(e.get("date1904") in ("1", "true") for e in root.iter() if _local(e.tag) == "workbookPr")
+
+
 def xlsx_grids(content: bytes) -> list[Grid]:
-    """Values of all sheets; styles are not read, so broken ones do no harm."""
+    """Values of all sheets. Of the styles only the kinds of numbers are read, so broken ones lose days but no cells."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
             for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
                 shared.append("".join(e.text or "" for e in item.iter() if _local(e.tag) == "t"))
+        day_styles, from_1904 = _day_styles(z), _from_1904(z)
         sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
         out = []
         for name in sheets:
@@ -137,6 +160,8 @@ def xlsx_grids(content: bytes) -> list[Grid]:
                         value = shared[int(value)]
                     elif c.get("t") == "inlineStr":
                         value = "".join(e.text or "" for e in c.iter() if _local(e.tag) == "t")
+                    elif value and c.get("t", "n") == "n":
+                        value = number_text(float(value), int(c.get("s", 0)) in day_styles, from_1904)
                     cells.append(value)
                 grid.append(cells)
             out.append(grid)
@@ -161,8 +186,11 @@ def hwpx_grids(content: bytes) -> list[Grid]:
     return out
 
 
+#: What reading broken bytes raises.
+READ_ERRORS = (ValueError, IndexError, KeyError, struct.error, zipfile.BadZipFile, ElementTree.ParseError)
+
 #: Members of an archive are read in this order of kind, then by name.
-ARCHIVE_ORDER = ("xlsx", "hwpx", "html", "htm", "xls")
+ARCHIVE_ORDER = ("xlsx", "xls", "hwpx", "hwp", "html", "htm")
 
 
 def kind_of(name: str, content: bytes) -> str:
@@ -191,15 +219,18 @@ def grids(name: str, content: bytes) -> Iterator[tuple[str, int, Grid]]:
                     for _, sheet, grid in grids(i.filename, z.read(i)):
                         found = True
                         yield i.filename, sheet, grid
-                except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                except READ_ERRORS as e:
                     first_error = first_error or e
             if first_error and not found:  # an error counts only if nothing could be read
                 raise ValueError(str(first_error))
         return
+    if kind == "hwp":  # no grid but a stream of items, one to a row (see records.py)
+        yield name, -1, [[item] for item in hwp_texts(content)]
+        return
     if kind in ("html", "htm"):
         made = html_grids(content.decode("utf-8", "replace"))
     elif kind in ("xlsx", "xls"):
-        made = xlsx_grids(content)
+        made = xls_grids(content) if content.startswith(MAGIC) else xlsx_grids(content)
     elif kind == "hwpx":
         made = hwpx_grids(content)
     else:
@@ -220,7 +251,7 @@ def document_rows(documents: DataFrame, id_col: str = "doc_id", name_col: str =
                 try:
                     for member, sheet, grid in grids(name or "", content or b""):
                         rows += [(i, member, sheet, n, cells, None) for n, cells in enumerate(grid)]
-                except (ValueError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                except READ_ERRORS as e:
                     rows.append((i, name, None, None, None, str(e)))
             cols = list(zip(*rows)) or [()] * 6
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string()]
