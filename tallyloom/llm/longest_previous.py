@@ -35,7 +35,7 @@ from tallyloom.llm.common import Bytes, planes, steps, text_or_empty, unplaned,
 from tallyloom.llm.substrings import hot_minimisers, merged
 
 WIDTH = 50
-LEVELS = (12, 32)  # run lengths of the minimisers; after them the window decides
+LEVELS = (8, 32)  # run lengths of the minimisers; after them the window decides
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 64 << 20  # of packed strings in one partition, before compression
 SENT_BYTES = 24 << 20  # strings that a map task holds back, to send them in few rows
@@ -143,22 +143,23 @@ def sections(block: Block, parts: int, hot: list[np.ndarray]) -> Iterator[tuple[
         keys, n, lo, hi = merged(np.stack([doc[later], np.zeros(later.sum(), np.int64)], axis=1), at[later], (at + count + block.width - 1)[later])
         yield -1, planes(np.repeat(keys[:, 0], n), lo, hi)
     held = np.flatnonzero(~later)
-    held = held[np.argsort(which[held], kind="stable")]  # places by string
+    held = held[np.argsort(which[held], kind="stable")]  # places by string, ascending
     times = np.bincount(which[held], minlength=len(seen))
     first = np.cumsum(times) - times
-    h = substrings.mixed_bits(deal[begin[held[first]]] * _C)
+    one = held[first]  # a place of each string
+    h = substrings.mixed_bits(deal[begin[one]] * _C)
     part, sub = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), (h % np.uint64(SUBS)).astype(np.int64)
-    texts = list(seen)
-    by_part = np.lexsort((sub, part))
+    texts, sizes = list(seen), (b - a)[one] + 1
+    by_part = np.lexsort((begin[one], sub, part))
     for mine in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1):
-        nth = np.arange(int(times[mine].sum())) - np.repeat(np.cumsum(times[mine]) - times[mine], times[mine])
-        where = held[np.repeat(first[mine], times[mine]) + nth]
-        used, local = np.unique(doc[where], return_inverse=True)
-        text = b"".join([texts[i] + b"\xff" for i in mine.tolist()])
-        sizes = np.array([len(texts[i]) + 1 for i in mine.tolist()])
-        portion = np.bincount(sub[mine], sizes, SUBS).astype(np.int64)
-        head = planes([block.at], steps(used), block.ids[used].view(np.uint64), block.none[used], portion, np.bincount(sub[mine], minlength=SUBS), times[mine], local, at[where])
-        yield int(part[mine[0]]), len(head).to_bytes(8, "little") + head + text
+        n = times[mine]
+        where = begin[held[np.repeat(first[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]]
+        again = where[np.flatnonzero(np.arange(len(where)) != np.repeat(np.cumsum(n) - n, n))]  # further places of strings that have some
+        used = np.unique(np.searchsorted(block.words.first + block.words.lengths, where, side="right"))
+        portion = np.bincount(sub[mine], sizes[mine], SUBS).astype(np.int64)
+        at = steps(begin[one[mine]] + sub[mine] * len(block.words))  # ascending over all portions
+        head = planes([block.at, len(block.words)], steps(used), block.ids[used].view(np.uint64), block.none[used], steps(block.words.first[used]), portion, np.bincount(sub[mine], minlength=SUBS), n, at, again)
+        yield int(part[mine[0]]), len(head).to_bytes(8, "little") + head + b"\xff".join([texts[k] for k in mine.tolist()]) + b"\xff"
 
 
 def sent(batches: Iterator[pa.RecordBatch], parts: int, hot: list[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
@@ -215,61 +216,81 @@ def previous_factors(raw: bytes, order: np.ndarray, width: int) -> tuple[np.ndar
     size = len(raw)
     line = np.frombuffer(raw + bytes(16), np.uint8)
     ends = np.flatnonzero(line[:size] == STOP)
-    string = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=-1))
-    left = ends[string] - np.arange(size)  # bytes up to the string's end
-    at = np.flatnonzero(left >= width)
+    begins = np.append(0, ends[:-1] + 1)
+    windows = np.maximum(ends - begins - width + 1, 0)
+    string = np.repeat(np.arange(len(ends), dtype=np.int32), windows)
+    at = np.repeat(begins - np.cumsum(windows) + windows, windows) + np.arange(len(string))
     nothing = (np.zeros(0, np.int64),) * 3
     if not len(at):
         return nothing
-    # windows that no document with another id shares are out at once
-    value = Bytes([raw]).runs(width)[at]
-    by = np.argsort(value)
-    begins = np.flatnonzero(np.append(True, value[by][1:] != value[by][:-1]))
-    whose = order[string[at[by]]]
-    many = np.minimum.reduceat(whose, begins) < np.maximum.reduceat(whose, begins)
-    sizes = np.diff(np.append(begins, len(by)))
-    at, group = at[by][np.repeat(many, sizes)], np.repeat(np.arange(int(many.sum())), sizes[many])
-    if not len(at):
+    # windows that no document with another id shares are out at once: sorted by their hash, with their numbers in its low bits
+    bits = np.uint64(len(at).bit_length())
+    value = Bytes([raw]).spans(at, at + width) >> bits << bits
+    value |= np.arange(len(at), dtype=np.uint64)
+    value.sort()
+    by, value = (value & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), value >> bits
+    same = value[1:] == value[:-1]
+    many = np.append(same, False) | np.append(False, same)
+    by, value = by[many], value[many]
+    if not len(by):
+        return nothing
+    opens = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    whose = order[string[by]]
+    many = np.minimum.reduceat(whose, opens) < np.maximum.reduceat(whose, opens)
+    sizes = np.diff(np.append(opens, len(by)))
+    keep = np.repeat(many, sizes)
+    by, whose, group = by[keep], whose[keep], np.repeat(np.arange(int(many.sum())), sizes[many])
+    if not len(by):
         return nothing
-    at = at[np.lexsort((order[string[at]], group))]  # equal suffixes stay in order of their documents
+    by = by[np.lexsort((whose, group))]  # equal suffixes stay in order of their documents
+    at, string = at[by], string[by]
+    left = ends[string] - at  # bytes up to the string's end
     words = np.ndarray(size + 8, ">u8", line.tobytes(), strides=(1,))
-    offsets = [*range(0, width - 7, 8), width - 8] if width >= 8 else []
+    offsets = [*range(0, width - 7, 8), width - 8]
     same = group[1:] == group[:-1]
     alike = np.ones(len(same), bool)
     for k in offsets:
-        alike &= words[at[1:] + k] == words[at[:-1] + k]
+        w = words[at + k]
+        alike &= w[1:] == w[:-1]
     if (same & ~alike).any():  # different windows with the same hash: put all in order of their bytes
         keys = [words[at + k].astype(np.uint64) for k in offsets]
-        by = np.lexsort((order[string[at]], *keys[::-1]))
-        at, keys = at[by], [x[by] for x in keys]
+        by = np.lexsort((order[string], *keys[::-1]))
+        at, string, left, keys = at[by], string[by], left[by], [x[by] for x in keys]
         same = np.logical_and.reduce([x[1:] == x[:-1] for x in keys])
     # suffix order: ties are put in order of the next eight bytes, until they differ or end
+    number = np.arange(len(at))
     tied = np.append(same, False)  # with the next
     shared = np.zeros(len(at), np.int64)  # with the one before
     depth = width
     while True:
         some = tied.copy()
         some[1:] |= tied[:-1]
-        some = np.flatnonzero(some & (left[at] >= depth))
+        some = np.flatnonzero(some & (left[number] >= depth))
         if not len(some):
             break
         run = np.cumsum(np.append(True, ~tied[:-1]))[some]
-        key = words[at[some] + depth].astype(np.uint64)
-        by = np.lexsort((key, run))
-        at[some], key = at[some][by], key[by]
+        key = words[at[number[some]] + depth].astype(np.uint64)
         pair = run[1:] == run[:-1]
         differ = pair & (key[1:] != key[:-1])
+        if differ.any():  # runs that all go on alike are in order as they stand
+            mixed = np.zeros(int(run[-1]) + 1, bool)
+            mixed[run[1:][differ]] = True
+            mine = np.flatnonzero(mixed[run])
+            to = mine[np.lexsort((key[mine], run[mine]))]
+            number[some[mine]], key[mine] = number[some[to]], key[to]
+            differ = pair & (key[1:] != key[:-1])
         shared[some[1:][differ]] = depth + equal_bytes((key[1:] ^ key[:-1])[differ])
         tied[some[:-1][differ]] = False
         depth += 8
-    shared[1:][tied[:-1]] = left[at][1:][tied[:-1]]
-    shared[1:] = np.minimum(shared[1:], np.minimum(left[at][1:], left[at][:-1]))
-    whose = order[string[at]]
+    at, string, left = at[number], string[number], left[number]
+    shared[1:][tied[:-1]] = left[1:][tied[:-1]]
+    shared[1:] = np.minimum(shared[1:], np.minimum(left[1:], left[:-1]))
+    whose = order[string]
     back = np.append(0, shared[1:][::-1])
     longest = np.maximum(nearest_smaller(whose, shared, width), nearest_smaller(whose[::-1], back, width)[::-1])
     found = np.flatnonzero(longest >= width)
-    of = string[at[found]]
-    lo = at[found] - (ends[of] - np.diff(ends, prepend=-1)[of] + 1)
+    of = string[found].astype(np.int64)
+    lo = at[found] - begins[of]
     return of, lo, lo + longest[found]
 
 
@@ -283,7 +304,7 @@ def found_spans(packs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
             end = at + 8 + int.from_bytes(raw[at : at + 8], "little")
             upto = at + 16 + int.from_bytes(raw[at + 8 : at + 16], "little")
             head = unplaned(raw[at + 16 : upto])
-            cuts = (upto + np.cumsum(head[4])).tolist()
+            cuts = (upto + np.cumsum(head[5])).tolist()
             heads.append(head)
             portions.append([raw[x:y] for x, y in zip([upto, *cuts], cuts)])
             at = end
@@ -293,17 +314,12 @@ def found_spans(packs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
     docs = np.cumsum([0] + [len(h[1]) for h in heads])
     owner = np.stack([np.repeat([h[0][0] for h in heads], np.diff(docs)), np.concatenate([np.cumsum(h[1]) for h in heads])], axis=1)
     order = places(np.concatenate([h[3] for h in heads]).astype(bool), np.concatenate([h[2] for h in heads]))
-    strings = [np.cumsum(np.append(0, h[5])) for h in heads]
-    places_of = [np.cumsum(np.append(0, h[6])) for h in heads]
     keys, los, his = [], [], []
     for s in range(SUBS):
         raw = b"".join([p[s] for p in portions])
         if not raw:
             continue
-        times = np.concatenate([h[6][n[s] : n[s + 1]] for h, n in zip(heads, strings)])
-        spots = [slice(p[n[s]], p[n[s + 1]]) for p, n in zip(places_of, strings)]
-        doc = np.concatenate([h[7][x] + base for h, x, base in zip(heads, spots, docs.tolist())])
-        at = np.concatenate([h[8][x] for h, x in zip(heads, spots)])
+        times, doc, at = map(np.concatenate, zip(*[spots(h, s, base) for h, base in zip(heads, docs.tolist())]))
         first = np.cumsum(times) - times
         of, lo, hi = previous_factors(raw, order[doc[first]], width)
         if not len(of):
@@ -311,14 +327,30 @@ def found_spans(packs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
         key, n, lo, hi = merged(np.stack([of, np.zeros_like(of)], axis=1), lo, hi)
         of = np.repeat(key[:, 0], n)
         each = times[of]  # a span of a string stands at all its places
-        nth = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-        spot = np.repeat(first[of], each) + nth
+        spot = np.repeat(first[of], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
         keys.append(owner[doc[spot]])
         los.append(np.repeat(lo, each) + at[spot])
         his.append(np.repeat(hi, each) + at[spot])
     return merged(np.concatenate(keys), np.concatenate(los), np.concatenate(his)) if keys else nowhere
 
 
+def spots(head: list[np.ndarray], sub: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a section's portion: how many places each string has, and of each place the document (numbered from base) and the byte in it."""
+    (_, length), _, _, _, first, _, strings, times, at, again = head
+    a, b = int(strings[:sub].sum()), int(strings[: sub + 1].sum())
+    more = int((times[:a] - 1).sum())
+    n = times[a:b]
+    where = np.empty(int(n.sum()), np.int64)
+    ones = np.cumsum(n) - n
+    rest = np.ones(len(where), bool)
+    rest[ones] = False
+    where[ones] = np.cumsum(at)[a:b] - sub * length
+    where[rest] = again[more : more + int(rest.sum())]
+    first = np.cumsum(first)
+    doc = np.searchsorted(first, where, side="right") - 1
+    return n, doc + base, where - first[doc]
+
+
 # ---- the job --------------------------------------------------------------------------------------
 
 
