@@ -36,9 +36,9 @@ from tallyloom.llm.substrings import hot_minimisers, merged
 
 WIDTH = 50
 LEVELS = (8, 32)  # run lengths of the minimisers; after them the window decides
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PART_BYTES = 64 << 20  # of packed strings in one partition, before compression
-SENT_BYTES = 24 << 20  # strings that a map task holds back, to send them in few rows
+SENT_BYTES = 16 << 20  # strings that a map task holds back, to send them in few rows
 SUBS = 16  # a partition's strings are sorted in so many portions
 LONGEST = 64  # windows of a string
 STOP = 0xFF  # ends a string; no UTF-8 text holds it
