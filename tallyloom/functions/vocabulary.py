@@ -324,3 +324,13 @@ PURPOSE_STARTS = (
     "언론", "인터뷰", "착공식", "타운홀", "지방도", "이동간", "수행", "내방객", "오찬", "만찬", "소통",
     "의견", "설명", "방문", "대응", "지원", "간식", "다과", "물품", "지급",
 )
+
+# ---- fixed values: how purposes begin in printed tables, in the order in which they are looked for ----
+PURPOSE_STARTERS = (
+    "의정활동", "직무수행", "의장 직무", "부의장 직무", "의회운영위원장", "기획행정위원장", "복지건설위원장", "의회사무국",
+    "의회 현안", "의회 현한", "의정현안", "지역 현안", "지역현안", "의장 수행", "의장실", "의정활동", "의정 주요", "의회 소속직원",
+    "교섭단체", "생일", "주말", "노동절", "기획행정위원회", "복지건설위원회", "입법지원", "언론사", "2026년", "2026", "2025년",
+    "2025회계연도", "2025", "소관", "의회사무국", "현안업무", "힐링", "지역 현안사항", "의회 현안사항", "원활한 의정활동", "영등포구의회",
+    "설 명절", "의원 역량강화", "의정활동 홍보지원", "정월대보름", "당면업무추진", "시정홍보", "지방정부", "문화예술", "체육진흥",
+    "기후에너지", "사회경제", "자매도시", "복지사각지대", "광명시", "보건위생",
+)
