@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyloom.operators.etl.compound import DAY_FORMATS, MAGIC, hwp_texts, number_text, shows_day, xls_grids
 from tallyloom.sources.tables import LIMITS
@@ -258,3 +259,24 @@ def document_rows(documents: DataFrame, id_col: str = "doc_id", name_col: str =
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "member", "sheet", "row_no", "cells", "error"])
 
     return documents.selectExpr(f"cast({id_col} as string)", f"cast({name_col} as string)", f"cast({content_col} as binary)").mapInArrow(run, SCHEMA)
+
+
+def members(documents: DataFrame, kind: str = "pdf", id_col: str = "doc_id", name_col: str = "name", content_col: str = "content") -> DataFrame:
+    """(doc_id, member, content, error): the members of archives whose names end in a kind, such as files that other readers take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, name, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                rows: list[tuple] = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                        for m in sorted((m for m in z.infolist() if m.filename.lower().endswith("." + kind)), key=lambda m: m.filename):
+                            big = m.file_size > LIMITS["bytes"]
+                            rows.append((i, m.filename, None if big else z.read(m), "too_large" if big else None))
+                except READ_ERRORS as e:
+                    rows = [(i, name, None, str(e))]
+                for row in rows:  # one at a time, as members can be large
+                    yield pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.string(), pa.binary(), pa.string()))], names=["doc_id", "member", "content", "error"])
+
+    archives = documents.where(F.lower(F.col(name_col)).endswith(".zip"))
+    return archives.selectExpr(f"cast({id_col} as string)", f"cast({name_col} as string)", f"cast({content_col} as binary)").mapInArrow(run, "doc_id string, member string, content binary, error string")
