@@ -3,8 +3,8 @@
 Inputs: places(id, region, category, ..., visibility columns) and visits(place_id, agency_id,
 visit_date, department_name). Both percentiles rank over one row per place.
 
-No window runs over places: scores are counted by value first, per region and nationwide, and only those
-counts (distinct scores, far fewer than places) are ordered; see percent_rank_over_all().
+No window runs over places, and none over all distinct scores: scores are counted by value, and a score's rank is what the
+scores of lower high digits count together, plus those of the same high digits and lower low ones; see below_and_all().
 """
 
 from __future__ import annotations
@@ -21,17 +21,35 @@ SMALL_REGION = 30  # places; smaller regions are ranked nationwide
 NEW_MONTHS, NEW_VISITS = 3, 2
 
 
+LOW_BITS = 17  # of a score's digits: a window over low digits has 2^17 rows at most, and so has that over the high ones of a DECIMAL(10, 4)
+
+
+def below_and_all(counts: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., value, n: how often) to these with below (how many are less) and all, within by. value: a decimal or an integer.
+
+    The value's unscaled digits are parted into high and low ones. Low ones are ordered in windows of their high ones, high ones
+    in one window of a row each, so that no task orders more than 2^17 rows of a window, however many distinct values there are.
+    """
+    kind = counts.schema[value].dataType
+    scale = getattr(kind, "scale", 0)
+    digits = (F.col(value) * F.lit(10**scale)).cast("long")
+    cut = counts.withColumns({"__high": F.shiftright(digits, LOW_BITS), "__low": digits.bitwiseAND(F.lit((1 << LOW_BITS) - 1))})
+    heads = cut.groupBy(*by, "__high").agg(F.sum("n").alias("__n"))
+    # without by, one window holds all high digits; it is keyed by a hash, not by nothing, so that it is dealt like others
+    group = Window.partitionBy(*(by or (F.pmod(F.hash("__high"), F.lit(1)),)))
+    upto = lambda w, order, n: F.sum(n).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
+    top = heads.withColumns({"__under": upto(group, "__high", "__n"), "all": F.sum("__n").over(group)}).drop("__n")
+    inner = cut.withColumn("__in", upto(Window.partitionBy(*by, "__high"), "__low", "n"))
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*by, "__high")]
+    joined = inner.alias("i").join(top.alias("t"), same)
+    return joined.select(*[F.col(f"i.{c}").alias(c) for c in (*by, value, "n")], (F.col("__in") + F.col("__under")).alias("below"), "all")
+
+
 def percent_rank_over_all(df: DataFrame, value: str, out: str) -> DataFrame:
     """percent_rank() OVER (ORDER BY value) without NULL values, as a join to the ranks of distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(value)
-    ranks = counts.select(
-        value,
-        (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("below"),
-        F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
-    )
     share = F.when(F.col("all") > 1, F.col("below").cast("double") / (F.col("all") - 1)).otherwise(F.lit(0.0))
-    return df.join(ranks.select(value, share.alias(out)), value, "left")
+    return df.join(below_and_all(counts, value).select(value, share.alias(out)), value, "left")
 
 
 def visit_aggregates(visits: DataFrame, places: DataFrame, as_of: date, months: int = 12) -> DataFrame:
@@ -64,11 +82,8 @@ def grade(percentile: Column, visit_count: Column, first_visit: Column, as_of: d
 def place_grade(places: DataFrame, visits: DataFrame, as_of: date) -> DataFrame:
     """One row per visible place with visits in the look-back; NULL regions form one region."""
     scored = visit_aggregates(visits, places, as_of).withColumn("score", score())
-    # ranks within regions, too, are those of distinct scores: a region of very many places is no task of its own
     counts = scored.groupBy("region", "score").agg(F.count(F.lit(1)).alias("n"))
-    region = Window.partitionBy("region")
-    below = F.sum("n").over(region.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    ranks = counts.select(F.col("region").alias("of_region"), F.col("score").alias("of_score"), below.alias("below"), F.sum("n").over(region).alias("region_places"))
+    ranks = below_and_all(counts, "score", ("region",)).select(F.col("region").alias("of_region"), F.col("score").alias("of_score"), "below", F.col("all").alias("region_places"))
     ranked = scored.join(ranks, F.col("region").eqNullSafe(F.col("of_region")) & (F.col("score") == F.col("of_score"))).drop("of_region", "of_score")
     ranked = ranked.withColumn("region_pct", F.when(F.col("region_places") > 1, F.col("below").cast("double") / (F.col("region_places") - 1)).otherwise(F.lit(0.0)))
     ranked = percent_rank_over_all(ranked, "score", "nation_pct")

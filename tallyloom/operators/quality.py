@@ -124,9 +124,55 @@ def top_reasons(df: DataFrame, column: str = "reasons", k: int = 30) -> DataFram
     return each.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason").limit(k)
 
 
+BINS = 1 << 12
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> dict[float, float | None]:
+    """Quantiles with interpolation between neighbours, NULL and NaN left out; NULL without values.
+
+    Values are counted by value; then bins are refined: each pass counts the values of the bins that hold a wanted rank
+    in BINS new bins between the least and the greatest of them, until a bin holds one value. A pass splits what it looks at, since
+    least and greatest lie in different bins. Per pass the driver gets BINS rows a rank at most; no task or buffer holds all values.
+    """
+    value = F.col(column).cast("double")
+    counts = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        total, low, high = counts.agg(F.sum("n"), F.min("v"), F.max("v")).first()
+        if not total:
+            return dict.fromkeys(shares)
+        ranks = sorted({r for p in shares for r in (int(p * (total - 1)), min(int(p * (total - 1)) + 1, total - 1))})
+        found: dict[int, float] = {}
+        todo = {(0, low, high): ranks}  # (values below, least, greatest) of a bin: the ranks that lie in it
+        while todo:
+            next_todo: dict[tuple, list[int]] = {}
+            for (below, lo, hi), wanted in todo.items():
+                if lo == hi:
+                    found |= dict.fromkeys(wanted, lo)
+                    continue
+                # halves keep differences finite; each step is monotone, so bins are in the order of their values
+                place = (F.col("v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * BINS if hi / 2 > lo / 2 else F.when(F.col("v") > lo, BINS).otherwise(0)
+                bins = counts.where(F.col("v").between(lo, hi)).groupBy(F.least(F.floor(place), F.lit(BINS - 1)).alias("bin")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+                for b in sorted(bins.collect(), key=lambda b: b["bin"]):
+                    inside = [r for r in wanted if below <= r < below + b["n"]]
+                    if inside:
+                        next_todo[below, b["lo"], b["hi"]] = inside
+                    below += b["n"]
+            todo = next_todo
+    finally:
+        counts.unpersist()
+    out = {}
+    for p in shares:
+        k, part = int(p * (total - 1)), p * (total - 1) - int(p * (total - 1))
+        a, b = found[k], found[min(k + 1, total - 1)]
+        out[p] = a + (b - a) * part
+    return out
+
+
 def confidence_percentiles(df: DataFrame, column: str) -> DataFrame:
-    p = F.percentile(column, F.array(F.lit(0.1), F.lit(0.9)))
-    return df.agg(p.alias("p"), F.avg(column).alias("mean")).select(F.get("p", F.lit(0)).alias("p10"), F.get("p", F.lit(1)).alias("p90"), "mean")
+    """p10, p90 and mean, in one row."""
+    found = exact_quantiles(df, column, (0.1, 0.9))
+    value = lambda p: F.lit(found[p]).cast("double")
+    return df.agg(F.avg(column).alias("mean")).select(value(0.1).alias("p10"), value(0.9).alias("p90"), "mean")
 
 
 #: Dollars per million tokens, in and out.
