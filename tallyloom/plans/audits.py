@@ -129,9 +129,9 @@ def modal_agency(t):
     return audit.modal_agency(t.visits)
 
 
-@query("orphan_places", "SELECT id FROM places WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.place_id = places.id AND v.visit_date >= DATE '2001-06-01')")
+@query("orphan_places", "SELECT id FROM places WHERE NOT EXISTS (SELECT 1 FROM visits v WHERE v.place_id = places.id)")
 def orphan_places(t):
-    return audit.orphans(t.places, t.visits.where("visit_date >= DATE '2001-06-01'"))
+    return audit.orphans(t.places, t.visits)
 
 
 @query(

@@ -76,9 +76,9 @@ def agency_scope(t):
     return t.agencies.withColumn("parent_region", F.col("upper_region")).where(sourcing.in_scope("east", {"east": ("ASIA", "EUROPE")})).select("id")
 
 
-@query("lens_colours", "SELECT adm_cd, metric_key, 'hsl(173,58%,' || CAST(round_even(86 - 50 * p, 0) AS INT) || '%)' AS colour FROM (SELECT adm_cd, metric_key, percent_rank() OVER (PARTITION BY metric_key ORDER BY value) AS p FROM metrics WHERE household_size = 0 AND value IS NOT NULL AND ref_period = '2024')")
+@query("lens_colours", "SELECT adm_cd, metric_key, ref_period, 'hsl(173,58%,' || CAST(round_even(86 - 50 * p, 0) AS INT) || '%)' AS colour FROM (SELECT adm_cd, metric_key, ref_period, percent_rank() OVER (PARTITION BY metric_key, ref_period ORDER BY value) AS p FROM metrics WHERE household_size = 0 AND value IS NOT NULL)")
 def lens_colours(t):
     from pyspark.sql.window import Window
 
-    m = t.metrics.where("household_size = 0 AND value IS NOT NULL AND ref_period = '2024'").withColumn("p", F.percent_rank().over(Window.partitionBy("metric_key").orderBy("value")))
-    return m.select("adm_cd", "metric_key", sourcing.lens_colour(F.col("p")).alias("colour"))
+    m = t.metrics.where("household_size = 0 AND value IS NOT NULL").withColumn("p", F.percent_rank().over(Window.partitionBy("metric_key", "ref_period").orderBy("value")))
+    return m.select("adm_cd", "metric_key", "ref_period", sourcing.lens_colour(F.col("p")).alias("colour"))

@@ -92,3 +92,11 @@ def test_every_region_has_a_colour(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     got = registry.queries()["lens_colours"](spark, str(tmp_path)).where("metric_key = 'BUILDING'").collect()
     assert [r.colour for r in sorted(got, key=lambda r: int(r.adm_cd))] == [f"hsl(173,58%,{x}%)" for x in (86, 74, 61, 48, 36)]
+
+
+def test_orphans_have_no_visit_of_any_date(spark, tmp_path):
+    _part(spark, tmp_path, 8)
+    _visits(spark, tmp_path, [(1, 3, "1993-01-01", 0.0), (2, 4, "2001-09-09", 0.0)])
+    ids = lambda name: sorted(r.id for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert ids("orphan_places") == [1, 2, 5, 6, 7, 8]
+    assert ids("orphan_delete") == [1, 3, 4, 5, 7]  # of the orphans with even ids none stays
