@@ -24,8 +24,8 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def id_crc_mod(col: str, n: int) -> Column:
-    """crc32 of the id's decimal digits, modulo n."""
-    return F.crc32(F.col(col).cast("string").cast("binary")) % n
+    """crc32 of the id's decimal digits, modulo n; of no digits where there is no id, which is 0."""
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,7 +15,8 @@ Neighbours in doc_id order: ids are cut into ranges at quantiles; every range ge
 as a guest, the first row of the next non-empty range, so the text travels once.
 
 Defined cases: null text is empty; an empty text has an empty fingerprint, like only another empty one;
-a text without a selected window contributes its first 16 bytes, zero-padded; null ids come first;
+a text without a selected window contributes the first window of its rarest class, one shorter than a window itself,
+zero-padded; null ids come first;
 repeated ids are ordered by text; a single document is its own neighbour.
 """
 
@@ -92,6 +93,13 @@ def class_ranks(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
+def every_rank(counts: np.ndarray) -> np.ndarray:
+    """Ranks of all classes, for texts without a selected window; runs of one byte come last."""
+    rank = np.empty(CLASSES, np.int64)
+    rank[np.lexsort((np.arange(CLASSES), counts, np.arange(CLASSES) == 0))] = np.arange(CLASSES)
+    return rank
+
+
 def selected(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the selected windows and the text of each."""
     c = entropy_classes(x, window)
@@ -119,14 +127,21 @@ def window_codes(x: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     return h
 
 
-def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """The Bloom chain of each text: filters x 256 bytes."""
+def rarest_window(text: np.ndarray, every: np.ndarray) -> int:
+    """Start of the first window of a text's rarest class; 0 for a text shorter than a window."""
+    return int(every[entropy_classes(text)].argmin()) if len(text) >= WINDOW else 0
+
+
+def digests(texts: list[bytes], ranks: np.ndarray, every: np.ndarray | None = None) -> list[np.ndarray]:
+    """The Bloom chain of each text: filters x 256 bytes. every: ranks of all classes, for texts without a selected window."""
+    every = np.arange(CLASSES) if every is None else every
     x, starts, lengths = blocked(texts)
     chosen, owner = selected(x, starts, lengths, ranks, WINDOW)
     codes = window_codes(x, chosen, WINDOW)
     bare = np.flatnonzero((np.bincount(owner, minlength=len(texts)) == 0) & (lengths > 0))
-    if len(bare):  # their first window
-        codes, owner = np.concatenate((codes, window_codes(x, starts[bare], WINDOW))), np.concatenate((owner, bare))
+    if len(bare):  # their rarest window
+        own = np.array([starts[b] + rarest_window(x[starts[b] : starts[b] + lengths[b]], every) for b in bare.tolist()])
+        codes, owner = np.concatenate((codes, window_codes(x, own, WINDOW))), np.concatenate((owner, bare))
     order = np.argsort(owner, kind="stable")
     codes, owner = codes[order], owner[order]
     per = np.bincount(owner, minlength=len(texts))
@@ -216,7 +231,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = np.zeros(CLASSES, np.int64)
     for r in rows.select("text").mapInArrow(count, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():  # at most CLASSES rows
         counts[r["class"]] = r["n"]
-    ranks = class_ranks(counts)
+    ranks, every = class_ranks(counts), every_rank(counts)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -229,7 +244,7 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             halves = [len(t) // 2 for t in texts[:-1]]
             edited = [(t[: len(t) - h] + after[:h]).encode() for t, h, after in zip(texts, halves, texts[1:])]
             raw = [t.encode() for t in texts]
-            made = digests(raw + edited, ranks)
+            made = digests(raw + edited, ranks, every)
             own, other = made[: len(raw)], made[len(raw) :]
             out = [
                 [i for i, _ in waiting[:-1]],

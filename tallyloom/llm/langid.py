@@ -6,11 +6,12 @@ looked up in each profile: an n-gram that is there costs the difference of ranks
 isn't costs ``profile_size``. The language with the least sum wins.
 
 Learning reads only text and label of the training rows: a bounded sample, the
-``sample_per_language`` rows of least hash per language, of which the n-gram counts are summed.
-Prediction reads whole texts.
+``sample_per_language`` rows per language of least hash of their id (of equal ids, of their text), of which the
+n-gram counts are summed; a language of fewer rows is learned from all of them. Prediction reads whole texts.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; ties go to the language
-first by name; no training rows: all ``und``; repeated rows are judged alike; an empty table gives no rows.
+first by name; no training rows: all ``und``; repeated rows are judged alike, and count as often as they are there in
+learning, up to the bound; a null id is not held out, so its row is learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from tallyloom.llm.common import id_crc_mod, written
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 _BASE = np.uint64(0x110000)
+STEPS = 8  # bounds on the sample's hashes grow by 2^(1/8)
 BROADCAST_ROWS = 10_000  # a table of languages up to this length is broadcast
 
 
@@ -109,15 +111,20 @@ class Profiles:
 def learn(rows: DataFrame, profile_size: int = 400, sample_per_language: int = 2000) -> Profiles:
     """rows: (id, text, lang), training rows alone. What reaches the driver is profile_size codes a language."""
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    # the rows of least hash lie below a bound that a language's size gives, with half as many again to be sure; only
-    # they are ranked, and no text of another row moves
-    sized = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
-    sizes = F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized
+    # per language the rows are counted by the logarithm of their place, by ids alone; the bound is where the counts reach the
+    # sample, however many rows share an id. Only rows below it are ranked, and no text of another row moves
     order = F.xxhash64("id")
-    place = order.cast("double") / F.lit(2.0**64) + 0.5  # in [0, 1)
-    below = rows.join(sizes, "lang").where(place * F.col("rows") < 1.5 * sample_per_language + 20)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "id", "text"))
-    sample = below.select("lang", "text", "id").withColumn("rank", rank).where(F.col("rank") <= sample_per_language)
+    place = F.greatest(order.cast("double") / F.lit(2.0**64) + 0.5, F.lit(2.0**-64))  # in (0, 1]
+    step = F.floor(F.log2(place) * STEPS).cast("int")
+    counted = rows.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    reached = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = written(reached.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= sample_per_language, F.col("step"))), F.max("step")).alias("bound")), "languages")
+    bound = F.broadcast(bounds) if bounds.count() <= BROADCAST_ROWS else bounds
+    below = rows.join(bound, "lang").where(step <= F.col("bound")).select("lang", "text", "id", order.alias("order"), F.xxhash64("text").alias("second"))
+    # ranked twice, first per task that read them: rows that share an id are not gathered in one task
+    keys = ["order", "second", "id", "text"]
+    ranked = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *by).orderBy(*keys))).where(F.col("rank") <= sample_per_language)
+    sample = ranked(ranked(below.withColumn("dealt", F.spark_partition_id()), "dealt"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -138,3 +138,13 @@ def test_repeated_rows_null_ids_and_empty_table(docs, empty, texts, spark):
     assert P.fingerprinted(empty).count() == 0
     one = P.fingerprinted(spark.createDataFrame([(None, "only one")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_texts_of_almost_one_byte_are_told_apart():
+    """No window of these is selected; what follows their first 16 bytes counts all the same."""
+    texts = [b"a" * 100, (b"a" * 16 + b"b") * 1000, (b"a" * 20 + b"c") * 3000, b"a" * 63_000, b"b" * 100]
+    counts = P.class_counts(texts)
+    a, b, c, long, other = P.digests(texts, P.class_ranks(counts), P.every_rank(counts))
+    assert P.likeness(a, long) == 1.0  # one window throughout
+    assert max(P.likeness(a, b), P.likeness(a, c), P.likeness(b, c), P.likeness(a, other)) < 1.0
+    assert P.likeness(b, P.digests([texts[1] + texts[1]], P.class_ranks(counts), P.every_rank(counts))[0]) == 1.0

@@ -1,4 +1,6 @@
 import random
+
+import pytest
 import zlib
 from collections import Counter
 
@@ -81,7 +83,7 @@ def test_query_matches_plain_distances(spark, texts, tmp_path):
     rows = [(i, t, lang, "s", 0) for i, t, lang, _ in texts] + [(1000 + i, prose(r, lang := r.choice(list(SYLLABLES)), r.randint(1, 400)), lang, "s", 0) for i in range(120)]
     rows += [(5000, "", "en", "s", 0), (5001, None, "xx", "s", 0), (5002, prose(r, "fr", 30_000), "fr", "s", 0), rows[-1]]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
-    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2 if i is not None else None
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2 if i is not None else False
     size = 400
     by = {}
     for i, t, lang, *_ in rows:
@@ -112,3 +114,31 @@ def test_sample_is_bounded_and_the_rows_of_least_hash(spark):
     codes = set(profiles.codes.tolist())
     found = sum(any(int(c) in codes for c in langid.ngram_counts(t)[0]) for t in kept)
     assert found == len(kept)
+
+
+@pytest.mark.parametrize("ids", [7, 8, 9, 10, None])
+def test_rows_that_share_an_id_are_learned_from(spark, ids):
+    """Whatever the id's hash, a language is sampled up to the bound."""
+    rows = [(ids, "the one and only text", "en") for _ in range(3000)] + [(ids, f"ein satz mit nummer {k}", "de") for k in range(500)] + [(k, "un texte de plus", "fr") for k in range(2500)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string").repartition(5)
+    profiles = langid.learn(df, sample_per_language=1000)
+    assert profiles.languages == ["de", "en", "fr"]
+    counts = dict(sampled(df.where("lang = 'de'"), 1000) | sampled(df.where("lang = 'en'"), 1000) | sampled(df.where("lang = 'fr'"), 1000))
+    assert counts == {"de": 500, "en": 1000, "fr": 1000}
+
+
+def sampled(df, bound):
+    """How many rows learn() counts: the n-gram function is watched through an accumulator."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+    plain = langid.ngram_counts
+
+    def counting(text):
+        seen.add(1)
+        return plain(text)
+
+    langid.ngram_counts = counting
+    try:
+        lang = langid.learn(df, sample_per_language=bound).languages[0]
+    finally:
+        langid.ngram_counts = plain
+    return {lang: seen.value}
