@@ -17,13 +17,13 @@ hashes of words, so neither partitions nor retries change a score.
 Distribution. Texts are read once, into blocks of word numbers; a block table keeps them, bucketed by block. What a step
 works on stays in such tables, bucketed by the key that joins it, and only messages are shuffled:
 
-* words are dealt by hash: their counts are summed and they get numbers (rank and bucket in one);
+* words are dealt by hash, but told apart by their bytes: their counts are summed and they get numbers (rank and bucket in one);
 * pairs of neighbours are dealt by a hash of both words, so no frequent word makes a task large; a block sends each
   distinct pair once, with its count;
 * each round, pair buckets send tables per word (as context and as word), word buckets answer with the sums;
 * blocks get the figures of their words and pairs, and sum their documents' logarithms.
 
-What reaches the driver are sums of counts, one row per bucket. Words are told apart by 48 bits of their hash.
+What reaches the driver are sums that Spark has added up: nine numbers at most, whatever the size of the corpus.
 
 Defined cases: null text is empty and holds its end token alone; no training rows: every word is unknown; rows that
 repeat an id are scored one by one; very long texts are one block; an empty table gives no rows.
@@ -42,12 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import pitman_yor as process
-from tallyloom.llm.common import Words, drop_written, mixed_bits, shared_dir, text_or_empty, written
+from tallyloom.llm.common import Words, drop_written, planes, shared_dir, steps, text_or_empty, unplaned, written
 
 BLOCK_BYTES = 4 << 20
 BUCKET_TOKENS = 1 << 23  # tokens of the corpus per bucket of words
+PAIR_TOKENS = 1 << 20  # and per bucket of pairs
 CONTEXT_DRAWS, WORD_DRAWS, PARENT_DRAWS = 1000, 2000, 3000  # numbers of draws, apart from those of the sweeps
-END = 0  # the end token's hash; words have others
+END = 0  # the end token's number among a block's words, which are in order: it is the empty word
 ROWS = "kind string, at long, to long, blob binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
@@ -57,31 +58,24 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base doubl
 
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays of integers from 0, by byte planes, compressed."""
-    head, body = [len(arrays)], []
-    for x in arrays:
-        x = np.ascontiguousarray(x).astype("<u8")
-        width = (int(x.max(initial=0)).bit_length() + 7) // 8
-        head += [len(x), width]
-        body.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(body))
+    return zstandard.ZstdCompressor(level=1).compress(planes(*arrays))
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    sizes = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(n, 2)
-    at, out = 8 + 16 * n, []
-    for size, width in sizes.tolist():
-        x = np.zeros((size, 8), np.uint8)
-        x[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
-        out.append(x.view("<i8").ravel())
-        at += size * width
-    return out
+    return unplaned(zstandard.ZstdDecompressor().decompress(blob))
+
 
+def with_words(words: list[bytes], *arrays: np.ndarray) -> bytes:
+    """Words in order and arrays, compressed."""
+    head = planes(*arrays)
+    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(8, "little") + head + b"\n".join(words))
 
-def steps(x: np.ndarray) -> np.ndarray:
-    """An ascending array by its differences."""
-    return np.diff(x, prepend=0)
+
+def words_and(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    upto = 8 + int.from_bytes(raw[:8], "little")
+    arrays = unplaned(raw[8:upto])
+    return raw[upto:].split(b"\n") if len(arrays[0]) else [], arrays
 
 
 # ---- blocks of texts ------------------------------------------------------------------------------
@@ -94,33 +88,45 @@ class Block:
         self.vocab, self.tokens, self.lengths, self.ids, self.none, self.held = vocab, tokens, lengths, ids, none, held
 
     @classmethod
-    def of(cls, rows: list[tuple]) -> Block:
-        """rows: (id, held out, text)."""
+    def of(cls, rows: list[tuple]) -> tuple[Block, list[bytes]]:
+        """rows: (id, held out, text). The block's words, in order of their bytes, and the block in their numbers."""
         words = Words([r[2].encode().lower() for r in rows])
-        hashes = np.maximum(words.spans(words.at, words.end) >> np.uint64(16), np.uint64(1)).astype(np.int64)
+        # the words with the blank behind each, as one Arrow array, whose values are compared as bytes
+        offsets = pa.py_buffer(np.append(words.at, len(words.line)).astype(np.int32).tobytes())
+        coded = pa.Array.from_buffers(pa.binary(), len(words), [None, offsets, pa.py_buffer(words.line.tobytes())]).dictionary_encode()
+        found = [w[:-1] for w in coded.dictionary.to_pylist()]
+        order = sorted(range(len(found)), key=found.__getitem__)
+        number = np.empty(len(found), np.int64)
+        number[order] = np.arange(1, len(found) + 1)
         lengths = words.lengths + 1
         ends = np.cumsum(lengths) - 1
         tokens = np.full(int(lengths.sum()), END, np.int64)
         is_word = np.ones(len(tokens), bool)
         is_word[ends] = False
-        tokens[is_word] = hashes
-        vocab, tokens = np.unique(tokens, return_inverse=True)
+        tokens[is_word] = number[coded.indices.to_numpy()]
         ids = np.array([r[0] or 0 for r in rows], np.int64)
-        return cls(vocab, tokens, lengths, ids, np.array([r[0] is None for r in rows]), np.array([bool(r[1]) for r in rows]))
+        block = cls(np.arange(len(found) + 1), tokens, lengths, ids, np.array([r[0] is None for r in rows]), np.array([bool(r[1]) for r in rows]))
+        return block, [b"", *[found[k] for k in order]]
 
-    def blob(self) -> bytes:
+    def arrays(self) -> list[np.ndarray]:
         """Tokens as ranks by frequency, which are small numbers; the counts give the order back."""
         count = np.bincount(self.tokens, minlength=len(self.vocab))
         rank = np.empty(len(count), np.int64)
         rank[np.lexsort((np.arange(len(count)), -count))] = np.arange(len(count))
-        return packed(steps(self.vocab), count, rank[self.tokens], self.lengths, self.ids.view(np.uint64), self.none, self.held)
+        return [steps(self.vocab), count, rank[self.tokens], self.lengths, self.ids.view(np.uint64), self.none, self.held]
+
+    def blob(self) -> bytes:
+        return packed(*self.arrays())
 
     @classmethod
-    def from_blob(cls, blob: bytes) -> Block:
-        vocab, count, ranks, lengths, ids, none, held = unpacked(blob)
+    def from_arrays(cls, vocab, count, ranks, lengths, ids, none, held) -> Block:
         order = np.lexsort((np.arange(len(count)), -count))
         return cls(np.cumsum(vocab), order[ranks], lengths, ids, none.astype(bool), held.astype(bool))
 
+    @classmethod
+    def from_blob(cls, blob: bytes) -> Block:
+        return cls.from_arrays(*unpacked(blob))
+
     def training(self) -> np.ndarray:
         """Per token, whether it is learned from."""
         return np.repeat(~self.held, self.lengths)
@@ -129,13 +135,19 @@ class Block:
         """Distinct (context, word), ascending, by place in vocab; how often each is learned from; each token's pair."""
         context = np.empty_like(self.tokens)
         context[1:] = self.tokens[:-1]
-        context[:1] = np.searchsorted(self.vocab, END)
+        context[:1] = self.tokens[-1:]  # a block ends with an end token
         n = len(self.vocab)
         pair, of = np.unique(context * n + self.tokens, return_inverse=True)
         return pair // n, pair % n, np.bincount(of, self.training(), len(pair)).astype(np.int64), of
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def buckets_of(words: list[bytes], n: int) -> np.ndarray:
+    """Each word's bucket, by a hash of its bytes; the end token's is 0. words: as in a block, the empty one first."""
+    w = Words([b" ".join(words)])
+    return np.append(np.zeros(1, np.int64), (w.spans(w.at, w.end) % np.uint64(n)).astype(np.int64))
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[bytes]]]:
     rows, size = [], 0
     for batch in batches:
         for i, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -169,23 +181,30 @@ class Table:
     def __init__(self, df: DataFrame, buckets: int):
         self.spark, self.name = df.sparkSession, f"lm_{uuid.uuid4().hex}"
         self._written_path = f"{shared_dir(self.spark)}/{self.name}"
-        df.write.partitionBy("kind").bucketBy(buckets, "at").option("path", self._written_path).saveAsTable(self.name)
+        try:
+            df.write.partitionBy("kind").bucketBy(buckets, "at").option("path", self._written_path).saveAsTable(self.name)
+        except Exception:
+            self.drop()
+            raise
 
     def rows(self, kind: str) -> DataFrame:
         return self.spark.table(self.name).where(F.col("kind") == kind).select("at", "to", "blob")
 
-    def sums(self, kind: str = "sums") -> list[int]:
-        """Of a few figures per bucket."""
-        got = [unpacked(r["blob"]) for r in self.rows(kind).select("blob").collect()]
-        return [sum(int(x[k].sum()) for x in got) for k in range(len(got[0]))] if got else []
+    def sums(self) -> list[int]:
+        """What the rows of the kind "sums" add up to, by their place."""
+        got = self.spark.table(self.name).where("kind = 'sums'").groupBy("at").agg(F.sum("to").alias("n")).collect()
+        return [r["n"] for r in sorted(got, key=lambda r: r["at"])]
 
     @property
     def sparkSession(self):
         return self.spark
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE {self.name}")
-        drop_written(self)
+        """Once nothing reads it any more; a second time does nothing."""
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            drop_written(self)
+            self.name = ""
 
 
 def gathered(messages: DataFrame) -> DataFrame:
@@ -196,7 +215,7 @@ def gathered(messages: DataFrame) -> DataFrame:
 def step(f: Callable, states: list[DataFrame], got: DataFrame, schema: str = ROWS) -> DataFrame:
     """f(at, blobs of the states, {sender: message}) for every row of the first state; without states, of got.
 
-    f yields (kind, to, blob); with another schema, record batches.
+    f yields (kind, to, blob), or ("sums", None, figures); with another schema, record batches.
     """
     df = None
     for k, s in enumerate(states):
@@ -215,19 +234,34 @@ def step(f: Callable, states: list[DataFrame], got: DataFrame, schema: str = ROW
                     yield from rows
                     continue
                 for kind, to, blob in rows:
-                    yield pa.record_batch([pa.array([kind]), pa.array([at]), pa.array([to]), pa.array([blob], pa.binary())], names=["kind", "at", "to", "blob"])
+                    yield sum_rows(blob) if kind == "sums" else one_row(kind, at, to, blob)
 
     return df.select("at", *[f"s{k}" for k in range(n)], "got").mapInArrow(run, schema)
 
 
-def of_blocks(table: DataFrame, f: Callable) -> DataFrame:
+def one_row(kind: str, at: int, to: int, blob: bytes) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([kind]), pa.array([at]), pa.array([to]), pa.array([blob], pa.binary())], names=["kind", "at", "to", "blob"])
+
+
+def sum_rows(figures: list[int]) -> pa.RecordBatch:
+    """Figures to be added up by Spark, each by its place."""
+    n = len(figures)
+    return pa.record_batch([pa.array(["sums"] * n), pa.array(range(n), pa.int64()), pa.array([int(x) for x in figures], pa.int64()), pa.array([None] * n, pa.binary())], names=["kind", "at", "to", "blob"])
+
+
+def raw_block(blob: bytes) -> tuple[Block, list[bytes]]:
+    words, arrays = words_and(blob)
+    return Block.from_arrays(*arrays), words
+
+
+def of_blocks(table: DataFrame, f: Callable, opened: Callable = lambda blob: (Block.from_blob(blob),)) -> DataFrame:
     """f(block) for every block: yields (kind, to, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for kind, to, out in f(Block.from_blob(blob.as_py())):
-                    yield pa.record_batch([pa.array([kind]), pa.array([at]), pa.array([to]), pa.array([out], pa.binary())], names=["kind", "at", "to", "blob"])
+                for kind, to, out in f(*opened(blob.as_py())):
+                    yield one_row(kind, at, to, out)
 
     return table.select("at", "blob").mapInArrow(run, ROWS)
 
@@ -248,7 +282,21 @@ def scored(
     """One row per row of docs; held_out: a boolean column, true for rows not learned from."""
     spark = docs.sparkSession
     parts = max(1, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pair_buckets, s = 2 * parts, strength
+    s = strength
+    made: list[Table] = []
+
+    def table(df: DataFrame) -> Table:
+        made.append(Table(df, parts))
+        return made[-1]
+
+    try:
+        return _scored(docs, held_out, id_col, text_col, s, burn_in, samples, table)
+    finally:  # after a failure, too
+        for t in made:
+            t.drop()
+
+
+def _scored(docs: DataFrame, held_out, id_col: str, text_col: str, s: float, burn_in: int, samples: int, table: Callable[[DataFrame], Table]) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), text_or_empty(text_col).alias("text"))
 
     # 1. texts to blocks; words are numbered: rank in their bucket times the number of buckets, plus the bucket.
@@ -256,44 +304,48 @@ def scored(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 24
-        for block in blocks(batches):
-            blobs = pa.array([block.blob(), packed([len(block.tokens)])], pa.binary())
-            yield pa.record_batch([pa.array(["block", "sums"]), pa.array([at, at]), pa.array([at, at]), blobs], names=["kind", "at", "to", "blob"])
+        for block, words in blocks(batches):
+            yield one_row("block", at, at, with_words(words, *block.arrays()))
+            yield sum_rows([len(block.tokens)])
             at += 1
 
-    raw = Table(rows.mapInArrow(read, ROWS), parts)
-    word_buckets = 4
-    while word_buckets * BUCKET_TOKENS < sum(raw.sums()):
+    raw = table(rows.mapInArrow(read, ROWS))
+    tokens = sum(raw.sums())
+    word_buckets = pair_buckets = 4
+    while word_buckets * BUCKET_TOKENS < tokens:
         word_buckets *= 2
+    while pair_buckets * PAIR_TOKENS < tokens:
+        pair_buckets *= 2
 
-    def ask_numbers(block: Block):
+    def ask_numbers(block: Block, words: list[bytes]):
         count = np.bincount(block.tokens, block.training(), len(block.vocab)).astype(np.int64)
-        for to, mine in dealt(block.vocab, word_buckets):
-            yield "ask", to, packed(steps(block.vocab[mine]), count[mine])
+        for to, mine in dealt(buckets_of(words, word_buckets), word_buckets):
+            yield "ask", to, with_words([words[k] for k in mine.tolist()], count[mine])
 
     def number(at, _, got):
-        asked = {sender: unpacked(m) for sender, m in got.items()}
-        hashes, of = np.unique(np.concatenate([np.cumsum(x[0]) for x in asked.values()]), return_inverse=True)
-        count = np.bincount(of, np.concatenate([x[1] for x in asked.values()]), len(hashes)).astype(np.int64)
+        """Words get their rank among the bucket's, in order of their bytes."""
+        asked = {sender: words_and(m) for sender, m in got.items()}
+        rank = {w: k for k, w in enumerate(sorted({w for words, _ in asked.values() for w in words}))}
+        count = np.zeros(len(rank), np.int64)
+        for sender, (words, (n,)) in asked.items():
+            of = np.fromiter(map(rank.__getitem__, words), np.int64, len(words))
+            count[of] += n
+            yield "numbers", sender, packed(steps(of))
         yield "words", at, packed(count)
-        begin = 0
-        for sender, (x, _) in asked.items():
-            yield "numbers", sender, packed(steps(of[begin : begin + len(x)]))
-            begin += len(x)
 
-    numbered = Table(step(number, [], gathered(of_blocks(raw.rows("block"), ask_numbers))), parts)
+    numbered = table(step(number, [], gathered(of_blocks(raw.rows("block"), ask_numbers, raw_block))))
 
     def renumber(at, states, got):
-        block = Block.from_blob(states[0])
+        block, words = raw_block(states[0])
         new = np.empty_like(block.vocab)
-        for bucket, mine in dealt(block.vocab, word_buckets):
+        for bucket, mine in dealt(buckets_of(words, word_buckets), word_buckets):
             new[mine] = np.cumsum(unpacked(got[bucket])[0]) * word_buckets + bucket
         order = np.argsort(new)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         yield "block", at, Block(new[order], place[block.tokens], block.lengths, block.ids, block.none, block.held).blob()
 
-    texts = Table(step(renumber, [raw.rows("block")], gathered(numbered.rows("numbers"))), parts)
+    texts = table(step(renumber, [raw.rows("block")], gathered(numbered.rows("numbers"))))
     raw.drop()
 
     # 2. pairs meet; the first state has one table for each
@@ -330,9 +382,9 @@ def scored(
             begin += len(x)
         seen = sum(figures) > 0
         yield from to_words(ids[seen], *[x[seen] for x in figures])
-        yield "sums", 0, packed([once.sum()], [(count == 2).sum()])
+        yield "sums", None, [once.sum(), (count == 2).sum()]
 
-    pairs = Table(step(meet, [], gathered(of_blocks(texts.rows("block"), send_pairs))), parts)
+    pairs = table(step(meet, [], gathered(of_blocks(texts.rows("block"), send_pairs))))
     d = process.discount(*(pairs.sums() or [0, 0]))
 
     def begin_words(at, states, got):
@@ -352,9 +404,9 @@ def scored(
         for sender, x in sent.items():
             place = np.cumsum(x[0])[(x[3] + x[4]) > 0]
             yield "figures", sender, packed(under[place], guests[place], tables[place])
-        yield "sums", 0, packed([(count > 0).sum()], [count.sum()], [guests.sum()], [tables.sum()], [(guests == 1).sum()], [(guests == 2).sum()])
+        yield "sums", None, [(count > 0).sum(), count.sum(), guests.sum(), tables.sum(), (guests == 1).sum(), (guests == 2).sum()]
 
-    words = Table(step(begin_words, [numbered.rows("words")], gathered(pairs.rows("tables"))), parts)
+    words = table(step(begin_words, [numbered.rows("words")], gathered(pairs.rows("tables"))))
     numbered.drop()
     v, n, guests, tables, ones, twos = words.sums() or [0] * 6
     d_words = process.discount(ones, twos)
@@ -413,13 +465,13 @@ def scored(
                 dish = many[some]
                 tables_of = np.minimum(guests_of, 1) + np.bincount(dish, minlength=len(count))
                 samples_of += [under, guests_of, tables_of]
-                sums += [[guests_of.sum()], [tables_of.sum()]]
+                sums += [guests_of.sum(), tables_of.sum()]
             yield "seating", at, packed(steps(dish), before)
             for sender, x in sent.items():
                 place = np.cumsum(x[0])
                 yield "figures", sender, packed(*[y[place] for y in samples_of[-3:]])
             yield "samples", at, packed(count, *samples_of)
-            yield "sums", 0, packed(*sums)
+            yield "sums", None, sums
 
         return seat
 
@@ -428,9 +480,9 @@ def scored(
         draws = samples if number == burn_in else 1
         old = (seated, last)
         states = [pairs.rows("state")] + ([seated.rows("seating")] if seated else [pairs.rows("state").where("false")])
-        seated = Table(step(contexts_round(number, draws, totals[-1]), states, gathered(last.rows("figures"))), parts)
+        seated = table(step(contexts_round(number, draws, totals[-1]), states, gathered(last.rows("figures"))))
         x = float(process.gamma(np.array([s / d_words + totals[-1][1]]), process.keys(np.zeros(1), np.zeros(1), PARENT_DRAWS + number))[0])
-        after = Table(step(words_round(number, draws, x), [words.rows("words"), last.rows("seating")], gathered(seated.rows("tables"))), parts)
+        after = table(step(words_round(number, draws, x), [words.rows("words"), last.rows("seating")], gathered(seated.rows("tables"))))
         sums = after.sums() or [0, 0] * draws
         totals = list(zip(sums[::2], sums[1::2]))
         last = after

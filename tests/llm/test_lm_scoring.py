@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import lm_scoring as L
 from tallyloom.llm import pitman_yor as P
-from tallyloom.llm.common import Words
 
 
 def plain_tokens(t):
@@ -22,14 +21,12 @@ class Plain:
     def __init__(self, rows, strength=1.0, burn_in=1, samples=3, buckets=4):
         self.s = strength
         texts = [plain_tokens(t) for _, t, _ in rows]
-        hashes = {}
-        for w in {w for t in texts for w in t}:
-            x = Words([w.encode()]) if w else None
-            hashes[w] = max(int(x.spans(x.at, x.end)[0]) >> 16, 1) if w else 0
+        words = sorted({(w or "").encode() for t in [*texts, [None]] for w in t})
+        bucket = dict(zip(words, L.buckets_of(words, buckets).tolist()))
         self.number = {}
         for b in range(buckets):
-            for rank, w in enumerate(sorted((w for w in hashes if hashes[w] % buckets == b), key=hashes.get)):
-                self.number[w] = rank * buckets + b
+            for rank, w in enumerate(w for w in words if bucket[w] == b):
+                self.number[w.decode() or None] = rank * buckets + b
         self.c = Counter((u, w) for t, (_, _, held) in zip(texts, rows) if not held for u, w in zip([None, *t], t))
         self.count = Counter(w for t, (_, _, held) in zip(texts, rows) if not held for w in t)
         self.v = len(self.count)
@@ -185,8 +182,11 @@ def test_context_tells_the_next_word(spark):
 
 
 def test_blocks_and_numbers_round_trip(texts):
-    block = L.Block.of([(i, i == 4, t or "") for i, t, _, _ in texts])
+    block, words = L.Block.of([(i, i == 4, t or "") for i, t, _, _ in texts])
+    assert words == sorted({(w or "").encode() for _, t, _, _ in texts for w in plain_tokens(t)})
     again = L.Block.from_blob(block.blob())
+    third, same = L.raw_block(L.with_words(words, *block.arrays()))
+    assert same == words and np.array_equal(third.tokens, block.tokens)
     for name in ("vocab", "tokens", "lengths", "ids", "none", "held"):
         assert np.array_equal(getattr(block, name), getattr(again, name)), name
     assert block.lengths.tolist() == [len(plain_tokens(t)) for _, t, _, _ in texts]
@@ -204,3 +204,22 @@ def test_no_training_rows_and_empty_table(docs, empty):
     rows = L.scored(docs.where("doc_id IN (1, 4, 9)"), F.lit(True)).collect()
     assert len(rows) == 3 and all(math.isfinite(r.score) and r.n_known == 0 and r.train_tokens == 0 for r in rows)
     assert L.scored(empty, F.lit(False)).count() == 0
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """Words are dealt by their hash, but compared by their bytes."""
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 9))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: (r.n_known, r.base_score) for r in L.scored(df, F.col("doc_id") % 5 == 1).collect()}
+    monkeypatch.setattr(L, "buckets_of", lambda words, n: np.zeros(len(words), np.int64))
+    got = {r.doc_id: (r.n_known, r.base_score) for r in L.scored(df, F.col("doc_id") % 5 == 1).collect()}
+    assert got == want
+
+
+def test_work_tables_go_after_a_failure(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    bad = spark.range(3).selectExpr("id AS doc_id", "CASE WHEN id = 2 THEN raise_error('broken') ELSE 'a b' END AS text")
+    with pytest.raises(Exception, match="broken"):
+        L.scored(bad, F.lit(False)).collect()
+    L.scored(spark.range(3).selectExpr("id AS doc_id", "'a b' AS text"), F.lit(False)).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
