@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.dates import bound
+
 EARTH_RADIUS = 6_371_000.0
 #: The digits of geohashes.
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -82,22 +84,95 @@ def in_rings(lng: Column, lat: Column, rings: Column) -> Column:
     return F.pmod(total, F.lit(2)) == 1
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 0.05) -> DataFrame:
-    """points(id, lng, lat) x polygons(code, rings, order) -> (id, code): the first containing polygon in their order.
+WORLD = 360.0  # a cell of depth d is a square of WORLD / 2^d degrees; all its bounds are exact
+RIM = 1e-9  # cells are taken that much wider, so that rounding at their bounds changes nothing
+DEEPEST = 24
+
+
+def _cell_of(lng: Column, lat: Column, depth: Column) -> tuple[Column, Column]:
+    size = F.lit(WORLD) / F.pow(F.lit(2.0), depth)
+    return F.floor((lng + 180) / size).cast("long"), F.floor((lat + 180) / size).cast("long")
+
 
-    Both sides meet in grid cells, so the join is by key: a polygon is listed in the cells of its bounding box.
+def _narrowed(cell: Column) -> Column:
+    """A cell with only the edges that a ray to the right, from a point of it, may or may not cross.
+
+    Edges beside, left of, above or below the cell go; those right of it that every such ray crosses are counted into
+    ``parity``. ``local`` is how many may run through the cell; if none does, all its points lie on one side.
     """
+    size = F.lit(WORLD) / F.pow(F.lit(2.0), cell["depth"])
+    x0, y0 = cell["cx"] * size - 180 - RIM, cell["cy"] * size - 180 - RIM
+    x1, y1 = x0 + size + 2 * RIM, y0 + size + 2 * RIM
+    low, high = lambda e: F.least(e["ay"], e["by"]), lambda e: F.greatest(e["ay"], e["by"])
+    left, right = lambda e: F.least(e["ax"], e["bx"]), lambda e: F.greatest(e["ax"], e["bx"])
+    kept = F.filter(cell["edges"], lambda e: (high(e) > y0) & (low(e) <= y1) & (right(e) >= x0))
+    passed = lambda e: (left(e) > x1) & (low(e) <= y0) & (high(e) > y1)
+    return bound(
+        kept,
+        lambda es: F.struct(
+            cell["depth"].alias("depth"),
+            cell["cx"].alias("cx"),
+            cell["cy"].alias("cy"),
+            F.pmod(cell["parity"] + F.size(F.filter(es, passed)), F.lit(2)).alias("parity"),
+            F.size(F.filter(es, lambda e: left(e) <= x1)).alias("local"),
+            F.filter(es, lambda e: ~passed(e)).alias("edges"),
+        ),
+    )
+
+
+def _inside(lng: Column, lat: Column, parity: Column, edges: Column) -> Column:
+    """The even-odd rule of in_rings() on what a cell holds."""
+    crosses = lambda e: ((e["ay"] > lat) != (e["by"] > lat)) & (lng < (e["bx"] - e["ax"]) * (lat - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"])
+    return F.pmod(parity + F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))), F.lit(2)) == 1
+
+
+def cells_of_polygons(polygons: DataFrame, most_edges: int = 16, splits: int = 8) -> DataFrame:
+    """polygons(code, rings, order) to their cells (code, order, depth, cx, cy, parity, edges): a quadtree per polygon.
+
+    It begins with the at most four cells that hold the polygon; a cell through which more than ``most_edges`` edges run
+    is split in four, ``splits`` times at most. Cells outside go, cells inside carry no edge and need no ray.
+    """
+    edge = lambda a, b: F.struct(a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by"))
+    edges = F.flatten(F.transform("rings", lambda r: F.zip_with(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), edge)))
     flat = F.flatten(F.col("rings"))
     xs, ys = F.transform(flat, lambda p: p[0]), F.transform(flat, lambda p: p[1])
-    number = lambda c: F.floor(c / cell).cast("long")
-    spread = (
-        polygons.select("code", "rings", "order", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-        .withColumn("cx", F.explode(F.sequence(number(F.col("x0")), number(F.col("x1")))))
-        .withColumn("cy", F.explode(F.sequence(number(F.col("y0")), number(F.col("y1")))))
-    )
-    placed = points.withColumns({"cx": number(F.col("lng")), "cy": number(F.col("lat"))})
-    near = placed.join(spread, ["cx", "cy"]).where(F.col("lng").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    return near.where(in_rings(F.col("lng"), F.col("lat"), F.col("rings"))).groupBy("id").agg(F.min_by("code", "order").alias("code"))
+    box = polygons.where(F.size(flat) > 0).select("code", "order", edges.alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    span = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(WORLD / 2**DEEPEST))
+    deep = box.withColumn("depth", F.least(F.greatest(F.floor(F.log2(F.lit(WORLD) / span)), F.lit(0)), F.lit(DEEPEST)).cast("int"))
+    (cx0, cy0), (cx1, cy1) = _cell_of(F.col("x0"), F.col("y0"), F.col("depth")), _cell_of(F.col("x1"), F.col("y1"), F.col("depth"))
+    roots = deep.withColumn("cx", F.explode(F.sequence(cx0, cx1))).withColumn("cy", F.explode(F.sequence(cy0, cy1)))
+    root = F.struct("depth", "cx", "cy", F.lit(0).alias("parity"), F.lit(0).alias("local"), "edges")
+
+    def split(cell: Column) -> Column:
+        def child(k: int) -> Column:
+            x, y = cell["cx"] * 2 + k % 2, cell["cy"] * 2 + k // 2
+            return _narrowed(F.struct((cell["depth"] + 1).alias("depth"), x.alias("cx"), y.alias("cy"), cell["parity"].alias("parity"), cell["local"].alias("local"), cell["edges"].alias("edges")))
+
+        full = (cell["local"] > most_edges) & (cell["depth"] < DEEPEST + 8)
+        return F.when(full, F.array(*[child(k) for k in range(4)])).otherwise(F.array(cell))
+
+    begun = F.array(_narrowed(root))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(splits)), begun, lambda cells, _: F.flatten(F.transform(cells, split)))
+    cells = roots.select("code", "order", F.explode(made).alias("c")).select("code", "order", "c.*")
+    size = F.lit(WORLD) / F.pow(F.lit(2.0), F.col("depth"))
+    centre = _inside((F.col("cx") + 0.5) * size - 180, (F.col("cy") + 0.5) * size - 180, F.col("parity"), F.col("edges"))
+    settled = F.when(F.col("local") > 0, F.col("parity")).otherwise(centre.cast("int"))
+    kept = cells.where((F.col("local") > 0) | centre)
+    return kept.select("code", "order", "depth", "cx", "cy", settled.alias("parity"), F.when(F.col("local") > 0, F.col("edges")).otherwise(F.slice("edges", 1, 0)).alias("edges"))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, most_edges: int = 16) -> DataFrame:
+    """points(id, lng, lat) x polygons(code, rings, order) -> (id, code): the first containing polygon in their order.
+
+    Points meet the polygons' cells by key, at every depth that a cell has (a list of DEEPEST + 9 at most reaches the
+    driver); a ray is cast only in cells that an edge runs through, against the few edges that they carry.
+    """
+    cells = cells_of_polygons(polygons, most_edges)
+    depths = sorted(r["depth"] for r in cells.select("depth").distinct().collect())
+    placed = points.select("id", "lng", "lat", F.explode(F.array(*map(F.lit, depths)).cast("array<int>")).alias("depth"))
+    cx, cy = _cell_of(F.col("lng"), F.col("lat"), F.col("depth"))
+    met = placed.withColumns({"cx": cx, "cy": cy}).join(cells, ["depth", "cx", "cy"])
+    return met.where(_inside(F.col("lng"), F.col("lat"), F.col("parity"), F.col("edges"))).groupBy("id").agg(F.min_by("code", "order").alias("code"))
 
 
 #: The ellipsoid and the unified national grid (false origin 1 000 000 / 2 000 000, scale 0.9996, 38 N 127.5 E).

@@ -50,7 +50,7 @@ def poi_pip_counts(t):
     polygons = t.spark.sql(inner).selectExpr("code", "ord AS `order`", f"to_json(named_struct('type', 'Polygon', 'coordinates', array({outer}, {hole}))) AS geojson")
     polygons = polygons.select("code", "order", geo.polygon_rings(F.col("geojson")).alias("rings"))
     points = t.places.where("lat IS NOT NULL").select("id", "lat", "lng")
-    hit = geo.points_in_polygons(points, polygons, 0.1)
+    hit = geo.points_in_polygons(points, polygons)
     return hit.join(t.places.select("id", "category"), "id").groupBy("code", "category").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -124,7 +124,7 @@ def test_polygons(spark):
     multi = '{"type":"MultiPolygon","coordinates":[[[[3,3],[6,3],[6,6],[3,6],[3,3]]],[[[10,10],[11,10],[11,11],[10,11],[10,10]]]]}'
     polygons = spark.createDataFrame([("H", 0, holed), ("M", 1, multi)], "code string, order int, g string").select("code", "order", geo.polygon_rings(F.col("g")).alias("rings"))
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 3.5, 3.5), (4, 5.0, 5.0), (5, 10.5, 10.5), (6, 7.0, 7.0)], "id int, lng double, lat double")
-    assert {r.id: r.code for r in geo.points_in_polygons(points, polygons, 1.0).collect()} == {1: "H", 3: "H", 4: "M", 5: "M"}
+    assert {r.id: r.code for r in geo.points_in_polygons(points, polygons).collect()} == {1: "H", 3: "H", 4: "M", 5: "M"}
 
 
 def test_projection_of_the_origin(spark):
