@@ -23,21 +23,47 @@ def region_mismatch(visits: DataFrame, agencies: DataFrame, places: DataFrame, a
     return known.where(F.col("a") != F.col("b")).select("parent_region", "region", "n")
 
 
-def geo_anomalies(visits: DataFrame, agencies: DataFrame, places: DataFrame, short: Column, more: list[str] | None = None) -> DataFrame:
-    """Visits whose place lies, by both its addresses, outside the agency's region.
-
-    A NULL address makes NOT LIKE unknown, and an unknown is no anomaly: both addresses must be there.
+#: The short names of regions by which addresses are searched; other regions are searched as they are.
+SHORT_REGIONS = {
+    "서울특별시": "서울",
+    "대전광역시": "대전",
+    "경기도": "경기",
+    "인천광역시": "인천",
+    "충청남도": "충남",
+    "충청북도": "충북",
+    "경상남도": "경남",
+    "경상북도": "경북",
+    "전라남도": "전남",
+    "전라북도": "전북",
+    "강원특별자치도": "강원",
+    "제주특별자치도": "제주",
+}
+
+
+def short_region(region: str = "parent_region") -> Column:
+    return F.coalesce(lookup(F.col(region), SHORT_REGIONS), F.col(region))
+
+
+def geo_anomalies(visits: DataFrame, agencies: DataFrame, places: DataFrame, short: Column | None = None, more: list[str] | None = None) -> DataFrame:
+    """Visits whose place lies, by both its addresses, outside the agency's region; short: how addresses name it.
+
+    A NULL address makes NOT LIKE unknown, and an unknown is no anomaly: both addresses must be there. The place's own region is
+    the first word of its road address, its old address or, where places have it, the part of one that is known.
     """
-    a = agencies.select(F.col("id").alias("agency_id"), "parent_region", F.col("name").alias("agency_name")).withColumn("short", short)
+    short = short_region() if short is None else short
+    # a pattern per row would be compiled for each pair: only names that hold a wildcard are matched as patterns
+    a = agencies.select(F.col("id").alias("agency_id"), "parent_region", F.col("name").alias("agency_name")).withColumn("short", short).withColumn("wild", F.col("short").rlike(r"[%_\\]"))
+    addresses = ["road_address", "jibun_address"] + (["road_address_part"] if "road_address_part" in places.columns else [])
     p = places.where(F.col("hidden_at").isNull() & F.col("deleted_at").isNull()).select(
-        F.col("id").alias("place_id"), "road_address", "jibun_address", F.coalesce(F.split_part("road_address", F.lit(" "), F.lit(1)), F.split_part("jibun_address", F.lit(" "), F.lit(1))).alias("first_token")
+        F.col("id").alias("place_id"), "road_address", "jibun_address", F.coalesce(*[F.split_part(c, F.lit(" "), F.lit(1)) for c in addresses]).alias("first_token")
     )
     pattern = F.concat(F.lit("%"), F.col("short"), F.lit("%"))
-    away = ~F.like("road_address", pattern) & ~F.like("jibun_address", pattern)
+    named = lambda c: F.when(F.col("wild"), F.like(c, pattern)).otherwise(F.contains(F.col(c), F.col("short")))
+    away = ~named("road_address") & ~named("jibun_address")
     return visits.join(a, "agency_id").join(p, "place_id").where(away).select("visit_id", "place_id", "agency_id", "short", "first_token", *(more or []))
 
 
-def anomaly_groups(visits: DataFrame, agencies: DataFrame, places: DataFrame, short: Column, excerpt: str | None = None) -> DataFrame:
+def anomaly_groups(visits: DataFrame, agencies: DataFrame, places: DataFrame, short: Column | None = None, excerpt: str | None = None) -> DataFrame:
     """Per place with anomalies: visits, distinct agencies, up to three of their names and of the excerpts.
 
     Visits are counted per agency and place before addresses are looked at, so each pair is judged once.

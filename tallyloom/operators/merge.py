@@ -44,6 +44,13 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
 
 
+def unnested(df: DataFrame, **arrays: str) -> DataFrame:
+    """Parallel arrays to rows: the n-th elements of all, by name; a shorter array gives NULLs, a NULL or empty one none of its own."""
+    zipped = F.arrays_zip(*[F.coalesce(F.col(a), F.array().cast(df.schema[a].dataType)).alias(name) for name, a in arrays.items()])
+    others = [c for c in df.columns if c not in arrays.values()]
+    return df.select(*others, F.explode(zipped).alias("__row")).select(*others, *[F.col("__row")[name].alias(name) for name in arrays])
+
+
 def merge_places(old: DataFrame, new: DataFrame) -> DataFrame:
     """Places are found by outer id, else by natural key; a found one keeps its outer id where the new one has none.
 

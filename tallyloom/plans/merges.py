@@ -77,6 +77,51 @@ def upsert_metric(t):
     return merge.merge(t.metrics.select(*key, "value"), new.where("value IS NOT NULL"), key)
 
 
+@query(
+    "upsert_boundary",
+    """SELECT coalesce(n.adm_cd, o.adm_cd) AS adm_cd, coalesce(n.geojson, o.geojson) AS geojson, coalesce(n.ref_year, o.ref_year) AS ref_year FROM
+(SELECT adm_cd, 'old ' || name AS geojson, 2023 AS ref_year FROM regions WHERE level <> 'sido') o FULL JOIN
+(SELECT adm_cd, 'new ' || name AS geojson, 2024 AS ref_year FROM regions WHERE level <> 'emd') n ON n.adm_cd = o.adm_cd""",
+)
+def upsert_boundary(t):
+    """The new shape and its year win together."""
+    side = lambda where, word, year: t.regions.where(where).select("adm_cd", F.concat(F.lit(word), "name").alias("geojson"), F.lit(year).alias("ref_year"))
+    return merge.merge(side("level <> 'sido'", "old ", 2023), side("level <> 'emd'", "new ", 2024), ["adm_cd"])
+
+
+@query(
+    "upsert_poi",
+    """SELECT coalesce(n.adm_cd, o.adm_cd) AS adm_cd, coalesce(n.poi_type, o.poi_type) AS poi_type, coalesce(n.distance_basis, o.distance_basis) AS distance_basis, coalesce(n.ref_period, o.ref_period) AS ref_period,
+  coalesce(n.n, o.n) AS "count", coalesce(n.run, o.run) AS ingest_run_id FROM
+(SELECT region AS adm_cd, category AS poi_type, 'pip' AS distance_basis, '2024' AS ref_period, count(*) AS n, 1 AS run FROM places WHERE region IS NOT NULL GROUP BY 1, 2) o FULL JOIN
+(SELECT region AS adm_cd, category AS poi_type, 'pip' AS distance_basis, CASE WHEN region = 'Brand#11' THEN '2025' ELSE '2024' END AS ref_period, count(*) AS n, 2 AS run FROM places WHERE region IS NOT NULL AND id % 3 = 0 GROUP BY 1, 2) n
+ON n.adm_cd = o.adm_cd AND n.poi_type = o.poi_type AND n.distance_basis = o.distance_basis AND n.ref_period = o.ref_period""",
+)
+def upsert_poi(t):
+    """Counts by region, kind, basis and period: a recount wins, another period is a row of its own."""
+    key = ["adm_cd", "poi_type", "distance_basis", "ref_period"]
+    placed = t.places.where("region IS NOT NULL").withColumn("distance_basis", F.lit("pip"))
+    counted = lambda df, period, run: df.groupBy(F.col("region").alias("adm_cd"), F.col("category").alias("poi_type"), "distance_basis", period.alias("ref_period")).agg(F.count(F.lit(1)).alias("count"), F.lit(run).alias("ingest_run_id"))
+    later = F.when(F.col("region") == "Brand#11", "2025").otherwise("2024")
+    return merge.merge(counted(placed, F.lit("2024"), 1), counted(placed.where("id % 3 = 0"), later, 2), key)
+
+
+@query(
+    "unnest_update",
+    "SELECT p.id, coalesce(r.lat, p.lat) AS lat, coalesce(p.road_address, r.part) AS road_address FROM places p LEFT JOIN unnested r ON r.id = p.id",
+    """batches AS (SELECT id % 7 AS batch, list(id ORDER BY id) AS ids, list(id / 1000.0::DOUBLE ORDER BY id) AS lats, list('part ' || id ORDER BY id) FILTER (WHERE id % 4 < 2) AS parts FROM places WHERE id % 5 = 0 GROUP BY 1),
+unnested AS (SELECT unnest(ids) AS id, unnest(lats) AS lat, unnest(list_resize(parts, len(ids))) AS part FROM batches)""",
+)
+def unnest_update(t):
+    """An update from parallel arrays, of which one is shorter; an address that is there stays."""
+    own = F.array_sort(F.collect_list("id"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("id") % 4 < 2, F.col("id")))), lambda i: F.concat(F.lit("part "), i.cast("string")))
+    batches = t.places.where("id % 5 = 0").groupBy((F.col("id") % 7).alias("batch")).agg(own.alias("ids"), F.transform(own, lambda i: i / F.lit(1000.0)).alias("lats"), parts.alias("parts"))
+    rows = merge.unnested(batches, id="ids", lat="lats", part="parts").drop("batch").withColumnRenamed("lat", "new_lat")
+    joined = t.places.select("id", "lat", "road_address").join(rows, "id", "left")
+    return joined.select("id", F.coalesce("new_lat", "lat").alias("lat"), F.coalesce("road_address", "part").alias("road_address"))
+
+
 _NEW_PLACES = "SELECT CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'k' || CAST(p_partkey AS STRING) END AS kakao_place_id, 'n' || CAST(CASE WHEN p_partkey % 9 = 1 THEN p_partkey + 1000000 ELSE p_partkey END AS STRING) AS natural_key, 'upd ' || p_name AS name FROM part WHERE p_partkey % 3 = 0 OR p_partkey > 1900"
 
 

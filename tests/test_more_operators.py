@@ -98,3 +98,27 @@ def test_markdown_report(spark, tmp_path):
     assert "".join(r.value for r in spark.read.option("lineSep", "\x00").text(f"{tmp_path}/r").collect()) == "# Audit\n\n## Names\n\n| name | n |\n| --- | --- |\n| a\\|b | 1 |\n|  | 2 |\n"
     with pytest.raises(ValueError):
         tables.markdown_report("x", {"s": spark.range(5)}, most_rows=4)
+
+
+def test_region_names_are_shortened_and_the_third_address_part_is_read(spark):
+    from tallyloom.operators import audit
+
+    agencies = spark.createDataFrame([(1, "충청남도", "a"), (2, "한밭_시", "b"), (3, "부산광역시", "c"), (4, None, "d")], "id int, parent_region string, name string")
+    places = spark.createDataFrame(
+        [(1, "충남 들군 1", "x", None), (2, "충북 산시 1", "충북 산시 2", None), (3, "한밭X시 1", "한밭X시 2", None), (4, None, None, "부산광역시 해구"), (5, "대구 1", "대구 2", "y z")],
+        "id int, road_address string, jibun_address string, road_address_part string",
+    ).selectExpr("*", "CAST(NULL AS TIMESTAMP) AS hidden_at", "CAST(NULL AS TIMESTAMP) AS deleted_at")
+    visits = spark.createDataFrame([(10 * a + p, p, a) for a in (1, 2, 3, 4) for p in (1, 2, 3, 4, 5)], "visit_id int, place_id int, agency_id int")
+    got = {r.visit_id: (r.short, r.first_token) for r in audit.geo_anomalies(visits, agencies, places).collect()}
+    assert set(got) == {12, 13, 15, 21, 22, 25, 31, 32, 33, 35}  # a wildcard in a name still is one; unknown addresses are no anomaly
+    assert got[12] == ("충남", "충북") and got[31] == ("부산광역시", "충남")
+    assert audit.geo_anomalies(visits, agencies.withColumn("parent_region", F.lit("대구")), places.where("id = 5")).count() == 0
+
+
+def test_parallel_arrays(spark):
+    from tallyloom.operators import merge
+
+    df = spark.createDataFrame([(1, [1, 2, 3], ["a"]), (2, None, ["b"]), (3, [], []), (4, [4], None)], "k int, xs array<int>, ys array<string>")
+    got = merge.unnested(df, x="xs", y="ys")
+    assert got.columns == ["k", "x", "y"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, "a"), (1, 2, None), (1, 3, None), (2, None, "b"), (4, 4, None)], key=str)
