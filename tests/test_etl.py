@@ -101,7 +101,8 @@ def test_grammars_in_order(spark):
         ("whole", "일시: 2026.05.22\n장소: 국밥집\n금액: 12,000원\n일시: 2026.05.23\n장소: 분식집\n금액: 9,000원"),
         ("none", "아무것도 아님"),
     ]
-    got = grammar.parse_texts(spark.createDataFrame(texts, "doc_id string, text string")).orderBy("doc_id", "line_no").collect()
+    more = {"lines": (*grammar.FORMS, *grammar.MORE_LINES), "whole": grammar.MORE_WHOLE}
+    got = grammar.parse_texts(spark.createDataFrame(texts, "doc_id string, text string"), **more).orderBy("doc_id", "line_no").collect()
     assert [(r.doc_id, r.grammar, r.place, r.amount) for r in got] == [
         ("lines", "day_clock_place_purpose_party_amount", "분식집", "48,000"),
         ("lines", "day_place_amount_purpose", "국밥집(종로)", "12,000"),
