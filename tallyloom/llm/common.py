@@ -144,15 +144,23 @@ class Words:
             self.end = np.cumsum(size + 1) - 1
             self.at = self.end - size
             self.line[self.end] = 32
-        power, self._back = _power(len(self.line) + 1)
-        self._prefix = np.zeros(len(self.line) + 1, np.uint64)
-        np.cumsum((self.line.astype(np.uint64) + np.uint64(1)) * power[: len(self.line)], out=self._prefix[1:])
+
+    _prefix = None
+
+    def _summed(self) -> None:
+        """Prefix sums for hashes, made when the first one is asked for."""
+        if self._prefix is None:
+            power, self._back = _power(len(self.line) + 1)
+            prefix = np.zeros(len(self.line) + 1, np.uint64)
+            np.cumsum((self.line.astype(np.uint64) + np.uint64(1)) * power[: len(self.line)], out=prefix[1:])
+            self._prefix = prefix
 
     def __len__(self) -> int:
         return len(self.at)
 
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes a to b of line: a polynomial modulo 2^64 from prefix sums, mixed."""
+        self._summed()
         return mixed_bits((self._prefix[b] - self._prefix[a]) * self._back[a])
 
     def runs(self, m: int) -> np.ndarray:
@@ -170,10 +178,8 @@ class Bytes(Words):
         self.first = np.cumsum(self.lengths) - self.lengths
         self.at = np.arange(len(self.line))
         self.end = self.at + 1
-        power, self._back = _power(len(self.line) + 1)
-        self._prefix = np.zeros(len(self.line) + 1, np.uint64)
-        np.cumsum((self.line.astype(np.uint64) + np.uint64(1)) * power[: len(self.line)], out=self._prefix[1:])
 
     def runs(self, m: int) -> np.ndarray:
+        self._summed()
         n = len(self) - m + 1
         return mixed_bits((self._prefix[m:] - self._prefix[:n]) * self._back[:n]) if n > 0 else np.zeros(0, np.uint64)

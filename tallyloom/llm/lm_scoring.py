@@ -46,7 +46,7 @@ from tallyloom.llm.common import Words, drop_written, planes, shared_dir, steps,
 
 BLOCK_BYTES = 4 << 20
 BUCKET_TOKENS = 1 << 23  # tokens of the corpus per bucket of words
-PAIR_TOKENS = 1 << 20  # and per bucket of pairs
+PAIR_TOKENS = 1 << 22  # and per bucket of pairs: each packet names its words, so few large buckets send less
 CONTEXT_DRAWS, WORD_DRAWS, PARENT_DRAWS = 1000, 2000, 3000  # numbers of draws, apart from those of the sweeps
 END = 0  # the end token's number among a block's words, which are in order: it is the empty word
 ROWS = "kind string, at long, to long, blob binary"
