@@ -98,7 +98,7 @@ def orphans(places: DataFrame, visits: DataFrame) -> DataFrame:
 
 def candidate_scores(places: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best outer candidate per place: least of -1000 same id, -200 same name, -50 food, plus metres away."""
-    j = places.select(F.col("id").alias("place_id"), F.col("name").alias("place_name"), F.col("kakao_place_id").alias("own_id"), F.col("lat").alias("plat"), F.col("lng").alias("plng")).join(candidates, "place_id")
+    j = places.select(F.col("id").alias("place_id"), F.col("name").alias("place_name"), F.col("kakao_place_id").alias("own_id"), F.col("lat").alias("plat"), F.col("lng").alias("plng")).join(candidates.hint("merge"), "place_id")  # several a place, in order already for the window below: never broadcast
     metres = haversine(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"))
     exact = name_key(F.col("place_name")) == name_key(F.col("candidate_name"))
     off = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), -n).otherwise(0)

@@ -204,7 +204,7 @@ def _candidates(t):
     c = F.col
     near = t.places.select("id", "name", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("step")).select((c("id") - c("step")).alias("place_id"), c("id").alias("near_id"), c("name").alias("near_name"))
     own = t.places.select(c("id").alias("place_id"), "kakao_place_id", "name", "lat", "lng")
-    return own.join(near, "place_id").select(
+    return own.join(near.hint("merge"), "place_id").select(  # four rows a place, which the file's size does not tell: never broadcast
         "place_id",
         F.when(c("near_id") % 3 == 0, c("kakao_place_id")).otherwise(F.concat(F.lit("c"), c("near_id").cast("string"))).alias("candidate_id"),
         F.when(c("near_id") % 5 == 0, c("name")).otherwise(c("near_name")).alias("candidate_name"),
