@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vocabulary as V
+from tallyloom.functions.dates import bound
 
 
 def spaces(c: Column) -> Column:
@@ -175,13 +176,12 @@ def institution(c: Column, own_names: Column) -> Column:
 
 def keyword_category(text: Column, keywords: dict[str, tuple[str, ...]], default: str) -> Column:
     """The category of which most keywords occur; ties go to the one listed first, none to the default."""
-    low = F.lower(text)
-    scored = [
-        F.struct(F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w))).alias("hits"), F.lit(-i).alias("order"), F.lit(key).alias("key"))
-        for i, (key, words) in enumerate(keywords.items())
-    ]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["hits"] > 0, best["key"]).otherwise(F.lit(default))
+    keys, n = list(keywords), len(keywords)
+    # a category's rank is its number of hits, then its place from the end: the greatest rank finds the key in a table
+    table = [default] * n + keys[::-1] * max(len(words) for words in keywords.values())
+    hits = lambda low, words: reduce(lambda a, b: a + b, [F.contains(low, F.lit(w.lower())).cast("int") for w in words])
+    best = lambda low: F.greatest(F.lit(0), *[hits(low, words) * n + (n - 1 - i) for i, words in enumerate(keywords.values())])
+    return bound(F.lower(text), lambda low: F.get(F.array(*map(F.lit, table)), best(low)))
 
 
 def query_names(c: Column) -> Column:

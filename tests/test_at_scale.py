@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import keyword_category
 from tallyloom.operators import audit
 
 
@@ -16,3 +17,10 @@ def test_candidates_are_never_broadcast(spark):
     candidates = places.select(F.col("id").alias("place_id"), F.lit("k").alias("candidate_id"), F.lit("a").alias("candidate_name"), F.lit("FD6").alias("group_code"), "lat", "lng")
     best = audit.candidate_scores(places, candidates)
     assert "BroadcastHashJoin" not in plan_of(best) and best.count() == 8
+
+
+def test_text_is_lowered_once_for_all_keywords(spark):
+    rows = spark.createDataFrame([(1, "한우 국밥 CAFE"), (2, None), (3, "x")], "id int, x string")
+    found = rows.select("id", keyword_category(F.col("x"), {"b": ("cafe",), "a": ("국밥", "한우"), "c": ("국밥", "한우")}, "other").alias("food"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [tuple(r) for r in found.orderBy("id").collect()] == [(1, "a"), (2, "other"), (3, "other")]
