@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions import vocabulary as V
+from tallyloom.functions.dates import bound
 from tallyloom.functions.predicates import in_box, one_of, since_months, visible
 from tallyloom.functions.text import keyword_category
 
@@ -202,9 +203,10 @@ def client_list(public: DataFrame, text: str = "", grades: list[str] | None = No
     if text:
         shown = F.concat_ws(" ", "name", "road_address", "region", "category")
         food = keyword_category(F.concat_ws(" ", "name", "category", "road_address"), V.FOOD, V.DEFAULT_FOOD)
-        label = F.element_at(F.create_map(*[F.lit(x) for kv in V.FOOD_LABELS.items() for x in kv]), food)
-        haystack = F.lower(F.concat_ws(" ", shown, food, label))
-        rows = rows.where(haystack.contains(text.lower()))
+        labels = F.create_map(*[F.lit(x) for kv in V.FOOD_LABELS.items() for x in kv])
+        haystack = bound(food, lambda f: F.lower(F.concat_ws(" ", shown, f, F.element_at(labels, f))))
+        # the category is looked up only where what is shown does not hold the text by itself
+        rows = rows.where(F.lower(shown).contains(text.lower()) | haystack.contains(text.lower()))
     located = F.coalesce((F.col("lat") != 0) & (F.col("lng") != 0), F.lit(False))
     return rows.withColumn("on_map", located)
 
