@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import keyword_category
 from tallyloom.operators import audit
+from tallyloom.operators.etl import grids, rows
 
 
 def plan_of(df) -> str:
@@ -24,3 +25,12 @@ def test_text_is_lowered_once_for_all_keywords(spark):
     found = rows.select("id", keyword_category(F.col("x"), {"b": ("cafe",), "a": ("국밥", "한우"), "c": ("국밥", "한우")}, "other").alias("food"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
     assert [tuple(r) for r in found.orderBy("id").collect()] == [(1, "a"), (2, "other"), (3, "other")]
+
+
+def test_a_grid_is_shuffled_and_sorted_once(spark):
+    cells = [["부서명: 총무과"], ["집행일자", "집행장소", "금액(원)"], ["2024-01-02", "식당", "10,000"]]
+    grid = spark.createDataFrame([("a", "m", 0, k, c, None) for k, c in enumerate(cells)], grids.SCHEMA)
+    found = rows.expense_rows(grid.repartition(2))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert [(r.row_no, r.department_name, r.place_text, r.amount) for r in found.collect()] == [(2, "총무과", "식당", 10_000)]
