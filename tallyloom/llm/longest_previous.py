@@ -40,6 +40,8 @@ BLOCK_BYTES = 2 << 20
 PART_BYTES = 64 << 20  # of packed strings in one partition, before compression
 SENT_BYTES = 16 << 20  # strings that a map task holds back, to send them in few rows
 SUBS = 16  # a partition's strings are sorted in so many portions
+LONE_BYTES = 8 << 20  # of packed strings that share a minimiser: they all lie in one portion, which is held in memory
+STRING_BYTES = 3.3  # of packed strings per byte of text, about
 LONGEST = 64  # windows of a string
 STOP = 0xFF  # ends a string; no UTF-8 text holds it
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -92,12 +94,12 @@ def documents(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to blocks: (block, blob)."""
+    """(id, text) to blocks: (block, blob, size), size in bytes of text."""
     at = TaskContext.get().partitionId() << 24
     ids, texts, size = [], [], 0
 
     def block() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([at]), pa.array([blob_of(ids, texts)], pa.binary())], names=["block", "blob"])
+        return pa.record_batch([pa.array([at]), pa.array([blob_of(ids, texts)], pa.binary()), pa.array([size])], names=["block", "blob", "size"])
 
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -359,15 +361,23 @@ def spans_row(block: int, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa
     return pa.record_batch([pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], names=["block", "spans"])
 
 
+def share_of_hot(size: int, parts: int) -> float:
+    """The share of all strings from which a minimiser is hot, for texts of so many bytes: a partition can take it, and a portion
+    holds it in memory, however large the input is."""
+    return min(1 / (4 * parts), LONE_BYTES / (STRING_BYTES * max(size, 1)))
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, parts: int | None = None, hot_share: float | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary), one row per row of docs."""
     if width < LEVELS[-1]:
         raise ValueError(f"width must be {LEVELS[-1]} bytes or more")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    texts = written(rows.mapInArrow(read, "block long, blob binary"), "byte-blocks")
+    sized = written(rows.mapInArrow(read, "block long, blob binary, size long"), "byte-blocks")
+    texts = sized.select("block", "blob")
     least_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot, size = hot_minimisers(texts, hot_share or 1 / (4 * least_parts), width, blocks, LEVELS)
+    share = hot_share or share_of_hot(sized.agg(F.sum("size")).first()[0] or 0, least_parts)
+    hot, size = hot_minimisers(texts, share, width, blocks, LEVELS)
     parts = parts or max(least_parts, -(-size // PART_BYTES))  # by data, if the session's number is too small for it
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
