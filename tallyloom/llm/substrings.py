@@ -259,27 +259,38 @@ def hot_minimisers(rows: DataFrame, share: float, width: int, read: Callable[[It
     """rows, which ``read`` turns into blocks. Per level, the minimisers with this share of all strings or more, ascending (at most 1 / share), and the bytes of all strings.
 
     A value with such a share has it in some block too. Each block names the values with a quarter of the share, so
-    a hot one loses less than a quarter of its count.
+    a hot one loses less than a quarter of its count. Only windows of a minimiser that their block names go on to the next
+    level, as no other minimiser hands over.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in read(batches, width):
             if not block.valid.any():
                 continue
+            strings = 0
             for level in range(len(levels)):
                 least = block.least(level)
                 begin, n = block.strings(least)
+                strings = strings or len(begin)
                 a, b = block.bytes_of(begin, n)
                 value, text = least[begin], block.words.spans(a, b)
                 order = np.lexsort((text, value))
                 value, text = value[order], text[order]
                 once = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))  # equal strings travel once per block
                 value, times = np.unique(value[once], return_counts=True)
-                often = times * 4 >= share * len(begin)
-                value, times = np.append(value[often], np.uint64(0)), np.append(times[often], 0)
+                often = times * 4 >= share * strings
+                named = value[often]
+                value, times = np.append(named, np.uint64(0)), np.append(times[often], 0)
                 total = np.append(np.zeros(len(times) - 1, np.int64), len(begin))
                 size = np.append(np.zeros(len(times) - 1, np.int64), int((b - a).sum()) if level == 0 else 0)
                 yield pa.record_batch([pa.array(np.full(len(times), level)), pa.array((value + np.uint64(level)).view(np.int64)), pa.array(times), pa.array(total), pa.array(size)], names=["level", "value", "n", "total", "bytes"])
+                if not len(named):
+                    break
+                mine = np.isin(least[begin], named)
+                edge = np.zeros(len(block.valid) + 1, np.int64)
+                edge[begin[mine]] += 1
+                np.add.at(edge, (begin + n)[mine], -1)
+                block.valid &= np.cumsum(edge[:-1]) > 0
 
     counts = rows.mapInArrow(count, "level long, value long, n long, total long, bytes long").groupBy("level", "value").agg(*[F.sum(c).alias(c) for c in ("n", "total", "bytes")])
     counts = written(counts, "minimisers")  # read twice, made by going through all texts

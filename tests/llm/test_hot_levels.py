@@ -1,0 +1,54 @@
+"""Longer minimisers are counted only where shorter ones are frequent."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from tallyloom.llm import longest_previous as lp
+from tallyloom.llm import substrings
+
+
+class Stop(Exception):
+    pass
+
+
+class Rows:
+    def mapInArrow(self, count, _):
+        self.count = count
+        raise Stop
+
+
+class Recorded(lp.Block):
+    def least(self, level):
+        asked.append(level)
+        return super().least(level)
+
+
+asked: list[int] = []
+
+
+def counted(texts: list[bytes], share: float) -> dict[int, int]:
+    """The sum of all named counts per level."""
+    asked.clear()
+    rows, ids = Rows(), np.arange(len(texts))
+    block = Recorded(0, ids, np.zeros(len(texts), bool), texts, lp.WIDTH)
+    with pytest.raises(Stop):
+        substrings.hot_minimisers(rows, share, lp.WIDTH, lambda batches, width: iter([block]), lp.LEVELS)
+    return {int(b.column(0)[0].as_py()): sum(b.column(2).to_pylist()) for b in rows.count(iter(()))}
+
+
+def text(rng: random.Random, n: int) -> bytes:
+    return bytes(rng.choices(range(97, 123), k=n))
+
+
+def test_deeper_levels_follow_frequent_minimisers_only():
+    rng = random.Random(3)
+    plain = [text(rng, 400) for _ in range(100)]
+    assert set(counted(plain, 0.05)) == {0} and asked == [0]
+    line = b"a line that stands in every text of the table at hand, word by word"
+    held = [a[:200] + line + a[200:] for a in plain]
+    named = counted(held, 0.02)
+    assert asked == [0, 1] and named[0] >= 100 and named[1] >= 100
