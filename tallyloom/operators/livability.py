@@ -43,13 +43,19 @@ def field_scores(metrics: DataFrame, catalog: DataFrame, regions: DataFrame) ->
     )
 
 
+def _sum_in_order(value: Column, order: Column) -> Column:
+    """An aggregate: the sum of doubles in the order of a key, so that equal terms give equal sums in every run. A sum's last bits go by its order, and ranks by its last bits."""
+    ordered = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.alias("v")))))
+    return F.when(F.size(ordered) > 0, F.aggregate(ordered, F.lit(0.0), lambda total, x: total + x["v"]))
+
+
 def composite_scores(metrics: DataFrame, catalog: DataFrame, regions: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted mean of the fields per profile and household size; a field without a weight drops out."""
+    """Weighted mean of the fields per profile and household size; a field without a weight drops out. Few fields make a sum."""
     scored = (
         fields(metrics, catalog, regions)
         .join(weights, "category")
         .groupBy("adm_cd", "parent_cd", "profile_version", "household_size")
-        .agg((F.sum(F.col("weight") * F.col("raw")) / F.nullif(F.sum("weight"), F.lit(0))).alias("raw"), F.count(F.lit(1)).alias("field_count"))
+        .agg((_sum_in_order(F.col("weight") * F.col("raw"), F.col("category")) / F.nullif(F.sum("weight"), F.lit(0))).alias("raw"), F.count(F.lit(1)).alias("field_count"))
     )
     w = Window.partitionBy("parent_cd", "profile_version", "household_size")
     return scored.select(

@@ -1,3 +1,4 @@
+import itertools
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -128,3 +129,15 @@ def test_moving_mean_starts_empty(spark):
 def test_best_summary_prefers_the_household(spark):
     df = spark.createDataFrame([("a", 0, 1, "general", "rule"), ("a", 2, 1, "two", "llm"), ("b", 0, 1, "g", "rule"), ("b", 3, 1, "three", "rule")], "adm_cd string, household_size int, profile_version int, summary string, source string")
     assert {r.adm_cd: r.summary for r in serving.best_summary(df, 2).collect()} == {"a": "two", "b": "g"}
+
+
+def test_ranks_do_not_go_by_the_order_of_rows(spark, monkeypatch):
+    """Two regions of the same fields rank alike, though their rows come in another order."""
+    names = ("convenience", "education", "housing")
+    values = (100 / 11, 100 / 11 * 2, 100 / 11 * 4)
+    rows = [(str(k), "p", *one, 1) for k, order in enumerate(itertools.permutations(zip(names, values))) for one in order]
+    fields = spark.createDataFrame(rows, "adm_cd string, parent_cd string, category string, raw double, metric_count long").coalesce(1)
+    monkeypatch.setattr(livability, "fields", lambda *_: fields)
+    weights = spark.createDataFrame([(1, 1, names[0], 28), (1, 1, names[1], 5), (1, 1, names[2], 15), (1, 2, names[0], 14), (1, 2, names[1], 24), (1, 2, names[2], 16)], "profile_version int, household_size int, category string, weight int")
+    got = livability.composite_scores(None, None, None, F.broadcast(weights)).collect()
+    assert len(got) == 12 and {r.rank_in_sigungu for r in got} == {1}
