@@ -34,3 +34,26 @@ def test_a_grid_is_shuffled_and_sorted_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
     assert [(r.row_no, r.department_name, r.place_text, r.amount) for r in found.collect()] == [(2, "총무과", "식당", 10_000)]
+
+
+def test_headers_are_told_once_a_line():
+    """Heads used to be looked up by lambdas, cell by cell, twice for every row that could begin a header."""
+    cut = "\u0001"
+    line = lambda *cells: cut.join(cells)
+    at = lambda found: found and (found[0], {f: k for f, k in zip(rows.FIELDS, found[1:]) if k})
+    head = line("집행일자", "집행장소", "집행유형", "집행유형", "금액(원)")
+    assert at(rows.header_of(head, line("2024-01-02", "식당", "a", "b", "10"))) == (0, {"used_date": 1, "place_text": 2, "purpose": 3, "payment_method": 4, "amount": 5})
+    assert at(rows.header_of(line("사용", "", "집행", "대상"), line("일자", "금액(원)", "집행장소", "인원"))) is None  # the upper line names nothing by itself
+    assert at(rows.header_of(line("집행일자", "", "집행목적"), line("", "금액(원)", ""))) == (1, {"used_date": 1, "amount": 2, "purpose": 3})
+    assert rows.header_of(line("집행일자", "금액(원)"), None) is None and rows.header_of(line("부서명: 총무과"), head) is None
+    assert at(rows.header_of(line("구분", "사용자", "집행일자", "금액(원)"), None))[1]["expense_category"] == 1
+
+
+def test_a_row_is_read_without_lambdas(spark):
+    """Fields, casts and checks used to sit in lambdas, which Spark interprets; a cast that fails raises an error inside."""
+    grid = spark.createDataFrame([], grids.SCHEMA)
+    plan = rows.expense_rows(grid).select("used_at", "place_text", "amount")._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line for line in plan.splitlines() if "Generate" in line]
+    assert len(steps) == 1 and "lambda" not in steps[0] and plan.count("ArrowEvalPython") == 1
+    # what nobody asks for is not read
+    assert "raw_excerpt" not in plan and "user_text" not in plan
