@@ -57,3 +57,11 @@ def test_a_row_is_read_without_lambdas(spark):
     assert len(steps) == 1 and "lambda" not in steps[0] and plan.count("ArrowEvalPython") == 1
     # what nobody asks for is not read
     assert "raw_excerpt" not in plan and "user_text" not in plan
+
+
+def test_places_are_parted_once(spark):
+    """The check of a place's name used to be moved before the step that makes it, and to make it again."""
+    none = F.lit(None).cast("string")
+    made = rows.expense_rows(spark.createDataFrame([], grids.SCHEMA))
+    plan = rows.visits(made, {"region": none, "phase": none, "own_names": F.array(F.lit("a"))})._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_extract" in line]
